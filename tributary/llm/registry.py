@@ -1,12 +1,17 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from . import quality_rules, simhash_dedup
+from . import bpe, langid, quality_rules, simhash_dedup, toxicity_mil, url_filter
 
 QUERIES = {
     "op1_simhash_dedup": simhash_dedup.op1_simhash_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_toxicity": toxicity_mil.op7_toxicity,
+    "op10_langid": langid.op10_langid,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
 }
