@@ -18,6 +18,7 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -179,7 +180,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                     ids.append(_digest(listed))
                     decoded.append(_digest(" ".join([c[2] for c in coded])))
                     if with_ids:
-                        lists.append([int(i) for i in listed.split()])
+                        lists.append(np.array(listed.split(), np.int32))
                 arrays = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
                     arrays.append(pa.array(lists, pa.list_(pa.int32())))

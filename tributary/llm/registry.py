@@ -1,10 +1,11 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from . import bpe, langid, merkle, pii_sanitise, quality_cnn, quality_rules, simhash_dedup, toxicity_mil, url_filter
+from . import bpe, langid, merkle, mixing, pii_sanitise, quality_cnn, quality_rules, simhash_dedup, toxicity_mil, url_filter
 
 QUERIES = {
     "op1_simhash_dedup": simhash_dedup.op1_simhash_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_mixing": mixing.op3_mixing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
     "op6_bpe": bpe.op6_bpe,

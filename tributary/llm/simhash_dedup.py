@@ -278,6 +278,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, **tree_o
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, same columns.
+
+    The smallest doc_id of a group stays; rows that repeat it count as copies
+    and one of them stays.  Rows with a null doc_id can't stand for a group and
+    stay as they are.
+    """
+    chosen = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionAll(docs.where("doc_id is null")).select(*docs.columns)
+
+
 def op1_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
