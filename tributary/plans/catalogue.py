@@ -1,5 +1,8 @@
 """Registered queries of the merge engine and their SQL counterparts."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tributary.plans.oracle import ORACLE_SQL
+from tributary.plans.queries import QUERIES
+
 FLAGSHIP = "q27_interactions"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
