@@ -36,6 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The given names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Maximal runs of non-space characters; null and blank texts give an empty array."""
     stripped = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, letter_words, pieces, segment_sums, text_bytes
+from .common import cut, letter_words, pieces, segment_sums, text_bytes, unused
 
 BUCKETS = 1 << 17
 DENSE = 6
@@ -267,11 +267,12 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = No
     rated = mixing_rates(docs, labels, target, max_rate=max_rate, anchor=anchor, **options)
     chance = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(29)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     copies = F.floor(F.col("rate") + chance).cast("int")
-    counted = rated.groupBy("doc_id", "text_hash").agg(F.first("rate").alias("rate")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), copies.alias("__copies"))
+    own_id, own_hash, own, copy = unused(docs, "rated_id", "rated_hash", "rated_copies", "rated_copy")
+    counted = rated.groupBy("doc_id", "text_hash").agg(F.first("rate").alias("rate")).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), copies.alias(own))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(counted.where("__copies > 0"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")))
+    joined = docs.join(counted.where(F.col(own) > 0), docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)))
     if max_rate > 1:
-        joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own))))
     return joined.select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, unused
 
 #: Kinds in reporting order.  Possessive loops and anchors keep the patterns
 #: linear; they match what the plain patterns of the contract match.
@@ -192,7 +192,11 @@ def digests(spans: DataFrame) -> DataFrame:
     """Counts, digest of the base spans and the list of all spans."""
     plain = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), h["start"].alias("start"), h["end"].alias("end")))
     terms = F.transform("added", lambda a: F.struct(F.lit(4).alias("kind"), a["start"].alias("start"), a["end"].alias("end")))
-    counts = [F.size(F.filter("hits", lambda h, k=k: h["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("hits", lambda h: h["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [count(k) for k in range(4)]
     listed = spans.select("doc_id", *counts, F.array_sort(plain).alias("plain"), F.array_sort(F.array_distinct(terms)).alias("terms"))
     base = _listed(F.col("plain"))
     return listed.select(
@@ -211,7 +215,8 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(labels, h["kind"] + 1).alias("put")))
     more = F.transform("added", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.when(a["remove"], "").otherwise("[TERM]").alias("put")))
-    changes = spans.where((F.size("hits") > 0)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array_sort(F.concat(base, more)).alias("__changes"))
+    own_id, own_hash, own = unused(docs, "span_id", "span_hash", "span_changes")
+    changes = spans.where((F.size("hits") > 0)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.array_sort(F.concat(base, more)).alias(own))
     text = F.col("text").cast("string")
 
     def step(s: Column, x: Column) -> Column:
@@ -221,11 +226,12 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = docs.join(changes, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash")), "left")
-    rebuilt = F.aggregate("__changes", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
-    out = joined.withColumn("text", F.when(F.col("__changes").isNull(), F.col("text")).otherwise(rebuilt))
+    joined = docs.join(changes, docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_hash)), "left")
+    rebuilt = F.aggregate(own, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
+    untouched = F.col(own).isNull()
+    out = joined.withColumn("text", F.when(untouched, F.col("text")).otherwise(rebuilt))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__changes").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)
 
 

@@ -41,6 +41,8 @@ PLACE_RULES = (
 PATTERNS = (
     Pattern(r"[/.]cheap-pills\.", ("cheap", "pills")),
     Pattern(r"[/.]free-bets\.", ("free", "bets")),
+    Pattern(r"[/.]spam-[a-z]+\.", ("spam",)),
+    Pattern(r"[/.]ads-track[a-z]*\.", ("ads",)),
     Pattern(r"[/.-]casino[0-9]*[/.-]", ("casino",)),
     Pattern(r"[/.]adult-[a-z]+\.", ("adult",)),
     Pattern(r"[/.-](win|buy)-[a-z]+-online\.", ("online",)),
