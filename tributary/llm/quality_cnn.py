@@ -92,11 +92,15 @@ def combine(net: Network, top: np.ndarray, first: np.ndarray):
     mean = np.add.reduceat(active, first[:-1], axis=0) / np.diff(first)[:, None]
     most = np.maximum.reduceat(active, first[:-1], axis=0)
     features = np.concatenate([mean, most], 1)
-    return 1 / (1 + np.exp(-np.clip(features @ net.head + net.bias, -30, 30))), features, active
+    # Summed row by row, so that a document's score doesn't depend on the others.
+    return 1 / (1 + np.exp(-np.clip((features * net.head).sum(1) + net.bias, -30, 30))), features, active
 
 
-def fit(texts: pa.Array, label: np.ndarray, epochs: int = 14, batch_bytes: int = 200_000, rate: float = 0.01, seed: int = 5) -> Network:
-    """Train by Adam on the log loss; gradients reach each filter through the windows that won its chunks."""
+def fit(texts: pa.Array, label: np.ndarray, epochs: int = 14, batch_bytes: int = 150_000, updates: int = 600, rate: float = 0.01, seed: int = 5) -> Network:
+    """Train by Adam on the log loss; gradients reach each filter through the windows that won its chunks.
+
+    Small samples take more than ``epochs`` passes, for about ``updates`` steps.
+    """
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.5, (512, EMBED)), rng.normal(0, 0.3, (WIDTH, EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), 0.0
@@ -109,6 +113,9 @@ def fit(texts: pa.Array, label: np.ndarray, epochs: int = 14, batch_bytes: int =
     lengths = np.diff(offsets)
     state = {k: [0.0, 0.0] for k in ("embed", "filters", "shift", "head", "bias")}
     step = 0
+    batches = -(-int(lengths.sum() + GAP * len(lengths)) // batch_bytes)
+    if epochs > 1:
+        epochs = max(epochs, min(150, -(-updates // batches)))
     for epoch in range(epochs):
         order = rng.permutation(len(label))
         groups = np.cumsum(lengths[order] + GAP) // batch_bytes
