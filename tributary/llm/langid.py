@@ -147,7 +147,7 @@ def temperature_of(scores: np.ndarray, label: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, sample_size: int = 4000, alpha: float = 1.0, l1: float = 0.02, l2: float = 0.01, passes: int = 2) -> Model:
+def train(docs: DataFrame, sample_size: int = 4000, alpha: float = 3.0, l1: float = 0.01, l2: float = 0.001, steps: int = 8000) -> Model:
     """Fit on rows (doc_id, text, lang); rows with a null text or lang teach nothing.
 
     ``docs`` is the whole training fold: document frequencies read all of it.
@@ -183,6 +183,7 @@ def train(docs: DataFrame, sample_size: int = 4000, alpha: float = 1.0, l1: floa
         features.append((np.append(at, BUCKETS), np.append(tf * idf[at], 1.0)))
     aside = np.arange(len(label)) % 5 == 4
     fit = np.flatnonzero(~aside)
+    passes = max(2, -(-steps // max(1, len(fit))))  # small samples are seen more often
     weights, bias = ftrl([features[i] for i in fit], label[fit], len(languages), alpha, l1, l2, passes)
     held = np.flatnonzero(aside)
     scores = np.array([x[:-1] @ weights[at[:-1]] + bias for at, x in (features[i] for i in held)]).reshape(len(held), len(languages))
