@@ -120,7 +120,7 @@ def unfenced_json(raw: Column) -> Column:
 def parse_clock_lines(text: Column) -> Column:
     """Lines ``[mm:ss-mm:ss] 'text'`` (en dash) as (start, end, text); other lines are skipped."""
     pattern = "^\\[(\\d+):(\\d+)–(\\d+):(\\d+)\\] '(.*)'$"
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(pattern))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern))
 
     def part(x, i):
         return F.regexp_extract(x, pattern, i)

@@ -39,9 +39,12 @@ REPRESENTATION = T.StructType(
 
 
 def scan_uploads(spark: SparkSession, path: str, max_bytes: int, suffix: str = ".mp4") -> DataFrame:
-    """(path, length, content, reject): every file below ``path`` with the reason it is refused, if any."""
+    """(path, length, content, reject): every file below ``path`` with the reason it is refused, if any.
+
+    The file scan itself leaves out files of zero length.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    reason = F.when(~F.lower("path").endswith(suffix), "unsupported media type").when(F.col("length") == 0, "empty upload").when(F.col("length") > max_bytes, "upload too large")
+    reason = F.when(~F.lower("path").endswith(suffix), "unsupported media type").when(F.col("length") > max_bytes, "upload too large")
     return files.select("path", "length", "content", reason.alias("reject"))
 
 
