@@ -274,4 +274,20 @@ SELECTS = {
     "q59_soundness": "SELECT (SELECT count(*) FROM (SELECT 1 FROM units GROUP BY merge_id, branch, base_index HAVING count(*) > 1)) AS duplicates, (SELECT count(*) FROM attached a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.merge_id = a.merge_id AND b.base_index = a.anchor)) AS orphans",
 }
 
+_CLOCK = "lpad((round({x} * 1000)::BIGINT // 60000)::VARCHAR, 2, '0') || ':' || lpad((round({x} * 1000)::BIGINT // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((round({x} * 1000)::BIGINT % 1000)::VARCHAR, 3, '0')"
+_MMSS = "lpad((floor({x})::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((floor({x})::BIGINT % 60)::VARCHAR, 2, '0')"
+
+SELECTS |= {
+    "q60_evidence": """SELECT merge_id, branch, step, operation, CASE operation WHEN 'insert' THEN 'no BASE shot: insert' WHEN 'delete' THEN 'no branch shot: delete'
+      WHEN 'unchanged' THEN 'visual ' || format('{:.3f}', round(visual, 3)) || ' >= 0.85 and transcript agrees: unchanged' WHEN 'trim' THEN 'duration differs by ' || format('{:.3f}', round(rel_gap, 3)) || ' < 0.3 and transcript is related: trim'
+      WHEN 'replace' THEN 'visual ' || format('{:.3f}', round(visual, 3)) || ' anchors BASE and content differs: replace' ELSE 'no rule matched: uncertain' END AS reason FROM matches""",
+    "q61_extraction_payload": f"""SELECT merge_id, string_agg('[' || base_index || '] ' || {_CLOCK.format(x='"start"')} || '-' || {_CLOCK.format(x='"end"')} || ' ' || {_ws("text")}, chr(10) ORDER BY base_index) AS payload FROM base GROUP BY ALL""",
+    "q62_evaluation_payload": f"""SELECT c.merge_id, c.claim_id, v."view", 'CLAIM ' || c.claim_id || ' (' || c.claim_type || ', ' || c.importance || '): ' || {_ws("b.text")} || chr(10) || 'VIEW ' || v."view" || ':' || chr(10) || v.payload AS payload
+      FROM claims c JOIN base b USING (merge_id, base_index) JOIN (SELECT merge_id, "view", string_agg(text, chr(10) ORDER BY base_index) AS payload FROM views WHERE "view" <> 'base' AND trim(text) <> '' GROUP BY ALL) v ON v.merge_id = c.merge_id""",
+    "q63_prose_reconstruction": f"""SELECT merge_id, base_index, '[' || {_MMSS.format(x='"start"')} || '–' || {_MMSS.format(x='"end"')} || '] ' || CASE d WHEN 0 THEN '[deleted]' WHEN 1 THEN '[replaced]' ELSE '''' || t || '''' END || chr(10) || '[00:00–00:01] ''kept.''' AS rebuilt
+      FROM (SELECT *, array_to_string(regexp_extract_all(text, '{_W}')[1:4], ' ') AS t, {_draw("merge_id", "base_index", "'prose'")} % 4 AS d FROM base WHERE n_words > 0)""",
+    "q64_shot_time_shift": """SELECT b.merge_id AS video_id, b.base_index AS sequence_index, s.seg_no, round(b."start" + (s."start" - b."start"), 6) AS "start", round(b."start" + (s."end" - b."start"), 6) AS "end", s.text
+      FROM base b LEFT JOIN segs s ON s.video_id = b.merge_id AND s.seg_no // 3 = b.base_index AND s.seg_no % 2 = 0""",
+}
+
 ORACLE_SQL = {name: STEPS + select for name, select in SELECTS.items()}

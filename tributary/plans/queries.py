@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tributary import config
 from tributary.functions import similarity as S
 from tributary.functions import text as T
-from tributary.operators import align, claims, evaluate, gate, media, merge, validate
+from tributary.operators import align, claims, evaluate, gate, media, merge, render, validate
 from tributary.plans.flow import MergeFlow
 from tributary.sources import derived
 
@@ -375,6 +375,38 @@ def q59(f):
     return twice.join(orphans)
 
 
+def q60(f):
+    return render.evidence(f.matches)
+
+
+def q61(f):
+    return render.extraction_payload(f.base)
+
+
+def q62(f):
+    views = merge.four_views(f.base, f.branch_views, f.combined)
+    return render.evaluation_payload(f.claims, f.base, views)
+
+
+def q63(f):
+    """Each shot written as a clock line beside a neighbour and rebuilt from prose that marks it by hash."""
+    mmss = lambda c: F.format_string("%02d:%02d", F.floor(F.col(c) / 60), F.floor(F.col(c)) % 60)
+    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^ \t-\r]+"), F.lit(0)), 1, 4), " ")
+    rows = f.base.where("n_words > 0").withColumn("t", short)
+    line = F.concat(F.lit("["), mmss("start"), F.lit("–"), mmss("end"), F.lit("] '"), "t", F.lit("'"))
+    mark = F.element_at(F.array(*map(F.lit, ["--> DELETED", "--> REPLACED", "--> TRIMMED", "stays"])), (derived.draw(F.col("merge_id"), F.col("base_index"), F.lit("prose")) % 4 + 1).cast("int"))
+    prose = F.concat(F.lit("The line '"), "t", F.lit("' is\nedited "), mark)
+    return rows.select("merge_id", "base_index", render.reconstruct_from_prose(F.concat(line, F.lit("\n[00:00–00:01] 'kept.'")), prose).alias("rebuilt"))
+
+
+def q64(f):
+    inside = segments(f).withColumn("sequence_index", F.floor(F.col("seg_no") / 3)).where("seg_no % 2 = 0")
+    local = inside.join(video_shots(f).select("video_id", "sequence_index", F.col("start").alias("s")), ["video_id", "sequence_index"])
+    local = local.select("video_id", "sequence_index", "seg_no", (F.col("start") - F.col("s")).alias("start"), (F.col("end") - F.col("s")).alias("end"), "text")
+    out = render.to_video_time(local, video_shots(f))
+    return out.withColumn("start", r6("start")).withColumn("end", r6("end"))
+
+
 BUILDERS = {
     "q01_shots_timeline": q01, "q02_segment_overlap_join": q02, "q03_tokens_collapse": q03, "q04_hamming": q04, "q05_histogram_intersection": q05, "q06_mean_rgb": q06,
     "q07_visual_blend": q07, "q08_multiset_jaccard": q08, "q09_duration_order": q09, "q10_final_blend": q10, "q11_pair_matrix": q11, "q12_alignment_steps": q12,
@@ -386,6 +418,7 @@ BUILDERS = {
     "q45_legacy_projection": q45, "q46_json_tolerant": q46, "q47_validation_quarantine": q47, "q48_normalization_reason": q48, "q49_segmentation_islands": q49,
     "q50_keyframe_asof": q50, "q51_apply_edit_script": q51, "q52_base_identity_rank": q52, "q53_marker_argmax": q53, "q54_precision_recall": q54, "q55_gate_tokens": q55,
     "q56_clock_lines": q56, "q57_retry_policy": q57, "q58_edit_metadata": q58, "q59_soundness": q59,
+    "q60_evidence": q60, "q61_extraction_payload": q61, "q62_evaluation_payload": q62, "q63_prose_reconstruction": q63, "q64_shot_time_shift": q64,
 }
 
 QUERIES = {name: _flow(build) for name, build in BUILDERS.items()}
