@@ -91,11 +91,12 @@ def train(sample: DataFrame, **options) -> Model:
     return fit(label, buckets, bounds, per_row, **options)
 
 
-def fit(label, buckets, bounds, per_row, epochs: int = 300, rate: float = 0.2, decay: float = 1e-4, min_docs: int = 4, start_bias: float = -6.0) -> Model:
+def fit(label, buckets, bounds, per_row, epochs: int = 300, rate: float = 0.2, decay: float = 3e-3, min_docs: int = 4, start_bias: float = -6.0) -> Model:
     """Maximise the likelihood of the documents' labels under the noisy-or.
 
     ``bounds`` are the sentences' first words and ``per_row`` the rows' first
-    sentences.  Words of fewer than ``min_docs`` documents teach nothing.
+    sentences.  Words of fewer than ``min_docs`` documents teach nothing.  The
+    penalty falls as chance does, with the square root of the documents.
     Without both labels every word keeps weight zero.
     """
     weights, bias = np.zeros(BUCKETS), start_bias
@@ -120,7 +121,7 @@ def fit(label, buckets, bounds, per_row, epochs: int = 300, rate: float = 0.2, d
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-7)
         weights -= move[:-1]
         # A proximal step keeps words without steady evidence at zero.
-        scale = rate * decay / (np.sqrt(second[:-1] / (1 - 0.98**step)) + 1e-7)
+        scale = rate * decay / np.sqrt(len(label)) / (np.sqrt(second[:-1] / (1 - 0.98**step)) + 1e-7)
         weights = np.sign(weights) * np.maximum(np.abs(weights) - scale, 0)
         bias -= move[-1]
     weights[~common] = 0
