@@ -180,7 +180,7 @@ def links(classes: DataFrame, radius: int = 3, bands: int = 2, leaf_rows: int =
     n = classes.count()
     if n < 2:
         return classes.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
-    share = min(1.0, sample_size / n)
+    share = min(0.25, sample_size / n)
     sample = np.array([r.fp for r in classes.select("fp").sample(share, seed=7).collect()], np.int64).view(np.uint64)
     depth = max(0, math.ceil(math.log2(n / leaf_rows)))
     trees = [VantageTree(sample, mask, depth, seed) for seed, mask in enumerate(band_masks(bands))]
