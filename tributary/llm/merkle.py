@@ -174,9 +174,10 @@ def beside_next(docs: DataFrame, parts: int) -> DataFrame:
                 to = np.array([before[b] for b in own[pick]], np.int64) if tail else own
                 chosen = batch.take(pa.array(pick)) if tail else batch
                 if len(pick):
-                    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(np.full(len(pick), tail)), *chosen.columns], ["bucket", "tail", "doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(pick), tail)), *chosen.columns], ["bucket", "tail", "doc_id", "text"])
 
-    out = rows.mapInArrow(dealt, "bucket long, tail boolean, doc_id long, text string").repartition(parts, "bucket")
+    # Buckets are of even size, so each is a partition of its own.
+    out = rows.mapInArrow(dealt, "bucket int, tail boolean, doc_id long, text string").repartitionById(last + 1, F.col("bucket"))
     return out.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
 
