@@ -59,9 +59,9 @@ def _timed(rows: DataFrame, keys: list[str], order: list[str], index: str) -> Da
     )
 
 
-def base_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_shots(spark: SparkSession, sf_dir: str, conversations: str | None = None) -> DataFrame:
     """(merge_id, base_index, text, n_words, start, end, duration, vec) for every turn."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("merge_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    turns = spark.read.parquet(conversations or f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("merge_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     rows = turns.withColumn("n_words", T.word_count(F.col("text")).cast("long"))
     timed = _timed(rows, ["merge_id"], ["turn", "text"], "base_index")
