@@ -1,7 +1,8 @@
 """Document toxicity by multiple-instance learning over sentences.
 
-Only documents are labelled.  A sentence's score is a logistic of its words; a
-document is toxic unless every sentence is clean, so its score is the noisy-or
+Only documents are labelled.  A sentence's score is a logistic of its words
+(each with its first four and six bytes, so that inflected and compound forms
+count alike); a document is toxic unless every sentence is clean, so its score is the noisy-or
 of its sentences, and the labels' likelihood trains the sentence model.  The
 same scores then locate the offending sentences.
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, letter_words, pieces, segment_sums, text_bytes
+from .common import LOWER, held_out, letter_words, pieces, segment_sums, span_hashes, text_bytes
 
 BUCKETS = 1 << 18
 THRESHOLD = 0.7
@@ -33,10 +34,19 @@ class Model:
     bias: float
 
 
+#: Beginnings of words, in bytes, that are features beside the word itself.
+PREFIXES = (4, 6)
+FEATURES = 1 + len(PREFIXES)
+
+
 def sentences(data: np.ndarray, offsets: np.ndarray):
-    """Words' buckets, first word of each sentence (and the end), first sentence of each row (and the end)."""
+    """Buckets of the words' features (``FEATURES`` in a row for each word), first word of each sentence (and the end), first sentence of each row (and the end)."""
     starts, ends, hashes = letter_words(data, offsets)
-    buckets = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+    low = LOWER[data]
+    kinds = [hashes]
+    for k, n in enumerate(PREFIXES, 1):
+        kinds.append(span_hashes(low, starts, np.minimum(ends, starts + n)) ^ np.uint64(0x9E37 * k))
+    buckets = (np.stack(kinds, 1).ravel() & np.uint64(BUCKETS - 1)).astype(np.int64)
     row = np.searchsorted(offsets, starts, side="right") - 1
     stops = np.cumsum(_END[data]) if len(data) else np.zeros(0, np.int64)
     mark = stops[starts] if len(starts) else starts
@@ -48,7 +58,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
 
 
 def sentence_scores(buckets: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(segment_sums(model.weights[buckets], bounds) + model.bias, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(segment_sums(model.weights[buckets], bounds * FEATURES) + model.bias, -30, 30)))
 
 
 def noisy_or(scores: np.ndarray, per_row: np.ndarray) -> np.ndarray:
@@ -75,8 +85,8 @@ def train(sample: DataFrame, **options) -> Model:
                 words, lengths = [], []
                 for i in range(part.num_rows):
                     a, b = per_row[i], per_row[i + 1]
-                    words.append(buckets[bounds[a] : bounds[b]])
-                    lengths.append(np.diff(bounds[a : b + 1]))
+                    words.append(buckets[bounds[a] * FEATURES : bounds[b] * FEATURES])
+                    lengths.append(np.diff(bounds[a : b + 1]) * FEATURES)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(words, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32()))], ["label", "words", "lengths"]
                 )
@@ -91,10 +101,10 @@ def train(sample: DataFrame, **options) -> Model:
     return fit(label, buckets, bounds, per_row, **options)
 
 
-def fit(label, buckets, bounds, per_row, epochs: int = 300, rate: float = 0.2, decay: float = 3e-3, min_docs: int = 4, start_bias: float = -6.0) -> Model:
+def fit(label, buckets, bounds, per_row, epochs: int = 250, rate: float = 0.2, decay: float = 4e-3, min_docs: int = 4, start_bias: float = -6.0) -> Model:
     """Maximise the likelihood of the documents' labels under the noisy-or.
 
-    ``bounds`` are the sentences' first words and ``per_row`` the rows' first
+    ``bounds`` are the sentences' first features and ``per_row`` the rows' first
     sentences.  Words of fewer than ``min_docs`` documents teach nothing.  The
     penalty falls as chance does, with the square root of the documents.
     Without both labels every word keeps weight zero.
@@ -166,7 +176,7 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, score double")
 
 
-def op7_toxicity(spark, sf_dir: str, sample_size: int = 12_000) -> DataFrame:
+def op7_toxicity(spark, sf_dir: str, sample_size: int = 5000) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = held_out(F.col("doc_id"), 3, 1)
