@@ -1,17 +1,18 @@
 """Personal data: exact spans by pattern, and terms that would give it away.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
-Their values are the protected entities.  For each word beside an entity, the
-corpus tells how strongly it reveals it: with P(e|t) the share of the term's
-occurrences that stand beside the entity, the term discloses
+Their values are the protected entities.  For each word that shares a document
+with an entity, the corpus tells how strongly it reveals it: with P(e|t) the
+share of the term's documents that hold the entity, the term discloses
 ``log2(P(e|t) / P(e))`` of the entity's ``-log2 P(e)`` bits.  A term that
 discloses at least ``disclosure`` of the bits, in at least ``support``
-different contexts, is an added span: removed when it discloses ``removal`` of
-them, generalised otherwise.
+different texts, is an added span wherever it occurs, in documents without the
+entity too: removed when it discloses ``removal`` of them, generalised otherwise.
 
-Everything is DataFrame expressions.  Spans are found within the row; only
-entity contexts (not texts) are shuffled, and word counts are aggregated before
-their shuffle, so frequent words and groups of copies meet as partial counts.
+Everything is DataFrame expressions.  Spans are found within the row; texts with
+entities collapse to their distinct values and words before these meet, and word
+counts are aggregated before their shuffle, so frequent words and groups of
+copies meet as partial counts.
 """
 
 from __future__ import annotations
@@ -31,31 +32,29 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"\p{L}{3,}+"
-REACH = 96  # characters of context on either side of an entity
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, end, value, left, right).
+def located(text: Column, pattern: Column) -> Column:
+    """Leftmost non-overlapping matches as an array of (start, end, value).
 
-    Positions are code points; ``left`` and ``right`` are the text up to the
-    neighbouring matches.  Gaps and matches alternate, so positions are running
-    sums of their lengths.
+    Positions are code points.  Gaps and matches alternate, so positions are
+    running sums of their lengths.
     """
 
     def of(parts: Column) -> Column:
         gaps, found = parts["gaps"], parts["found"]
-        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("left"), found.alias("value"), F.slice(gaps, 2, F.size(found)).alias("right"))
-        none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
+        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("left"), found.alias("value"))
+        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
         def step(s: Column, x: Column) -> Column:
             start = s["at"] + F.char_length(x["left"])
             end = start + F.char_length(x["value"])
-            item = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
+            item = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
             return F.struct(end.alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
 
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
-    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")), of)
 
 
 def passes_luhn(digits: Column) -> Column:
@@ -86,81 +85,81 @@ def _valid(kind: str, x: Column) -> Column:
     return F.when(length.between(13, 19), passes_luhn(digits)).otherwise(F.lit(False))
 
 
-_HIT = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
+_HIT = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
 def base_hits(text: Column) -> Column:
-    """All valid base spans as an array of (kind number, start, end, value, left, right), in reporting order."""
+    """All valid base spans as an array of (kind number, start, end, value), in reporting order."""
     worth = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     number = text.rlike("[0-9]")
 
     def of(kind: str) -> Column:
         value = (lambda x: F.lower(x["value"])) if kind == "email" else (lambda x: _digits(x["value"]) if kind != "ip" else x["value"])
-        kept = F.filter(located(text, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))
+        kept = F.filter(located(text, F.lit(PATTERNS[kind])), lambda x: _valid(kind, x["value"]))
         hits = F.transform(
             kept,
-            lambda x: F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value(x).alias("value"),
-                F.right(x["left"], F.lit(REACH)).alias("left"), F.left(x["right"], F.lit(REACH)).alias("right"),
-            ),
+            lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value(x).alias("value")),
         )
         return F.when(worth.get(kind, number), hits).otherwise(F.array().cast(_HIT))
 
     return F.concat(*[of(k) for k in KINDS[:4]])
 
 
-def _context_terms(hits: Column) -> Column:
-    """Words beside each entity as (value, context, term, start, end); words cut by the window are left out."""
+def _outside(text: Column, hits: Column) -> Column:
+    """The text without the entities' spans and the letters that run into them."""
+    plain = F.translate(text, "\0", " ")
 
-    def of(h: Column) -> Column:
-        context = F.xxhash64(h["left"], h["right"])
-        origin = h["start"] - F.char_length(h["left"])
-        whole_left = F.char_length(h["left"]) < REACH
-        whole_right = F.char_length(h["right"]) < REACH
-        left = F.filter(located(h["left"], WORD), lambda w: whole_left | (w["start"] > 0))
-        right = F.filter(located(h["right"], WORD), lambda w: whole_right | (w["end"] < F.char_length(h["right"])))
-
-        def shift(base: Column):
-            return lambda w: F.struct(
-                h["value"].alias("value"), context.alias("context"), F.lower(w["value"]).alias("term"), (base + w["start"]).alias("start"), (base + w["end"]).alias("end")
-            )
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substring(plain, s["at"] + 1, x["start"] - s["at"])
+        out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(gap))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
-        return F.concat(F.transform(left, shift(origin)), F.transform(right, shift(h["end"])))
+    def joined(s: Column) -> Column:
+        marked = F.array_join(F.concat(s["out"], F.array(F.substring(plain, s["at"] + 1, F.char_length(plain)))), "\0")
+        return F.regexp_replace(F.regexp_replace(marked, r"(?<!\p{L})\p{L}++\x00", "\0"), r"\x00\p{L}*+", " ")
 
-    terms = F.flatten(F.transform(hits, of))
-    # A word inside another entity's span belongs to that span.
-    return F.filter(terms, lambda t: ~F.exists(hits, lambda h: (h["start"] < t["end"]) & (t["start"] < h["end"])))
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.when(F.size(hits) == 0, text).otherwise(F.aggregate(ordered, start, step, joined))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, hits, terms) for every row, written once; no text is kept."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    """(doc_id, text_hash, hits, words) for every row, written once; ``words`` are the distinct words outside entities."""
+    rows = _rows(docs)
     # The guard keeps the optimizer from evaluating the search again for each use.
-    hits = rows.select("doc_id", "text_hash", let(F.col("text"), base_hits).alias("hits"))
-    return cut(hits.select("doc_id", "text_hash", let(F.col("hits"), lambda h: F.struct(h.alias("hits"), _context_terms(h).alias("terms"))).alias("f")).select("doc_id", "text_hash", "f.hits", "f.terms"))
+    hits = rows.select("doc_id", "text_hash", "text", let(F.col("text"), base_hits).alias("hits"))
+
+    def both(h: Column) -> Column:
+        return F.struct(h.alias("hits"), F.array_distinct(F.regexp_extract_all(_outside(F.col("text"), h), F.lit(WORD), F.lit(0))).alias("words"))
+
+    return cut(hits.select("doc_id", "text_hash", let(F.col("hits"), both).alias("f")).select("doc_id", "text_hash", "f.hits", "f.words"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def disclosing_terms(table: DataFrame, docs: DataFrame, disclosure: float = 0.95, removal: float = 0.99, support: int = 2) -> DataFrame:
+def disclosing_terms(table: DataFrame, disclosure: float = 0.95, removal: float = 0.99, support: int = 2) -> DataFrame:
     """(value, term, revealed, remove): terms that give an entity away.
 
-    ``table`` is ``found(docs)``.  Term frequencies are counted over every
-    document; entity frequencies over every mention.
+    ``table`` is ``found(docs)``.  Terms and entities are counted once for each
+    row that holds them, over all rows.
     """
-    beside = table.select(F.explode("terms").alias("t")).select("t.value", "t.term", "t.context")
-    pairs = beside.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= support))
-    entities = table.select(F.explode("hits").alias("h")).groupBy("h.value").agg(F.count("*").alias("mentions"))
-    tokens = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0))).alias("term"))
-    counts = tokens.groupBy("term").agg(F.count("*").alias("occurrences"))
-    wanted = pairs.select("term").distinct()
-    # The total is counted along with the wanted terms, so the texts are read once.
-    kept = cut(counts.join(wanted.withColumn("wanted", F.lit(True)), "term", "left").groupBy(F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.sum("occurrences").alias("occurrences")))
-    total = kept.agg(F.sum("occurrences")).first()[0] or 1
-    rated = pairs.join(kept.where("term is not null"), "term").join(entities, "value")
-    given = F.least(F.col("together") / F.col("occurrences"), F.lit(1.0))
-    prior = F.col("mentions") / F.lit(float(total))
-    revealed = F.log2(given / prior) / -F.log2(prior)
+    terms = F.array_distinct(F.transform("words", F.lower))
+    values = F.array_distinct(F.transform("hits", lambda h: h["value"]))
+    some = table.where(F.size("hits") > 0).select("text_hash", values.alias("values"), terms.alias("terms"))
+    texts = cut(some.groupBy("text_hash").agg(F.count("*").alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms")))
+    entities = texts.select(F.explode("values").alias("value"), "copies").groupBy("value").agg(F.sum("copies").alias("holding"), F.count("*").alias("contexts"))
+    entities = cut(entities.where(F.col("contexts") >= support).select("value", "holding"))
+    beside = texts.select(F.explode("values").alias("value"), "copies", "terms").join(entities, "value").select("value", "copies", F.explode("terms").alias("term"))
+    pairs = cut(beside.groupBy("value", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= support))
+    counts = table.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("occurrences"))
+    counts = cut(counts.join(pairs.select("term").distinct(), "term", "left_semi"))
+    total = table.count() or 1
+    rated = pairs.join(counts, "term").join(entities, "value")
+    prior = F.col("holding") / F.lit(float(total))
+    revealed = F.log2(F.col("together") / F.col("occurrences") / prior) / -F.log2(prior)
     out = rated.select("value", "term", F.when(prior < 1, revealed).otherwise(F.lit(0.0)).alias("revealed"))
     return out.where(F.col("revealed") >= disclosure).withColumn("remove", F.col("revealed") >= removal)
 
@@ -168,19 +167,34 @@ def disclosing_terms(table: DataFrame, docs: DataFrame, disclosure: float = 0.95
 def sanitised_spans(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text_hash, hits, added) for every row of ``docs``.
 
-    ``hits`` are base spans and ``added`` the disclosing terms beside them as
-    (start, end, remove).  Null and empty texts have none.  Rows with equal id
+    ``hits`` are base spans and ``added`` all occurrences of disclosing terms
+    outside them as (start, end, remove).  Null and empty texts have none.  Rows with equal id
     and text get equal spans and stay repeated; a null doc_id is matched as a
     value.  Columns besides doc_id and text are not read.
     """
     table = found(docs)
-    terms = disclosing_terms(table, docs, **options)
-    mentions = table.select("doc_id", "text_hash", F.explode("terms").alias("t")).select("doc_id", "text_hash", "t.value", "t.term", "t.start", "t.end")
-    hit = mentions.join(terms, ["value", "term"])
-    added = hit.groupBy(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "remove"))).alias("added"))
-    joined = table.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")), "left")
+    terms = cut(disclosing_terms(table, **options).groupBy("term").agg(F.max("remove").alias("remove")))
+    words = table.select("doc_id", "text_hash", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    held = words.join(terms, "term").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("word", "remove")).alias("held"))
+    held = cut(held)
+
+    def same(a: DataFrame, b: DataFrame):
+        return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+
+    rows = _rows(docs)
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("held", lambda t: t["word"]), "|"), F.lit(r")(?!\p{L})"))
+
+    def spot(x: Column) -> Column:
+        removed = F.exists("held", lambda t: (t["word"] == x["value"]) & t["remove"])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), removed.alias("remove"))
+
+    spots = F.transform(located(F.col("text"), pattern), spot)
+    marked = rows.join(held, same(rows, held)).select(rows["doc_id"].alias("a_id"), rows["text_hash"].alias("a_hash"), spots.alias("spots")).dropDuplicates(["a_id", "a_hash"])
+    joined = table.join(marked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")), "left")
+    # A word inside an entity's span belongs to that span.
+    clear = F.filter("spots", lambda t: ~F.exists("hits", lambda h: (h["start"] < t["end"]) & (t["start"] < h["end"])))
     none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
-    return joined.select("doc_id", "text_hash", "hits", F.coalesce("added", none).alias("added"))
+    return joined.select("doc_id", "text_hash", "hits", F.coalesce(clear, none).alias("added"))
 
 
 def _listed(spans: Column) -> Column:
@@ -216,7 +230,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     base = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(labels, h["kind"] + 1).alias("put")))
     more = F.transform("added", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.when(a["remove"], "").otherwise("[TERM]").alias("put")))
     own_id, own_hash, own = unused(docs, "span_id", "span_hash", "span_changes")
-    changes = spans.where((F.size("hits") > 0)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.array_sort(F.concat(base, more)).alias(own))
+    changes = spans.where((F.size("hits") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.array_sort(F.concat(base, more)).alias(own))
     text = F.col("text").cast("string")
 
     def step(s: Column, x: Column) -> Column:
