@@ -3,14 +3,18 @@
 A pattern is tried only on URLs that contain its index token.  The token is the
 rarest, over all URLs of the table, of the literals the pattern can't match
 without; those counts come from one aggregation over the table, restricted to
-the literals of the rules.  Rules number at most ``MAX_RULES``, which bounds
-the index that every task holds.
+the literals of the rules.  A literal is an index token only where the
+expression itself fixes both its borders, so that it is a whole token of every
+URL that matches; a pattern without such a literal is tried on every URL.
+Rules number at most ``MAX_RULES``, which bounds the index that every task holds.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants as C
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,13 +24,58 @@ MAX_RULES = 100_000
 TOKEN = "[a-z0-9]+"
 
 
+_TOKEN_CODES = frozenset(map(ord, "abcdefghijklmnopqrstuvwxyz0123456789"))
+
+
+def _only_borders(op, value) -> bool:
+    """Whether a parsed item consumes one character, and never one of a token."""
+    if op is C.LITERAL:
+        return value not in _TOKEN_CODES
+    if op is not C.IN or value[0][0] is C.NEGATE:
+        return False
+    for kind, x in value:
+        if kind is C.LITERAL and x not in _TOKEN_CODES:
+            continue
+        if kind is C.RANGE and _TOKEN_CODES.isdisjoint(range(x[0], x[1] + 1)):
+            continue
+        return False
+    return True
+
+
+def bordered_literals(expression: str) -> set[str]:
+    """Tokens that stand whole in every text the expression matches.
+
+    Runs of plain characters at the top level count if the items on both sides
+    consume a character that no token holds.  Everything else, flags included,
+    gives none.
+    """
+    parsed = _parser.parse(expression)
+    if parsed.state.flags & ~C.SRE_FLAG_UNICODE:
+        return set()
+    out, run, whole = set(), "", False
+    for op, value in parsed:
+        if op is C.LITERAL and value in _TOKEN_CODES:
+            run += chr(value)
+            continue
+        border = _only_borders(op, value)
+        if run and whole and border:
+            out.add(run)
+        run, whole = "", border
+    return out
+
+
 @dataclass(frozen=True)
 class Pattern:
-    """A block pattern and the tokens every URL it matches must hold."""
+    """A block pattern and literals that every URL it matches holds; ``tokens`` are those that may index it."""
 
     expression: str
     literals: tuple[str, ...]
 
+    @property
+    def tokens(self) -> tuple[str, ...]:
+        whole = bordered_literals(self.expression)
+        return tuple(t for t in self.literals if t in whole)
+
 
 #: Host and path rules: (verdict, host, path prefix).
 PLACE_RULES = (
@@ -61,12 +110,14 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def rarest_tokens(pages: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> dict[str, str]:
-    """Pattern expression -> its rarest literal over all URLs of ``pages``."""
-    literals = sorted({t for p in patterns for t in p.literals})
+    """Pattern expression -> its rarest index token over all URLs of ``pages``; patterns without one are left out."""
+    literals = sorted({t for p in patterns for t in p.tokens})
+    if not literals:
+        return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(f"({TOKEN})")))
     hits = F.explode(F.array_intersect(tokens, F.array(*map(F.lit, literals))))
     counts = {r.t: r.n for r in pages.select(hits.alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    return {p.expression: min(p.literals, key=lambda t: (counts.get(t, 0), t)) for p in patterns}
+    return {p.expression: min(p.tokens, key=lambda t: (counts.get(t, 0), t)) for p in patterns if p.tokens}
 
 
 def filter_urls(pages: DataFrame, places=PLACE_RULES, patterns=PATTERNS) -> DataFrame:
@@ -83,8 +134,10 @@ def filter_urls(pages: DataFrame, places=PLACE_RULES, patterns=PATTERNS) -> Data
         by_host.setdefault(host, []).append((path, host + path, verdict))
     index_tokens = rarest_tokens(pages, patterns) if patterns else {}
     by_token: dict[str, list[tuple[int, str]]] = {}
+    everywhere: list[tuple[int, str]] = []
     for rank, p in enumerate(patterns):
-        by_token.setdefault(index_tokens[p.expression], []).append((rank, p.expression))
+        at = by_token.setdefault(index_tokens[p.expression], []) if p.expression in index_tokens else everywhere
+        at.append((rank, p.expression))
 
     def run(batches):
         compiled = {p.expression: re.compile(p.expression) for p in patterns}
@@ -101,7 +154,7 @@ def filter_urls(pages: DataFrame, places=PLACE_RULES, patterns=PATTERNS) -> Data
             if best:
                 return host, path, *best, None
             low = (url or "").lower()
-            candidates = sorted({c for t in set(token.findall(low)) & by_token.keys() for c in by_token[t]})
+            candidates = sorted({*everywhere, *(c for t in set(token.findall(low)) & by_token.keys() for c in by_token[t])})
             for _, expression in candidates:
                 if compiled[expression].search(low):
                     return host, path, None, "block", expression
