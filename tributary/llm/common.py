@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Characters that separate words in every contract of this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
+_BLANK = frozenset(SPACES.encode())
+_BLANK_BYTES = np.frombuffer(SPACES.encode(), np.uint8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a local master; elsewhere other
+    hosts would not see it, so that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-tributary-")
-        context.setCheckpointDir(named)
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-tributary-"))
     return context.getCheckpointDir()
 
 
@@ -36,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` has written for this application; results that still read them fail after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The given names, each lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -109,14 +125,18 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
-    if _powers is None or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            up = np.full(n, _BASE, np.uint64)
-            down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            _powers = (np.cumprod(up), np.cumprod(down))
-    return _powers
+    if _powers is not None and len(_powers[0]) >= n:
+        return _powers
+    n = max(n, 1 << 20)
+    with np.errstate(over="ignore"):
+        up = np.full(n, _BASE, np.uint64)
+        down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        tables = (np.cumprod(up), np.cumprod(down))
+    # Tables for a longer text than usual aren't kept for the worker's life.
+    if n <= 1 << 22:
+        _powers = tables
+    return tables
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -162,7 +182,71 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of values[bounds[i]:bounds[i+1]] for each i; empty segments give zero."""
-    total = np.zeros((len(values) + 1,) + values.shape[1:], np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sum of values[bounds[i]:bounds[i+1]] for each i, of that segment's values alone; empty segments give zero."""
+    out = np.zeros((len(bounds) - 1,) + values.shape[1:], np.float64)
+    filled = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(filled):
+        out[filled] = np.add.reduceat(values[: bounds[-1]].astype(np.float64), bounds[:-1][filled], axis=0)
+    return out
+
+
+def fragments(data: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Consecutive parts of one text's bytes, about ``size`` each, that end after white space.
+
+    A run without white space is never cut.
+    """
+    out, at = [], 0
+    while at < len(data):
+        stop = min(len(data), at + size)
+        while stop < len(data) and data[stop - 1] not in _BLANK:
+            more = np.flatnonzero(np.isin(data[stop : stop + size], _BLANK_BYTES))
+            stop = min(len(data), stop + (int(more[0]) + 1 if len(more) else size))
+        out.append((at, stop))
+        at = stop
+    return out
+
+
+def drawn(keys: DataFrame, sample_size: int, salt: int, by: str | None = None, floor: int = 200) -> DataFrame:
+    """At most ``sample_size`` rows of ``keys`` (distinct doc_id, ...), the same on every run.
+
+    The rows with the smallest hashes of their id are taken.  With ``by``, a
+    column of few values, each value has its share of the sample by its rows,
+    and ``floor`` rows at least where it has that many.
+    """
+    order = F.xxhash64("doc_id", F.lit(salt))
+    hashed = keys.withColumn("draw", order)
+    if by is None:
+        return hashed.orderBy("draw", "doc_id").limit(sample_size)
+    counts = {r[0]: r[1] for r in keys.groupBy(by).count().orderBy(F.desc("count"), by).limit(sample_size).collect()}
+    least = max(1, min(floor, sample_size // max(1, 2 * len(counts))))
+    spare, total = max(0, sample_size - least * len(counts)), sum(counts.values())
+    kind = StructType([StructField(by, keys.schema[by].dataType), StructField("share", LongType())])
+    shares = keys.sparkSession.createDataFrame([(value, least + spare * n // total) for value, n in counts.items()], kind)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("draw", "doc_id"))
+    # The constant bound lets each task cut its rows before the shuffle.
+    ranked = hashed.withColumn("place", place).where(F.col("place") <= sample_size)
+    return ranked.join(F.broadcast(shares), by).where(F.col("place") <= F.col("share")).drop("place", "share")
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, sample_bytes: int) -> DataFrame:
+    """(draw, doc_id, text, ...) of the chosen ids: one row for each, ``sample_bytes`` of text in all.
+
+    Of rows that repeat an id the text with the least hash counts.  Ids are
+    taken in the order of their draw while their texts fit (one at least); the
+    table is written, so the rows are read from ``docs`` once.
+    """
+    extra = [c for c in chosen.columns if c != "doc_id"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    single = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), *[F.first(c).alias(c) for c in extra])
+    table = cut(single)
+    sizes = table.select("draw", F.octet_length("text").alias("n")).orderBy("draw", "doc_id").collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r.n
+        if last is not None and total > sample_bytes:
+            return table.where(F.col("draw") <= last)
+        last = r.draw
+    return table
+
+
