@@ -8,8 +8,9 @@ activations (their mean and their maximum) are combined into one probability.
 
 As a filter sees a byte through a table of 512 entries, a convolution is
 ``WIDTH`` table look-ups for each byte.  The network is fitted on at most
-``sample_size`` labelled documents, read whole; scoring works on pieces of
-bounded size and gives a text the same score whatever its neighbours.
+``sample_size`` labelled documents and ``sample_bytes`` of text, read whole;
+scoring works on pieces of bounded size, a long text's chunks in turns, and
+gives a text the same score whatever its neighbours.
 """
 
 from __future__ import annotations
@@ -157,27 +158,50 @@ def fit(texts: pa.Array, label: np.ndarray, epochs: int = 14, batch_bytes: int =
 
 
 def train(sample: DataFrame, **options) -> Network:
-    """Fit on (label, text) rows; null texts count as empty."""
-    rows = sample.select("label", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    """Fit on (draw, doc_id, label, text) rows; null texts count as empty."""
+    rows = sample.select("draw", "doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).toArrow()
     if not rows.num_rows:
         return fit(pa.array([], pa.string()), np.zeros(0), **options)
+    rows = rows.sort_by([("draw", "ascending"), ("doc_id", "ascending")])
     return fit(rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("label").to_numpy().astype(np.float64), **options)
 
 
+def long_text_tops(data: np.ndarray, tables: np.ndarray, turn: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled responses of one text's chunks and its first chunk (and the end), ``turn`` chunks at a time.
+
+    A turn reads the bytes before it that marks look back on and those after
+    it that its last windows need.
+    """
+    stride = CHUNK - WIDTH + 1
+    back, tops = max(LAGS) + 4, []
+    for at in range(0, len(data), turn * stride):
+        stop = min(len(data), at + turn * stride)
+        low, high = max(0, at - back), min(len(data), stop + back)
+        codes, begins = layout(data[low:high], np.array([0, high - low]))
+        start, end, _ = chunks(begins + at - low, np.array([stop - at]))
+        tops.append(pooled(responses(codes, tables), start, end))
+    return np.concatenate(tops), np.array([0, sum(map(len, tops))])
+
+
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score) for every row; null texts score as empty ones.
 
-    Repeated rows stay repeated; columns besides doc_id and text are not read.
+    Very long texts are read whole, in turns of bounded size.  Repeated rows
+    stay repeated; columns besides doc_id and text are not read.
     """
-    tables = net.tables()
+    tables, most = net.tables(), 1 << 18
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 18):
+            for part in pieces(batch, "text", most):
                 data, offsets = text_bytes(part.column(1))
-                codes, begins = layout(data, offsets)
-                start, end, first = chunks(begins, np.diff(offsets))
-                p, _, _ = combine(net, pooled(responses(codes, tables), start, end), first)
+                if len(data) > most:  # a single row
+                    top, first = long_text_tops(data, tables)
+                else:
+                    codes, begins = layout(data, offsets)
+                    start, end, first = chunks(begins, np.diff(offsets))
+                    top = pooled(responses(codes, tables), start, end)
+                p, _, _ = combine(net, top, first)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
