@@ -3,9 +3,11 @@
 Features are TF-IDF weights of hashed character n-grams.  Document frequencies
 come from one pass over every document of the training fold; the regression is
 trained with follow-the-regularised-leader (FTRL-proximal) under an elastic-net
-penalty on at most ``sample_size`` documents, and one temperature is fitted on
-documents of the sample that training set aside.  Scoring is a table look-up
-for each n-gram, so documents are read whole in vectorised pieces.
+penalty on at most ``sample_size`` documents and ``sample_bytes`` of text, in
+which every language has some, and one temperature is fitted on documents of
+the sample that training set aside.  Scoring is a table look-up for each
+n-gram, so documents are read whole in vectorised pieces, a long one in
+fragments.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, segment_sums, text_bytes
+from .common import drawn, held_out, pieces, segment_sums, text_bytes, texts_of
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 UNKNOWN = "und"
 _TABLE = 0x250
+FRAGMENT = 1 << 20
 
 
 def _folded() -> np.ndarray:
@@ -48,7 +51,10 @@ class Model:
 
 def code_points(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points of all rows end to end, and each row's offset."""
-    data, offsets = text_bytes(part.column(column))
+    return folded_points(*text_bytes(part.column(column)))
+
+
+def folded_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     low = points < _TABLE
@@ -57,6 +63,28 @@ def code_points(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarr
     return folded, starts[offsets]
 
 
+def ngrams(part: pa.RecordBatch, column: int):
+    """For rows of a batch in turn: (row, buckets of its n-grams).
+
+    A long row comes in fragments that overlap by the longest n-gram but one
+    character; n-grams that start in the overlap count in the next fragment.
+    """
+    data, offsets = text_bytes(part.column(column))
+    if len(data) <= 2 * FRAGMENT:
+        points, bounds = folded_points(data, offsets)
+        grams = [ngram_buckets(points, bounds, order) for order in ORDERS]
+        for i in range(part.num_rows):
+            yield i, np.concatenate([h[b[i] : b[i + 1]] for h, b in grams])
+        return
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    for at in range(0, len(begins), FRAGMENT):
+        stop, most = at + FRAGMENT, at + FRAGMENT + max(ORDERS) - 1
+        own = data[begins[at] : begins[most] if most < len(begins) else len(data)]
+        points, _ = folded_points(own, np.array([0, len(own)]))
+        grams = [ngram_buckets(points, np.array([0, len(points)]), order)[0] for order in ORDERS]
+        yield 0, np.concatenate([g[: stop - at] for g in grams])
+
+
 def ngram_buckets(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the n-gram that starts at each place, and where each row's n-grams begin.
 
@@ -84,13 +112,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         seen, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                points, offsets = code_points(part, 0)
-                grams = [ngram_buckets(points, offsets, order) for order in ORDERS]
-                for i in range(part.num_rows):
-                    own = np.zeros(BUCKETS, bool)
-                    for h, bounds in grams:
-                        own[h[bounds[i] : bounds[i + 1]]] = True
-                    seen += own
+                own, at = np.zeros(BUCKETS, bool), 0
+                for i, found in ngrams(part, 0):
+                    if i != at:
+                        seen += own
+                        own, at = np.zeros(BUCKETS, bool), i
+                    own[found] = True
+                seen += own
                 rows += part.num_rows
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], rows))], ["bucket", "n"])
@@ -147,31 +175,36 @@ def temperature_of(scores: np.ndarray, label: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, sample_size: int = 4000, alpha: float = 3.0, l1: float = 0.01, l2: float = 0.001, steps: int = 8000) -> Model:
+def train(docs: DataFrame, sample_size: int = 4000, alpha: float = 3.0, l1: float = 0.01, l2: float = 0.001, steps: int = 8000, sample_bytes: int = 32 << 20) -> Model:
     """Fit on rows (doc_id, text, lang); rows with a null text or lang teach nothing.
 
     ``docs`` is the whole training fold: document frequencies read all of it.
+    The weights are fitted on a sample in which each language has its share,
+    and 200 documents where it has so many; of a repeated id the least language
+    counts.
     """
     known = docs.where("lang is not null and text is not null")
     seen, total = document_frequencies(known)
-    share = min(1.0, 0.95 * sample_size / max(1, total))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_size)
     idf = np.log((1 + total) / (1 + seen)) + 1
+    named = known.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("lang").alias("lang"))
 
     def sparse(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                points, offsets = code_points(part, 1)
-                grams = [ngram_buckets(points, offsets, order) for order in ORDERS]
-                rows, values = [], []
-                for i in range(part.num_rows):
-                    counts = np.bincount(np.concatenate([h[b[i] : b[i + 1]] for h, b in grams]), minlength=1)
-                    at = np.flatnonzero(counts)
-                    rows.append(at)
-                    values.append(counts[at] / max(1, counts.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["lang", "rows", "tf"])
-
-    table = drawn.select("lang", "text").mapInArrow(sparse, "lang string, rows array<int>, tf array<float>").toArrow()
+                counts = [np.zeros(BUCKETS, np.int64) for _ in range(part.num_rows)] if part.num_rows == 1 else {}
+                rows, values = [None] * part.num_rows, [None] * part.num_rows
+                for i, found in ngrams(part, 3):
+                    own = np.bincount(found, minlength=BUCKETS)
+                    if part.num_rows == 1:
+                        own = counts[0] = counts[0] + own
+                    at = np.flatnonzero(own)
+                    rows[i], values[i] = at, own[at] / max(1, own.sum())
+                empty = np.zeros(0)
+                rows, values = ([empty if x is None else x for x in y] for y in (rows, values))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["draw", "doc_id", "lang", "rows", "tf"])
+
+    sample = texts_of(known.select("doc_id", "text"), drawn(named, sample_size, 11, by="lang"), sample_bytes).select("draw", "doc_id", "lang", "text")
+    table = sample.mapInArrow(sparse, "draw long, doc_id long, lang string, rows array<int>, tf array<float>").toArrow().sort_by([("draw", "ascending"), ("doc_id", "ascending")])
     names = table.column("lang").to_pylist()
     languages = tuple(sorted(set(names)))
     if not languages:
@@ -195,12 +228,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Texts that are null or hold no letter, and all texts where nothing was
     learned, are ``und`` with score 0; ties go to the first language in
-    alphabetical order.  Repeated rows stay repeated; other columns are not read.
+    alphabetical order.  Very long texts are read whole, in fragments.  Repeated
+    rows stay repeated; other columns are not read.
     """
     names = np.array([*model.languages, UNKNOWN], dtype=object)
-    table = np.ascontiguousarray(model.table)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        model = shared.value
+        table = np.ascontiguousarray(model.table)
         for batch in batches:
             for part in pieces(batch, "text"):
                 lettered = np.array(part.column(2).to_pylist(), bool) if part.num_rows else np.zeros(0, bool)
@@ -208,13 +244,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best, score = np.full(part.num_rows, 0), np.zeros(part.num_rows)
                     lettered[:] = False
                 else:
-                    points, offsets = code_points(part, 1)
+                    data, offsets = text_bytes(part.column(1))
                     total, count = np.zeros((part.num_rows, len(model.languages))), np.zeros(part.num_rows)
-                    for order in ORDERS:
-                        h, bounds = ngram_buckets(points, offsets, order)
-                        for c in range(len(model.languages)):
-                            total[:, c] += segment_sums(table[:, c][h], bounds)
-                        count += np.diff(bounds)
+                    if len(data) > 2 * FRAGMENT:  # a single row
+                        for _, found in ngrams(part, 1):
+                            total[0] += table[found].sum(0)
+                            count[0] += len(found)
+                    else:
+                        points, offsets = folded_points(data, offsets)
+                        for order in ORDERS:
+                            h, bounds = ngram_buckets(points, offsets, order)
+                            for c in range(len(model.languages)):
+                                total[:, c] += segment_sums(table[:, c][h], bounds)
+                            count += np.diff(bounds)
                     s = (total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature
                     p = np.exp(s - s.max(1, keepdims=True))
                     p /= p.sum(1, keepdims=True)
