@@ -17,6 +17,7 @@ import heapq
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,8 @@ class BytePairCodec:
         symbols = byte_symbols()
         self.inner = [self.ids[s] for s in symbols]
         self.final = [self.ids[s + self.suffix] for s in symbols]
-        self.fresh: dict[str, tuple[int, str, str]] = {}
-        self.aged: dict[str, tuple[int, str, str]] = {}
+        self.fresh: dict[str, tuple[list[int], str]] = {}
+        self.aged: dict[str, tuple[list[int], str]] = {}
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece."""
@@ -107,14 +108,14 @@ class BytePairCodec:
                     heapq.heappush(queue, (found[0], h, found[1]))
         return [s for s in symbols if s >= 0]
 
-    def coded(self, piece: str) -> tuple[int, str, str]:
-        """(number of ids, decimal ids, vocabulary strings) of one piece, both space-joined."""
+    def coded(self, piece: str) -> tuple[list[int], str]:
+        """Ids of one piece, and the same in decimal, space-joined."""
         known = self.fresh.get(piece)
         if known is None:
             known = self.aged.get(piece)
             if known is None:
                 ids = self.merge(piece)
-                known = (len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]))
+                known = (ids, " ".join(map(str, ids)))
             if len(piece) <= 64:
                 if len(self.fresh) >= CACHE_PIECES // 2:
                     self.aged, self.fresh = self.fresh, {}
@@ -128,25 +129,29 @@ class BytePairCodec:
                 text = text.replace("Σ", "σ")
         return self.spaces.sub(" ", text).lower()
 
-    def coded_pieces(self, text: str | None) -> list[tuple[int, str, str]]:
+    def coded_pieces(self, text: str | None) -> list[tuple[list[int], str]]:
         """One entry for each piece of a whole text; special tokens stand for themselves."""
         text = text or ""
-        out: list[tuple[int, str, str]] = []
-        parts = self.marked.split(text) if self.marked and "<|" in text else [text]
+        out: list[tuple[list[int], str]] = []
+        parts = self.marked.split(text) if any(s in text for s in self.special) else [text]
         coded = self.coded
         for part in parts:
             if part in self.special:
-                out.append((1, str(self.special[part]), part))
+                out.append(([self.special[part]], str(self.special[part])))
             elif part:
                 out += [coded(p) for p in self.piece.findall(self.normalised(part))]
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.coded_pieces(text) for i in ids.split(" ")]
+        return list(chain.from_iterable([c[0] for c in self.coded_pieces(text)]))
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, space-joined as the file names no decoder; unknown ids are skipped."""
-        return " ".join([self.strings[i] for i in ids if i in self.strings])
+        strings = self.strings
+        try:
+            return " ".join([strings[i] for i in ids])
+        except KeyError:
+            return " ".join([strings[i] for i in ids if i in strings])
 
 
 @lru_cache(maxsize=2)
@@ -175,12 +180,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 counts, ids, decoded, lists = [], [], [], []
                 for text in part.column(1).to_pylist():
                     coded = own.coded_pieces(text)
-                    listed = " ".join([c[1] for c in coded])
-                    counts.append(sum([c[0] for c in coded]))
-                    ids.append(_digest(listed))
-                    decoded.append(_digest(" ".join([c[2] for c in coded])))
+                    found = list(chain.from_iterable([c[0] for c in coded]))
+                    counts.append(len(found))
+                    ids.append(_digest(" ".join([c[1] for c in coded])))
+                    decoded.append(_digest(own.decode(found)))
                     if with_ids:
-                        lists.append(np.array(listed.split(), np.int32))
+                        lists.append(np.array(found, np.int32))
                 arrays = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
                     arrays.append(pa.array(lists, pa.list_(pa.int32())))
