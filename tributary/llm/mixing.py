@@ -8,27 +8,33 @@ rates r >= 0 of the documents then minimise
 
 with t_i the document's tokens and T_d the domain's target tokens, by projected
 gradient descent in the metric that weighs a document by its tokens: a step
-changes r_i by -step * sum_d p_id g_d, then clips it to [0, max_rate].  A step
-needs only the D residuals, which one aggregation over the documents gives; the
-step length comes from the D x D moment matrix.  Nothing that grows with the
-documents reaches the driver, and the rates are columns of a table.
+changes r_i by -step * sum_d p_id g_d, then projects it on r_i >= 0 (and on an
+upper bound, where one is asked for).  A step needs only the D residuals, which
+one aggregation over the documents gives; the step length comes from the D x D
+moment matrix.  Nothing that grows with the documents reaches the driver.  The
+steps taken are a short list, so a rate is a fold over p within the row and no
+text is shuffled to be mixed.
 
 Domains are fixed by the labelled table (few); the classifier is fitted on at
-most ``sample_size`` labelled documents and applied to whole texts.
+most ``sample_size`` labelled documents and ``sample_bytes`` of text, and
+applied to whole texts, a very long one in fragments.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import cut, letter_words, pieces, segment_sums, text_bytes, unused
+from .common import cut, drawn, fragments, letter_words, pieces, segment_sums, text_bytes, texts_of, unused
 
 BUCKETS = 1 << 17
+FRAGMENT = 1 << 20
 DENSE = 6
 MAX_DOMAINS = 64
 #: Word scores of a document of n words are divided by n ** DAMPING.
@@ -52,33 +58,35 @@ class Classifier:
     bias: np.ndarray
 
 
-def measures(data: np.ndarray, offsets: np.ndarray):
-    """Word buckets, first word of each row (and the end), dense ratios and tokens of each row."""
+def counts(data: np.ndarray, offsets: np.ndarray):
+    """Word buckets, first word of each row (and the end) and counts of each row: tokens, symbols, capitals, repeated words, exclamation marks, bars."""
     starts, _, hashes = letter_words(data, offsets)
     bounds = np.searchsorted(starts, offsets)
     buckets = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
     same = np.zeros(len(buckets), bool)
     same[1:] = buckets[1:] == buckets[:-1]
+    firsts = bounds[:-1][bounds[:-1] < len(same)]
+    same[firsts] = False
     begins = ~_SPACE[data]
     begins[1:] &= _SPACE[data[:-1]]
     edges = offsets[:-1][offsets[:-1] < len(data)]
     begins[edges] = ~_SPACE[data[edges]]
-    tokens = segment_sums(begins.astype(np.float64), offsets)
-    chars = np.maximum(np.diff(offsets), 1)
-    n_words = np.maximum(np.diff(bounds), 1)
     upper = (data >= 65) & (data <= 90)
-    dense = np.stack(
-        [
-            10 * segment_sums(_SYMBOL[data].astype(np.float64), offsets) / chars,
-            5 * segment_sums(upper.astype(np.float64), offsets) / chars,
-            5 * segment_sums(same.astype(np.float64), bounds) / n_words,
-            10 * segment_sums((data == 33).astype(np.float64), offsets) / chars,
-            np.log1p(tokens) / 5,
-            10 * segment_sums((data == 124).astype(np.float64), offsets) / chars,
-        ],
-        1,
-    )
-    return buckets, bounds, dense, tokens
+    per_byte = [segment_sums(x.astype(np.float64), offsets) for x in (begins, _SYMBOL[data], upper, data == 33, data == 124)]
+    return buckets, bounds, np.stack([*per_byte[:3], segment_sums(same.astype(np.float64), bounds), *per_byte[3:]], 1)
+
+
+def ratios(found: np.ndarray, chars: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Dense features of each row from its counts, bytes and words."""
+    chars, n_words = np.maximum(chars, 1), np.maximum(n_words, 1)
+    tokens, symbols, capitals, same, marks, bars = found.T
+    return np.stack([10 * symbols / chars, 5 * capitals / chars, 5 * same / n_words, 10 * marks / chars, np.log1p(tokens) / 5, 10 * bars / chars], 1)
+
+
+def measures(data: np.ndarray, offsets: np.ndarray):
+    """Word buckets, first word of each row (and the end), dense ratios and tokens of each row."""
+    buckets, bounds, found = counts(data, offsets)
+    return buckets, bounds, ratios(found, np.diff(offsets), np.diff(bounds)), found[:, 0]
 
 
 def logits(buckets, bounds, dense, model: Classifier) -> np.ndarray:
@@ -86,6 +94,21 @@ def logits(buckets, bounds, dense, model: Classifier) -> np.ndarray:
     return segment_sums(model.words[buckets], bounds) * scale + dense @ model.dense + model.bias
 
 
+def long_text_logits(data: np.ndarray, model: Classifier, size: int = FRAGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Logits (one row) and tokens of one text, read in fragments that end after white space."""
+    total, found, n_words, last = np.zeros((1, len(model.domains))), np.zeros((1, 6)), 0, -1
+    for a, b in fragments(data, size):
+        buckets, bounds, own = counts(data[a:b], np.array([0, b - a]))
+        total += segment_sums(model.words[buckets], bounds)
+        if len(buckets):
+            own[0, 3] += buckets[0] == last
+            last = buckets[-1]
+        found += own
+        n_words += len(buckets)
+    dense = ratios(found, np.array([len(data)]), np.array([n_words]))
+    return total * max(n_words, 1.0) ** -DAMPING + dense @ model.dense + model.bias, found[:, 0]
+
+
 def softmax(s: np.ndarray) -> np.ndarray:
     p = np.exp(s - s.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -127,20 +150,21 @@ def fit(domain: np.ndarray, domains: tuple[str, ...], buckets, bounds, dense, ep
 
 
 def train(sample: DataFrame, domains: tuple[str, ...], **options) -> Classifier:
-    """Fit on rows (domain, text); rows of other domains teach nothing."""
+    """Fit on rows (draw, doc_id, domain, text); rows of other domains teach nothing."""
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                data, offsets = text_bytes(part.column(1))
+                data, offsets = text_bytes(part.column(3))
                 buckets, bounds, dense, _ = measures(data, offsets)
                 lists = [buckets[bounds[i] : bounds[i + 1]] for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int32())), pa.array(list(dense), pa.list_(pa.float64()))], ["domain", "words", "dense"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lists, pa.list_(pa.int32())), pa.array(list(dense), pa.list_(pa.float64()))], ["draw", "doc_id", "domain", "words", "dense"])
 
-    known = sample.where(F.col("domain").isin(*domains)).select("domain", F.col("text").cast("string").alias("text"))
-    table = known.mapInArrow(run, "domain string, words array<int>, dense array<double>").toArrow()
+    known = sample.where(F.col("domain").isin(*domains)).select("draw", "doc_id", "domain", F.col("text").cast("string").alias("text"))
+    table = known.mapInArrow(run, "draw long, doc_id long, domain string, words array<int>, dense array<double>").toArrow()
+    table = table.sort_by([("draw", "ascending"), ("doc_id", "ascending")])
     domain = np.array([domains.index(x) for x in table.column("domain").to_pylist()], np.int64)
     words = table.column("words").combine_chunks()
     lengths = np.array([len(x) for x in words], np.int64)
@@ -148,45 +172,86 @@ def train(sample: DataFrame, domains: tuple[str, ...], **options) -> Classifier:
     return fit(domain, domains, words.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), dense, **options)
 
 
-def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, p) for every row; p is the posterior over the model's domains.
+def posteriors(docs: DataFrame, model: Classifier, n_tokens: str = "n_tokens", p: str = "p") -> DataFrame:
+    """``docs`` with its tokens and its posterior over the model's domains, as two more columns.
 
     Tokens are runs of characters other than white space; null texts have none.
+    Very long texts are read whole, in fragments.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        model = shared.value
         for batch in batches:
+            at = batch.schema.get_field_index("text")
             for part in pieces(batch, "text"):
-                data, offsets = text_bytes(part.column(2))
-                buckets, bounds, dense, tokens = measures(data, offsets)
-                p = softmax(logits(buckets, bounds, dense, model))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(tokens.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "text_hash", "n_tokens", "p"]
-                )
+                data, offsets = text_bytes(part.column(at))
+                if len(data) > 2 * FRAGMENT:  # a single row
+                    s, tokens = long_text_logits(data, model)
+                else:
+                    buckets, bounds, dense, tokens = measures(data, offsets)
+                    s = logits(buckets, bounds, dense, model)
+                more = [pa.array(tokens.astype(np.int64)), pa.array(list(softmax(s)), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, n_tokens, p])
+
+    schema = StructType([*docs.schema.fields, StructField(n_tokens, LongType()), StructField(p, ArrayType(DoubleType()))])
+    return docs.mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Rates:
+    """Steps (momentum, pull of each domain) that lead from rate 1 to the fitted rates."""
+
+    domains: tuple[str, ...]
+    steps: tuple[tuple[float, tuple[float, ...]], ...]
+    max_rate: float | None
+    wanted: tuple[float, ...]
+    reached: tuple[float, ...]
+
+    def unmet(self, tolerance: float = 0.01) -> dict[str, float]:
+        """Domains whose tokens miss their target by more than ``tolerance`` of it, with the share of it that is reached."""
+        return {d: h / max(w, 1.0) for d, w, h in zip(self.domains, self.wanted, self.reached) if abs(h - w) > tolerance * max(w, 1.0)}
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, p array<double>")
+    def of(self, n_tokens: Column, p: Column) -> Column:
+        """Rate of a row; 1 for a row without tokens, as no target depends on it."""
+        one = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("last"))
+        return _after(one, self.steps, n_tokens, p, self.max_rate)["rate"]
 
 
-def fit_rates(
-    table: DataFrame, domains: tuple[str, ...], target: dict[str, float], anchor: str | None = None, max_rate: float = 4.0, rounds: int = 60, tolerance: float = 1e-3, every: int = 12
-) -> DataFrame:
-    """``table`` (n_tokens, p, ...) with a column ``rate``.
+def _after(start: Column, steps, n_tokens: Column, p: Column, max_rate: float | None) -> Column:
+    """(rate, last) after the steps: one short fold within the row."""
+    if not steps:
+        return start
+    done = F.array(*[F.array(F.lit(float(m)), *[F.lit(float(x)) for x in g]) for m, g in steps])
+    k = len(steps[0][1])
+
+    def move(s: Column, h: Column) -> Column:
+        ahead = s["rate"] + F.element_at(h, 1) * (s["rate"] - s["last"])
+        pull = sum((F.element_at(p, i + 1) * F.element_at(h, i + 2) for i in range(k)), F.lit(0.0))
+        rate = F.greatest(ahead - pull, F.lit(0.0))
+        return F.struct((rate if max_rate is None else F.least(rate, F.lit(float(max_rate)))).alias("rate"), s["rate"].alias("last"))
+
+    return F.when(n_tokens > 0, F.aggregate(done, start, move)).otherwise(start)
+
+
+def descend(
+    table: DataFrame, domains: tuple[str, ...], target: dict[str, float], anchor: str | None = None, max_rate: float | None = None, rounds: int = 60, tolerance: float = 1e-3, every: int = 12
+) -> Rates:
+    """The rates that fit ``table`` (n_tokens, p) to the target.
 
     ``target`` holds the domains' shares of the mixture, whose size is that of
     all tokens at rate 1, or with an ``anchor`` domain a tenth more than that
     domain's tokens would call for (so at a maximum rate of 1 its documents are
     taken whole and the others give way).  Steps carry Nesterov's momentum,
-    restarted when the residual grows.  An empty table stays empty; documents
-    without tokens keep rate 1, as no target depends on them.
+    restarted when the residual grows.  Targets that stay out of reach are
+    warned of and named by ``Rates.unmet``.
     """
     k = len(domains)
     p = [F.element_at("p", i + 1) for i in range(k)]
     t = F.col("n_tokens").cast("double")
     totals = table.agg(F.sum(t), *[F.sum(t * x) for x in p], *[F.sum(t * p[a] * p[b]) for a in range(k) for b in range(k)]).first()
     if not totals[0]:
-        return table.withColumn("rate", F.lit(1.0))
+        return Rates(domains, (), max_rate, (0.0,) * k, (0.0,) * k)
     size = float(totals[0])
     if anchor:
         size = 1.1 * float(totals[1 + domains.index(anchor)]) / target[anchor]
@@ -194,26 +259,13 @@ def fit_rates(
     weight = 1 / np.maximum(wanted, 1.0)
     moment = np.array(totals[1 + k :], np.float64).reshape(k, k)
     step = 1 / np.linalg.eigvalsh(weight[:, None] * moment * weight[None, :]).max()
-    state = table.withColumn("rate", F.lit(1.0)).withColumn("last", F.lit(1.0))
-    history: list[tuple[float, np.ndarray]] = []  # (momentum, pull) of the rounds since the last cut
+    state = table.select("n_tokens", "p", F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("last")).alias("s"))
+    steps: list[tuple[float, tuple[float, ...]]] = []
+    written = 0  # steps that the state holds
     momentum, speed, norm = 0.0, 1.0, np.inf
 
-    def after_history() -> Column:
-        """(rate, last) after the rounds of the history: one short fold within the row."""
-        start = F.struct(F.col("rate").alias("rate"), F.col("last").alias("last"))
-        if not history:
-            return start
-        rounds_done = F.array(*[F.array(F.lit(float(m)), *[F.lit(float(x)) for x in g]) for m, g in history])
-
-        def move(s: Column, h: Column) -> Column:
-            ahead = s["rate"] + F.element_at(h, 1) * (s["rate"] - s["last"])
-            pull = sum((x * F.element_at(h, i + 2) for i, x in enumerate(p)), F.lit(0.0))
-            return F.struct(F.least(F.greatest(ahead - pull, F.lit(0.0)), F.lit(float(max_rate))).alias("rate"), s["rate"].alias("last"))
-
-        return F.when(t > 0, F.aggregate(rounds_done, start, move)).otherwise(start)
-
-    for done in range(rounds):
-        now = state.select(t.alias("t"), "p", after_history().alias("s"))
+    for _ in range(rounds):
+        now = state.select(t.alias("t"), "p", _after(F.col("s"), steps[written:], t, F.col("p"), max_rate).alias("s"))
         ahead = F.col("s.rate") + float(momentum) * (F.col("s.rate") - F.col("s.last"))
         have = np.array(now.agg(*[F.sum(F.col("t") * ahead * x) for x in p]).first(), np.float64)
         residual = (have - wanted) * weight
@@ -222,13 +274,26 @@ def fit_rates(
         gained, norm = norm - np.linalg.norm(residual), np.linalg.norm(residual)
         if norm < tolerance or 0 <= gained < tolerance * 1e-2:
             break
-        history.append((momentum, step * residual * weight))
+        steps.append((float(momentum), tuple(float(x) for x in step * residual * weight)))
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         momentum, speed = (speed - 1) / faster, faster
-        if len(history) == every:
-            state = cut(state.withColumn("s", after_history()).withColumn("rate", F.col("s.rate")).withColumn("last", F.col("s.last")).drop("s"))
-            history.clear()
-    return state.withColumn("rate", after_history()["rate"]).drop("last")
+        if len(steps) - written == every:
+            state = cut(state.select("n_tokens", "p", _after(F.col("s"), steps[written:], t, F.col("p"), max_rate).alias("s")))
+            written = len(steps)
+    last = state.select(t.alias("t"), "p", _after(F.col("s"), steps[written:], t, F.col("p"), max_rate).alias("s"))
+    have = last.agg(*[F.sum(F.col("t") * F.col("s.rate") * x) for x in p]).first()
+    out = Rates(domains, tuple(steps), max_rate, tuple(wanted.tolist()), tuple(map(float, have)))
+    if missed := out.unmet():
+        warnings.warn(f"targets out of reach, shares reached: {missed}", stacklevel=2)
+    return out
+
+
+def fit_rates(table: DataFrame, domains: tuple[str, ...], target: dict[str, float], **options) -> DataFrame:
+    """``table`` (n_tokens, p, ...) with a column ``rate``; see ``descend``.
+
+    An empty table stays empty; documents without tokens keep rate 1.
+    """
+    return table.withColumn("rate", descend(table, domains, target, **options).of(F.col("n_tokens"), F.col("p")))
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -236,44 +301,55 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "junk").when((quality == 1) | (toxic == 0), "clean")
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame, sample_size: int) -> DataFrame:
-    """(domain, text) of at most ``sample_size`` labelled documents, the same on every run."""
-    named = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
+def labelled_domains(docs: DataFrame, labels: DataFrame, sample_size: int, sample_bytes: int = 32 << 20) -> DataFrame:
+    """(draw, doc_id, text, domain) of at most ``sample_size`` labelled documents and ``sample_bytes`` of text, the same on every run.
+
+    Each domain has its share of the rows, and 200 where it has so many.
+    """
+    named = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
     known = named.select("doc_id", domain_of(F.col("q"), F.col("x")).alias("domain")).where("domain is not null")
-    share = min(1.0, 0.95 * sample_size / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_size)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("domain", "text")
+    return texts_of(docs, drawn(known, sample_size, 3, by="domain"), sample_bytes)
+
+
+def classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], sample_size: int) -> Classifier:
+    return train(labelled_domains(docs, labels, sample_size), domains)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, sample_size: int = 6000, **options) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, p, rate) for every row of ``docs``.
+    """(doc_id, n_tokens, p, rate) for every row of ``docs``.
 
     Null texts have no tokens and keep rate 1.  Repeated rows get equal rates.
-    Columns besides doc_id and text are not read.
+    Columns besides doc_id and text are not read.  Rates have no upper bound
+    unless ``max_rate`` sets one.
     """
     target = target or TARGET
     domains = tuple(target)
-    model = train(labelled_domains(docs, labels, sample_size), domains)
-    return fit_rates(cut(posteriors(docs, model)), domains, target, **options)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = cut(posteriors(rows, classifier(docs, labels, domains, sample_size)).drop("text"))
+    return fit_rates(table, domains, target, **options)
 
 
-def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, max_rate: float = 1.0, anchor: str | None = "clean", **options) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, max_rate: float | None = 1.0, anchor: str | None = "clean", sample_size: int = 6000, **options) -> DataFrame:
     """The mixture: each row as many times as its rate says, with the columns of ``docs``.
 
     A rate's whole part gives copies; its fraction gives one more where a hash
-    of the id falls below it, so the mixture is the same on every run.  Rates
-    are bound by ``max_rate``; at 1 the mixture takes each document once or not.
+    of the id and text falls below it, so the mixture is the same on every run.
+    At a ``max_rate`` of 1 the mixture takes each document once or not.  The
+    documents are written once with their posteriors, and rates are computed
+    within the row.
     """
-    rated = mixing_rates(docs, labels, target, max_rate=max_rate, anchor=anchor, **options)
-    chance = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(29)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    copies = F.floor(F.col("rate") + chance).cast("int")
-    own_id, own_hash, own, copy = unused(docs, "rated_id", "rated_hash", "rated_copies", "rated_copy")
-    counted = rated.groupBy("doc_id", "text_hash").agg(F.first("rate").alias("rate")).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), copies.alias(own))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(counted.where(F.col(own) > 0), docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)))
-    if max_rate > 1:
-        joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own))))
-    return joined.select(*docs.columns)
+    target = target or TARGET
+    domains = tuple(target)
+    n_tokens, p, copy = unused(docs, "n_tokens", "p", "rated_copy")
+    table = cut(posteriors(docs.withColumn("text", F.col("text").cast("string")), classifier(docs, labels, domains, sample_size), n_tokens, p))
+    slim = table.select(F.col(n_tokens).alias("n_tokens"), F.col(p).alias("p"))
+    rate = descend(slim, domains, target, anchor=anchor, max_rate=max_rate, **options).of(F.col(n_tokens), F.col(p))
+    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(29)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    copies = F.floor(rate + chance).cast("int")
+    if max_rate is not None and max_rate <= 1:
+        return table.where(copies > 0).select(*docs.columns)
+    counted = table.withColumn(copy, copies).where(F.col(copy) > 0)
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
