@@ -3,15 +3,18 @@
 Each rule rejects a document when a measured ratio exceeds a cutoff.  Cutoffs
 are chosen from a fixed grid on labelled documents: for every stratum, rule and
 grid value the exact binomial (Clopper-Pearson) test asks whether the share of
-good documents rejected is at most ``max_false_rejection``.  The error level is
-divided by the number of all tests (Bonferroni), so with probability
-``1 - error`` every chosen cutoff keeps its promise in its stratum.  The
-strictest cutoff that passes is used; a stratum with too few labels to prove
-any cutoff applies none.
+good documents rejected is at most ``max_false_rejection / len(RULES)``, so the
+rules of a stratum together reject ``max_false_rejection`` of its good documents
+at most.  The error level is divided by the number of all tests (Bonferroni), so
+with probability ``1 - error`` every stratum's verdict keeps that promise.  The
+strictest cutoff that passes is used; a stratum with too few labels to prove any
+cutoff applies none.  The promise covers the fitted rules; what the fixed base
+rule rejects is reported apart by ``base_rejections``.
 
 Everything on the main path is DataFrame expressions.  Measures are computed
-within the row, so no text is shuffled; strata are a fixed set of expressions,
-so the table of cutoffs has at most ``len(STRATA) * len(RULES)`` rows.
+once, within the row, so no text is shuffled; strata are a fixed set of
+expressions, so the table of cutoffs has at most ``len(STRATA) * len(RULES)``
+rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, let, words
+from .common import SPACES, cut, let, unused, words
 
 SYMBOLS = "#*$%&|<>"
 #: Rule -> ratio column; grid of cutoffs, strictest first.
@@ -119,27 +122,40 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.exp(F.aggregate(more, zero, step, lambda s: s["total"]))
 
 
+def good_labels(labels: DataFrame) -> DataFrame:
+    """Ids labelled good.  Null ids and qualities are left out; of a repeated id the least quality counts."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label")).where("label = 1").select("doc_id")
+
+
 def cutoffs(table: DataFrame, labels: DataFrame, max_false_rejection: float = 0.02, error: float = 0.05) -> DataFrame:
     """(stratum, rule, cutoff): the strictest proven cutoff of each stratum and rule.
 
-    ``table`` has doc_id, stratum and the ratios of every document.  Labels
-    with a null id or quality are left out; of a repeated id the least quality
-    counts.
+    ``table`` has doc_id, stratum and the ratios of every document; ids with
+    good labels teach (see ``good_labels``).
     """
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label")).where("label = 1")
-    held = table.join(good, "doc_id", "left_semi")
+    held = table.join(good_labels(labels), "doc_id", "left_semi")
     counts = [F.count("*").alias("n")]
     counts += [F.count_if(F.col(rule) > g).alias(f"{rule}_{i}") for rule in RULES for i, g in enumerate(GRID)]
     per_stratum = held.groupBy("stratum").agg(*counts)
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(g).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule in RULES for i, g in enumerate(GRID)])
-    level = error / (len(STRATA) * len(RULES) * len(GRID))
+    level, each_rule = error / (len(STRATA) * len(RULES) * len(GRID)), max_false_rejection / len(RULES)
     each = per_stratum.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.rule", "t.cutoff", "t.k")
     # A share above the bound can't be proven below it, so the sum is short.
-    tried = each.where(F.col("k") <= F.col("n") * max_false_rejection)
-    proven = tried.where(binomial_cdf(F.col("k"), F.col("n"), max_false_rejection) <= level)
+    tried = each.where(F.col("k") <= F.col("n") * each_rule)
+    proven = tried.where(binomial_cdf(F.col("k"), F.col("n"), each_rule) <= level)
     return proven.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def base_rejections(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, n_good, by_base, by_rules): good documents of each stratum, those that the base rule rejects, and of the others those that the fitted rules reject.
+
+    ``table`` is the result of ``quality_rules``.
+    """
+    held = table.join(good_labels(labels), "doc_id", "left_semi")
+    by_rules = ~F.col("base_failed") & ~F.col("kept")
+    return held.groupBy("stratum").agg(F.count("*").alias("n_good"), F.count_if("base_failed").alias("by_base"), F.count_if(by_rules).alias("by_rules"))
+
+
 def rejected(stratum: Column, ratios: dict[str, Column], chosen: list) -> Column:
     """True where a ratio exceeds its stratum's cutoff (a list of at most a dozen rows)."""
     tests = [(stratum == r["stratum"]) & (ratios[r["rule"]] > F.lit(r["cutoff"])) for r in chosen]
@@ -167,20 +183,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_false_rejection: float
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with exactly the columns of ``docs``.
 
-    The cutoffs come from one pass over the documents that have labels; the
-    verdict is an expression within the row, so no text is shuffled.
+    The documents are written once beside their measures; cutoffs are fitted on
+    the narrow columns of that table and the verdict filters its rows, so no
+    text is shuffled and no measure computed twice.  Null and empty texts fail
+    the base rule.  A null doc_id is judged but teaches nothing; repeated rows
+    are judged alike and stay repeated; with an empty labels table only the base
+    rule rejects.
     """
-    known = labels.select("doc_id").where("doc_id is not null").distinct()
-    m = F.col("m")
-    sample = docs.join(known, "doc_id", "left_semi").select(F.col("doc_id"), measured(docs).alias("m"))
-    table = cut(sample.select("doc_id", *[c.alias(k) for k, c in judged(m).items()]))
-    chosen = cutoffs(table, labels, **options).collect()
-
-    def good(m: Column) -> Column:
-        parts = judged(m)
-        return ~parts["base_failed"] & ~rejected(parts["stratum"], parts, chosen)
-
-    return docs.where(let(measured(docs), good))
+    (own,) = unused(docs, "measures")
+    table = cut(docs.withColumn(own, measured(docs)))
+    m = table.select("doc_id", F.col(own).alias("m"))
+    chosen = cutoffs(m.select("doc_id", *[c.alias(k) for k, c in judged(F.col("m")).items()]), labels, **options).collect()
+    parts = judged(F.col(own))
+    return table.where(~parts["base_failed"] & ~rejected(parts["stratum"], parts, chosen)).select(*docs.columns)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -198,6 +213,7 @@ _RATIOS = {
     "shout_ratio": "n_capitals::DOUBLE / greatest(word_chars, 1)",
 }
 
+_EACH = 0.02 / len(RULES)
 ORACLE = f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -229,9 +245,9 @@ good AS (
 tried AS (
   SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k
   FROM r SEMI JOIN good USING (doc_id), (SELECT unnest([{", ".join(f"{g}::DOUBLE" for g in GRID)}]) AS cutoff)
-  GROUP BY ALL HAVING k <= n * 0.02),
+  GROUP BY ALL HAVING k <= n * {_EACH!r}::DOUBLE),
 tails AS (
-  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98))) AS cdf
+  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_EACH!r}::DOUBLE) + (n - j) * ln({1 - _EACH!r}::DOUBLE))) AS cdf
   FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tried) GROUP BY ALL),
 chosen AS (
   SELECT stratum, rule, min(cutoff) AS cutoff FROM tails
