@@ -9,10 +9,12 @@ discloses at least ``disclosure`` of the bits, in at least ``support``
 different texts, is an added span wherever it occurs, in documents without the
 entity too: removed when it discloses ``removal`` of them, generalised otherwise.
 
-Everything is DataFrame expressions.  Spans are found within the row; texts with
-entities collapse to their distinct values and words before these meet, and word
-counts are aggregated before their shuffle, so frequent words and groups of
-copies meet as partial counts.
+Everything is DataFrame expressions.  Spans are found and replaced within the
+row, in a cost that grows with the text and its matches.  Texts with entities
+collapse to their distinct values and words before these meet, and word counts
+are aggregated before their shuffle, so frequent words and groups of copies meet
+as partial counts.  The texts are written once beside what is found in them; the
+rows that hold a disclosing term join them by id and hash.
 """
 
 from __future__ import annotations
@@ -32,6 +34,90 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"\p{L}{3,}+"
+#: A letter that stands for the characters of an entity; words that touch it are part of the entity.
+FILLER = "\u3164"
+_BLOCK = 256
+_PIECE = 1024
+
+
+def _numbers(x: Column, size: int) -> Column:
+    return F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), ((F.size(x) - 1) / size).cast("int")))
+
+
+def running(x: Column, least: int, total, join) -> Column:
+    """Running totals of an array of integers under an operation with neutral value ``least``.
+
+    ``total`` is the operation over an array and ``join`` that over two values.
+    Blocks are totalled apart and then begun with what stands before them, so a
+    long array costs little more than its length.
+    """
+    none = F.array().cast("array<int>")
+
+    def first_values(blocks: Column) -> Column:
+        start = F.struct(F.lit(least).alias("at"), none.alias("out"))
+        return F.aggregate(blocks, start, lambda s, b: F.struct(join(s["at"], total(b)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def inside(block: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), none.alias("out"))
+        return F.aggregate(block, start, lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(join(s["at"], v))).alias("out")), lambda s: s["out"])
+
+    def of(own: Column) -> Column:
+        blocks = F.transform(_numbers(own, _BLOCK), lambda i: F.slice(own, i * _BLOCK + 1, _BLOCK))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, first_values(b), inside)))
+
+    return let(x, of)
+
+
+def running_sums(x: Column) -> Column:
+    return running(x, 0, lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v), lambda a, b: a + b)
+
+
+def running_most(x: Column) -> Column:
+    return running(x, -1, lambda b: F.coalesce(F.array_max(b), F.lit(-1)), lambda a, b: F.greatest(a, b))
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans (start, end, ...) as (start, end, first) without overlaps: each group of overlapping spans under its first."""
+
+    def closed(x: Column) -> Column:
+        most, heads = x["most"], x["heads"]
+        last = F.get(most, F.size(most) - 1)
+        return F.transform(heads, lambda k, i: F.struct(k["first"]["start"].alias("start"), F.coalesce(F.get(heads, i + 1)["before"], last).alias("end"), k["first"].alias("first")))
+
+    def of(own: Column) -> Column:
+        def heads(most: Column) -> Column:
+            before = F.transform(own, lambda s, i: F.struct(s.alias("first"), F.coalesce(F.get(most, i - 1), F.lit(-1)).alias("before")))
+            return F.struct(most.alias("most"), F.filter(before, lambda x: x["first"]["start"] >= x["before"]).alias("heads"))
+
+        return let(let(running_most(F.transform(own, lambda s: s["end"])), heads), closed)
+
+    return let(spans, of)
+
+
+def spliced(text: Column, spans: Column, put) -> Column:
+    """``text`` with each of the merged spans replaced by ``put(span)``.
+
+    The text is cut at every 1,024th span before single spans are, so a long
+    text with many spans is not read from its start for each.
+    """
+
+    def whole(own: Column) -> Column:
+        def block(i: Column) -> Column:
+            inside = F.slice(own, i * _PIECE + 1, _PIECE)
+            begin, end = F.coalesce(F.get(own, i * _PIECE - 1)["end"], F.lit(0)), F.get(own, F.least((i + 1) * _PIECE, F.size(own)) - 1)["end"]
+            return F.struct(begin.alias("begin"), inside.alias("spans"), F.substring(text, begin + 1, end - begin).alias("piece"))
+
+        def filled(x: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                at = F.coalesce(F.get(x["spans"], i - 1)["end"], x["begin"])
+                return F.concat(F.substring(x["piece"], at - x["begin"] + 1, s["start"] - at), put(s))
+
+            return F.array_join(F.transform(x["spans"], one), "")
+
+        rest = F.substring(text, F.coalesce(F.get(own, F.size(own) - 1)["end"], F.lit(0)) + 1, F.char_length(text))
+        return F.concat(F.array_join(F.transform(F.transform(_numbers(own, _PIECE), block), filled), ""), rest)
+
+    return let(spans, whole)
 
 
 def located(text: Column, pattern: Column) -> Column:
@@ -43,16 +129,12 @@ def located(text: Column, pattern: Column) -> Column:
 
     def of(parts: Column) -> Column:
         gaps, found = parts["gaps"], parts["found"]
-        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("left"), found.alias("value"))
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.char_length(g) + F.char_length(v))
 
-        def step(s: Column, x: Column) -> Column:
-            start = s["at"] + F.char_length(x["left"])
-            end = start + F.char_length(x["value"])
-            item = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
+        def placed(ends: Column) -> Column:
+            return F.zip_with(ends, found, lambda e, v: F.struct((e - F.char_length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+        return let(running_sums(lengths), placed)
 
     return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")), of)
 
@@ -105,46 +187,34 @@ def base_hits(text: Column) -> Column:
     return F.concat(*[of(k) for k in KINDS[:4]])
 
 
-def _outside(text: Column, hits: Column) -> Column:
-    """The text without the entities' spans and the letters that run into them."""
-    plain = F.translate(text, "\0", " ")
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(plain, s["at"] + 1, x["start"] - s["at"])
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(gap))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
-
-    def joined(s: Column) -> Column:
-        marked = F.array_join(F.concat(s["out"], F.array(F.substring(plain, s["at"] + 1, F.char_length(plain)))), "\0")
-        return F.regexp_replace(F.regexp_replace(marked, r"(?<!\p{L})\p{L}++\x00", "\0"), r"\x00\p{L}*+", " ")
-
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.when(F.size(hits) == 0, text).otherwise(F.aggregate(ordered, start, step, joined))
-
+def masked(text: Column, hits: Column) -> Column:
+    """The text with every character of an entity replaced by the filler."""
+    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    plain = F.translate(text, FILLER, " ")
+    hidden = spliced(plain, merged(spans), lambda s: F.repeat(F.lit(FILLER), s["end"] - s["start"]))
+    return F.when(F.size(hits) == 0, plain).otherwise(hidden)
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, hits, words) for every row, written once; ``words`` are the distinct words outside entities."""
-    rows = _rows(docs)
-    # The guard keeps the optimizer from evaluating the search again for each use.
-    hits = rows.select("doc_id", "text_hash", "text", let(F.col("text"), base_hits).alias("hits"))
 
-    def both(h: Column) -> Column:
-        return F.struct(h.alias("hits"), F.array_distinct(F.regexp_extract_all(_outside(F.col("text"), h), F.lit(WORD), F.lit(0))).alias("words"))
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
-    return cut(hits.select("doc_id", "text_hash", let(F.col("hits"), both).alias("f")).select("doc_id", "text_hash", "f.hits", "f.words"))
 
-
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+def found(docs: DataFrame, own: str = "own") -> DataFrame:
+    """``docs`` with a column of (id, text_hash, hits, words), written once; ``words`` are the distinct words that don't touch an entity."""
+    hits, hidden = unused(docs, "hits", "hidden")
+    # A variable keeps the optimizer from evaluating the search again for each use.
+    rows = docs.withColumn(hits, let(_text(docs), base_hits))
+    rows = rows.withColumn(hidden, masked(_text(rows), F.col(hits)))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(hidden, F.lit(WORD), F.lit(0)), lambda w: ~F.contains(w, F.lit(FILLER))))
+    parts = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text(rows)).alias("text_hash"), F.col(hits).alias("hits"), words.alias("words"))
+    return cut(rows.withColumn(own, parts).drop(hits, hidden))
 
 
 def disclosing_terms(table: DataFrame, disclosure: float = 0.95, removal: float = 0.99, support: int = 2) -> DataFrame:
     """(value, term, revealed, remove): terms that give an entity away.
 
-    ``table`` is ``found(docs)``.  Terms and entities are counted once for each
-    row that holds them, over all rows.
+    ``table`` has text_hash, hits and words of ``found(docs)``.  Terms and
+    entities are counted once for each row that holds them, over all rows.
     """
     terms = F.array_distinct(F.transform("words", F.lower))
     values = F.array_distinct(F.transform("hits", lambda h: h["value"]))
@@ -164,37 +234,45 @@ def disclosing_terms(table: DataFrame, disclosure: float = 0.95, removal: float
     return out.where(F.col("revealed") >= disclosure).withColumn("remove", F.col("revealed") >= removal)
 
 
+def _with_terms(table: DataFrame, own: str, held_name: str, **options) -> DataFrame:
+    """``table`` with the disclosing words that each row holds, null for none.
+
+    Only rows that hold one are on the other side of the join, without their
+    texts; Spark broadcasts that side where its size in bytes allows.
+    """
+    narrow = table.select(f"{own}.*")
+    terms = cut(disclosing_terms(narrow, **options).groupBy("term").agg(F.max("remove").alias("remove")))
+    words = narrow.select("id", "text_hash", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    held = words.join(terms, "term").groupBy("id", "text_hash").agg(F.collect_set(F.struct("word", "remove")).alias("held"))
+    held = cut(held).toDF(f"{held_name}_id", f"{held_name}_hash", held_name)
+    same = F.col(f"{own}.id").eqNullSafe(F.col(f"{held_name}_id")) & (F.col(f"{own}.text_hash") == F.col(f"{held_name}_hash"))
+    return table.join(held, same, "left").drop(f"{held_name}_id", f"{held_name}_hash")
+
+
+def _added(table: DataFrame, own: str, held: str, added: str) -> DataFrame:
+    """``table`` with all occurrences of the held words outside entities, as an array ``added`` of (start, end, remove)."""
+    (hidden,) = unused(table, "hidden")
+    rows = table.withColumn(hidden, F.when(F.col(held).isNotNull(), masked(_text(table), F.col(f"{own}.hits"))))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(held, lambda t: t["word"]), "|"), F.lit(r")(?!\p{L})"))
+
+    def marked(removed: Column) -> Column:
+        return F.transform(located(F.col(hidden), pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(removed, x["value"]).alias("remove")))
+
+    spots = let(F.map_from_entries(held), marked)
+    none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
+    return rows.withColumn(added, F.when(F.col(held).isNotNull(), spots).otherwise(none)).drop(hidden)
+
+
 def sanitised_spans(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text_hash, hits, added) for every row of ``docs``.
 
     ``hits`` are base spans and ``added`` all occurrences of disclosing terms
-    outside them as (start, end, remove).  Null and empty texts have none.  Rows with equal id
-    and text get equal spans and stay repeated; a null doc_id is matched as a
-    value.  Columns besides doc_id and text are not read.
+    outside them as (start, end, remove).  Null and empty texts have none.  Rows
+    with equal id and text get equal spans and stay repeated; a null doc_id is
+    matched as a value.  Columns besides doc_id and text are not read.
     """
-    table = found(docs)
-    terms = cut(disclosing_terms(table, **options).groupBy("term").agg(F.max("remove").alias("remove")))
-    words = table.select("doc_id", "text_hash", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
-    held = words.join(terms, "term").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("word", "remove")).alias("held"))
-    held = cut(held)
-
-    def same(a: DataFrame, b: DataFrame):
-        return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-
-    rows = _rows(docs)
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("held", lambda t: t["word"]), "|"), F.lit(r")(?!\p{L})"))
-
-    def spot(x: Column) -> Column:
-        removed = F.exists("held", lambda t: (t["word"] == x["value"]) & t["remove"])
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), removed.alias("remove"))
-
-    spots = F.transform(located(F.col("text"), pattern), spot)
-    marked = rows.join(held, same(rows, held)).select(rows["doc_id"].alias("a_id"), rows["text_hash"].alias("a_hash"), spots.alias("spots")).dropDuplicates(["a_id", "a_hash"])
-    joined = table.join(marked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")), "left")
-    # A word inside an entity's span belongs to that span.
-    clear = F.filter("spots", lambda t: ~F.exists("hits", lambda h: (h["start"] < t["end"]) & (t["start"] < h["end"])))
-    none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
-    return joined.select("doc_id", "text_hash", "hits", F.coalesce(clear, none).alias("added"))
+    table = _added(_with_terms(found(docs.select("doc_id", "text")), "own", "held", **options), "own", "held", "added")
+    return table.select(F.col("own.id").alias("doc_id"), "own.text_hash", "own.hits", "added")
 
 
 def _listed(spans: Column) -> Column:
@@ -223,30 +301,24 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
     Base spans become their kind in brackets; added terms are removed or become
     ``[TERM]``.  Overlapping spans are replaced once, under the first's kind.  A
-    null text stays null; a column n_chars, if any, follows the new text.
+    null text stays null and null ids are matched as a value; repeated rows
+    stay repeated and are changed alike; a column n_chars, if any, follows the
+    new text.
     """
-    spans = sanitised_spans(docs, **options).dropDuplicates(["doc_id", "text_hash"])
+    own, held, added, changes = unused(docs, "own", "held", "added", "changes")
+    table = _added(_with_terms(found(docs, own), own, held, **options), own, held, added)
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    base = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(labels, h["kind"] + 1).alias("put")))
-    more = F.transform("added", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.when(a["remove"], "").otherwise("[TERM]").alias("put")))
-    own_id, own_hash, own = unused(docs, "span_id", "span_hash", "span_changes")
-    changes = spans.where((F.size("hits") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.array_sort(F.concat(base, more)).alias(own))
-    text = F.col("text").cast("string")
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        out = F.when(fresh, F.concat(s["out"], F.array(gap, x["put"]))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = docs.join(changes, docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_hash)), "left")
-    rebuilt = F.aggregate(own, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
-    untouched = F.col(own).isNull()
-    out = joined.withColumn("text", F.when(untouched, F.col("text")).otherwise(rebuilt))
+    base = F.transform(f"{own}.hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(labels, h["kind"] + 1).alias("put")))
+    more = F.transform(added, lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.when(a["remove"], "").otherwise("[TERM]").alias("put")))
+    rows = table.withColumn(changes, merged(F.array_sort(F.concat(base, more))))
+    untouched = F.col("text").isNull() | (F.size(changes) == 0)
+    rebuilt = spliced(F.col("text").cast("string"), F.col(changes), lambda s: s["first"]["put"])
+    text = F.when(untouched, F.col("text")).otherwise(rebuilt)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+        rows = rows.withColumn("text", text).withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    else:
+        rows = rows.withColumn("text", text)
+    return rows.select(*docs.columns)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
