@@ -4,30 +4,35 @@ A paragraph is a line of the text and its digest covers the line's bytes; a
 section is a run of paragraphs that ends where a paragraph's digest says so,
 hence an edit moves no border but its own; the root covers the sections.  Equal
 roots mean equal texts.  Below a paragraph stand its phrases (up to a mark of
-punctuation, or 64 bytes where none comes), whose short digests tell how much
-of a paragraph two texts share and where they differ.
+punctuation, or 64 bytes where none comes).
+
+Likeness walks two trees from the root: equal branches count whole and are not
+entered, the others are compared one level down, and at last their phrases.
 
 The fingerprint is the tree written out::
 
-    <root>:<section>=<phrases>.<phrases>;<section>=...
+    <root>:<section>=<paragraph>,<phrases>.<paragraph>,<phrases>;<section>=...
 
-with 32 hexadecimal digits for the root, 8 for each section and 5 for each
-phrase; a dot parts the paragraphs of a section.
+with 32 hexadecimal digits for the root, 16 for each section and paragraph and
+12 for each phrase; a dot parts the paragraphs of a section.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import span_hashes, text_bytes
 
-PHRASE_BITS = 20
+PHRASE_BITS = 48
+DIGITS = PHRASE_BITS // 4
 LONG_PHRASE = 64
 SECTION_ODDS = 8
 _MARK = np.zeros(256, bool)
@@ -35,8 +40,27 @@ _MARK[[ord(c) for c in ".!?;,|\n"]] = True
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Digests of a text's root, sections, paragraphs and phrases, and where the branches of each node begin (and the last ends)."""
+
+    root: str
+    sections: tuple[str, ...]
+    section_at: tuple[int, ...]  # first paragraph of each section
+    paragraphs: tuple[str, ...]
+    paragraph_at: tuple[int, ...]  # first phrase of each paragraph
+    phrases: np.ndarray
+
+    def written(self) -> str:
+        text, out = _hex(self.phrases), []
+        for name, a, b in zip(self.sections, self.section_at, self.section_at[1:]):
+            own = [f"{self.paragraphs[k]},{text[DIGITS * self.paragraph_at[k] : DIGITS * self.paragraph_at[k + 1]]}" for k in range(a, b)]
+            out.append(f"{name}={'.'.join(own)}")
+        return f"{self.root}:{';'.join(out)}"
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every phrase (and the end of the last), none crossing a row, and its short digest."""
+    """Start of every phrase (and the end of the last), none crossing a row, and its digest."""
     n = len(data)
     cuts = np.unique(np.concatenate([np.flatnonzero(_MARK[data]) + 1, offsets])) if n else np.zeros(1, np.int64)
     lengths = np.diff(cuts)
@@ -44,88 +68,118 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.cumsum(parts) - parts
     starts = np.repeat(cuts[:-1], parts) + LONG_PHRASE * (np.arange(parts.sum()) - np.repeat(first, parts))
     bounds = np.append(starts, n)
-    return bounds, (span_hashes(data, bounds[:-1], bounds[1:]) & np.uint64((1 << PHRASE_BITS) - 1)).astype(np.uint32)
+    return bounds, span_hashes(data, bounds[:-1], bounds[1:]) & np.uint64((1 << PHRASE_BITS) - 1)
 
 
 def _hex(digests: np.ndarray) -> str:
-    """Five hexadecimal digits for each phrase digest, end to end."""
-    shifts = np.arange(PHRASE_BITS - 4, -1, -4, dtype=np.uint32)
-    return _HEX[(digests[:, None] >> shifts) & np.uint32(15)].tobytes().decode("ascii")
+    """Hexadecimal digits of the phrase digests, end to end."""
+    shifts = np.arange(PHRASE_BITS - 4, -1, -4, dtype=np.uint64)
+    return _HEX[((digests[:, None] >> shifts) & np.uint64(15)).astype(np.uint8)].tobytes().decode("ascii")
 
 
-def trees(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """Fingerprint and phrase digests of each text."""
+def grown(texts: list[str]) -> list[Tree]:
+    """Tree of each text."""
     data, offsets = text_bytes(pa.array(texts, pa.large_string()))
     bounds, digests = phrases(data, offsets)
     rows = np.searchsorted(bounds, offsets)
-    prints, leaves = [], []
     blake = hashlib.blake2b
+    out = []
     for i, text in enumerate(texts):
-        raw = text.encode("utf-8")
-        own = digests[rows[i] : rows[i + 1]]
-        written = _hex(own)
         at = bounds[rows[i] : rows[i + 1]] - offsets[i]
-        sections, open_digests, open_phrases = [], [], []
-        position = used = 0
         root = blake(digest_size=16)
-        lines = raw.split(b"\n")
+        lines = text.encode("utf-8").split(b"\n")
         ends = np.cumsum([len(x) + 1 for x in lines])
-        uses = np.searchsorted(at, ends)
-        for k, line in enumerate(lines):
-            digest = blake(line, digest_size=8).digest()
-            position = int(uses[k])
-            open_digests.append(digest)
-            open_phrases.append(written[5 * used : 5 * position])
-            used = position
+        paragraphs = [blake(line, digest_size=8).digest() for line in lines]
+        sections, section_at = [], [0]
+        for k, digest in enumerate(paragraphs):
             if digest[0] % SECTION_ODDS == 0 or k == len(lines) - 1:
-                section = blake(b"".join(open_digests), digest_size=8).digest()
+                section = blake(b"".join(paragraphs[section_at[-1] : k + 1]), digest_size=8).digest()
                 root.update(section)
-                sections.append(section.hex()[:8] + "=" + ".".join(open_phrases))
-                open_digests, open_phrases = [], []
-        prints.append(root.hexdigest() + ":" + ";".join(sections))
-        leaves.append(own)
-    return prints, leaves
+                sections.append(section.hex())
+                section_at.append(k + 1)
+        uses = (0, *np.searchsorted(at, ends).tolist())
+        out.append(Tree(root.hexdigest(), tuple(sections), tuple(section_at), tuple(p.hex() for p in paragraphs), uses, digests[rows[i] : rows[i + 1]]))
+    return out
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> float:
-    """Likeness of two texts' phrases as multisets: twice the shared ones over all; two empty texts are alike."""
-    if len(a) + len(b) == 0:
+def trees(texts: list[str]) -> tuple[list[str], list[Tree]]:
+    """Fingerprint and tree of each text."""
+    out = grown(texts)
+    return [t.written() for t in out], out
+
+
+def read_tree(fingerprint: str) -> Tree:
+    """The tree that a fingerprint holds."""
+    root, _, body = fingerprint.partition(":")
+    sections, section_at, paragraphs, paragraph_at, leaves = [], [0], [], [0], []
+    for section in body.split(";"):
+        name, _, inside = section.partition("=")
+        sections.append(name)
+        for paragraph in inside.split("."):
+            digest, _, own = paragraph.partition(",")
+            paragraphs.append(digest)
+            leaves += [int(own[i : i + DIGITS], 16) for i in range(0, len(own), DIGITS)]
+            paragraph_at.append(len(leaves))
+        section_at.append(len(paragraphs))
+    return Tree(root, tuple(sections), tuple(section_at), tuple(paragraphs), tuple(paragraph_at), np.array(leaves, np.uint64))
+
+
+def _unmatched(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> tuple[list[int], list[int]]:
+    """Nodes (digest, number) of two sides that stay when equal digests are paired off, as numbers."""
+    spare = Counter(d for d, _ in b)
+    used, left = Counter(), []
+    for d, i in a:
+        if spare[d] > 0:
+            spare[d] -= 1
+            used[d] += 1
+        else:
+            left.append(i)
+    right = []
+    for d, i in b:
+        if used[d] > 0:
+            used[d] -= 1
+        else:
+            right.append(i)
+    return left, right
+
+
+def differing(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
+    """Paragraphs of either tree that the other lacks; equal sections are not entered."""
+    if a.root == b.root:
+        return [], []
+    left, right = _unmatched([*zip(a.sections, range(len(a.sections)))], [*zip(b.sections, range(len(b.sections)))])
+
+    def inside(t: Tree, numbers: list[int]) -> list[tuple[str, int]]:
+        return [(t.paragraphs[k], k) for s in numbers for k in range(t.section_at[s], t.section_at[s + 1])]
+
+    return _unmatched(inside(a, left), inside(b, right))
+
+
+def likeness(a: Tree | str, b: Tree | str) -> float:
+    """Twice the common phrases over all phrases of both, found below differing branches only; 1 for equal roots.
+
+    Takes trees or fingerprints.
+    """
+    a, b = (read_tree(x) if isinstance(x, str) else x for x in (a, b))
+    if a.root == b.root:
         return 1.0
-    if not len(a) or not len(b):
-        return 0.0
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return float(2 * np.minimum(n[i], m[j]).sum() / (len(a) + len(b)))
-
-
-def leaves_of(fingerprint: str) -> np.ndarray:
-    """Phrase digests written in a fingerprint."""
-    body = fingerprint.partition(":")[2]
-    written = "".join(s.partition("=")[2].replace(".", "") for s in body.split(";"))
-    return np.array([int(written[i : i + 5], 16) for i in range(0, len(written), 5)], np.uint32)
-
-
-def likeness(a: str, b: str) -> float:
-    """Likeness of two fingerprints: 1 for equal roots, else the share of common phrases."""
-    return 1.0 if a[:32] == b[:32] else shared(leaves_of(a), leaves_of(b))
+    whole = len(a.phrases) + len(b.phrases)
+    if not whole:
+        return 1.0
+    left, right = differing(a, b)
+    x, y = (np.concatenate([t.phrases[t.paragraph_at[k] : t.paragraph_at[k + 1]] for k in own] or [t.phrases[:0]]) for t, own in ((a, left), (b, right)))
+    common = whole - len(x) - len(y)
+    if len(x) and len(y):
+        u, n = np.unique(x, return_counts=True)
+        v, m = np.unique(y, return_counts=True)
+        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        common += 2 * int(np.minimum(n[i], m[j]).sum())
+    return common / whole
 
 
 def differing_paragraphs(a: str, b: str) -> list[int]:
     """Paragraphs of ``a`` (from 0) that ``b`` doesn't have; equal branches are not entered."""
-    if a[:32] == b[:32]:
-        return []
-    theirs = [s.partition("=") for s in b.partition(":")[2].split(";")]
-    sections = {s[0] for s in theirs}
-    paragraphs = {p for s in theirs for p in s[2].split(".")}
-    out, at = [], 0
-    for section in a.partition(":")[2].split(";"):
-        digest, _, body = section.partition("=")
-        own = body.split(".")
-        if digest not in sections:
-            out += [at + i for i, p in enumerate(own) if p not in paragraphs]
-        at += len(own)
-    return out
+    return differing(read_tree(a), read_tree(b))[0]
 
 
 def edited(text: str, following: str) -> str:
@@ -134,51 +188,92 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def beside_next(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (bucket, tail, doc_id, text), partitioned by bucket in descending order of doc_id.
+def _borders(rows: DataFrame, parts: int) -> list[tuple[int | None, int | None]]:
+    """Where buckets end in the order of the rows, as (doc_id, hash); few, whatever the table's size.
 
-    Buckets are ranges of doc_id at quantiles.  The first row of each bucket is
-    sent to the bucket before as its tail (that of the first to the last), so
-    every row finds its successor without a global sort or window.  Ties are
-    ordered by text; null ids come last.
+    Borders are ranges of doc_id at quantiles.  An id that would fill more than
+    one bucket, as null ids may, is divided further by its texts' hashes, which
+    spread evenly.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    quantiles = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    edges = np.unique(np.array(quantiles, np.int64))
-    last = len(edges) + 1  # the bucket of null ids
+    if parts < 2:
+        return []
+    n, unknown = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if n > unknown else []
+    edges = [int(x) for x in cuts]
+    full = n / parts
+
+    def divided(doc_id: int | None, pieces: int) -> list[tuple[int | None, int | None]]:
+        return [(doc_id, -(1 << 63) + (i << 64) // pieces) for i in range(1, pieces)]
+
+    out: list[tuple[int | None, int | None]] = []
+    for edge in sorted(set(edges), reverse=True):
+        out += divided(edge, edges.count(edge)) + [(edge, None)]
+    return out + divided(None, -(-unknown // max(1, int(full))))
 
-    def bucket_of(ids: pa.Array) -> np.ndarray:
+
+def beside_next(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows (bucket, tail, doc_id, hash, text), partitioned by bucket in descending order of doc_id.
+
+    The first row of each bucket is sent to the bucket before as its tail (that
+    of the first to the last), so every row finds its successor without a
+    global sort or window.  Ties are ordered by their text's hash; null ids come
+    last.  Rows that repeat both id and text share a bucket.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    borders = _borders(named, parts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    low = -(1 << 63)
+    # Ids descend, so they are compared by their complement; null comes after all.
+    ends = np.array([(1, 0, h) if i is None else (0, ~i, (1 << 63) - 1 if h is None else h) for i, h in borders], np.int64).reshape(-1, 3)
+
+    def bucket_of(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        values = ids.fill_null(0).to_numpy()
-        return np.where(known, len(edges) - np.searchsorted(edges, values, side="right"), last)
+        key = np.stack([(~known).astype(np.int64), np.where(known, ~ids.fill_null(0).to_numpy(), 0), hashes.fill_null(low).to_numpy()], 1)
+        every = np.concatenate([ends, key])
+        order = np.lexsort((np.arange(len(every)) < len(ends), every[:, 2], every[:, 1], every[:, 0]))
+        passed = np.cumsum(order < len(ends))
+        out = np.empty(len(every), np.int64)
+        out[order] = passed
+        return out[len(ends) :]
 
     def heads(batches):
         for batch in batches:
-            own = pd.DataFrame({"bucket": bucket_of(batch.column(0)), "doc_id": batch.column(0).to_pandas().astype("Int64")})
-            top = own.groupby("bucket")["doc_id"].max().reset_index()
-            yield pa.RecordBatch.from_arrays([pa.array(top["bucket"], pa.int64()), pa.array(top["doc_id"], pa.int64())], ["bucket", "doc_id"])
-
-    tops = {r.bucket: r.doc_id for r in rows.select("doc_id").mapInArrow(heads, "bucket long, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()}
+            bucket = bucket_of(batch.column(0), batch.column(1))
+            own = pa.table({"bucket": bucket, "unknown": pa.compute.is_null(batch.column(0)), "doc_id": batch.column(0), "hash": batch.column(1)})
+            own = own.sort_by([("bucket", "ascending"), ("unknown", "ascending"), ("doc_id", "descending"), ("hash", "ascending")])
+            first = np.flatnonzero(np.append(True, np.diff(own.column("bucket").to_numpy()) != 0)) if len(own) else []
+            yield from own.take(pa.array(first, pa.int64())).to_batches()
+
+    first_of = F.min(F.struct("unknown", (-1 - F.col("doc_id")).alias("order"), "hash", "doc_id"))
+    found = rows.select("doc_id", "hash").mapInArrow(heads, "bucket long, unknown boolean, doc_id long, hash long").groupBy("bucket").agg(first_of.alias("top")).collect()
+    tops = {r.bucket: (r.top.doc_id, r.top.hash) for r in found}
     order = sorted(tops)
     before = {b: order[i - 1] for i, b in enumerate(order)}
+    count = len(borders) + 1
 
     def dealt(batches):
+        sent = set()
         for batch in batches:
-            ids = batch.column(0)
-            own = bucket_of(ids)
-            for tail in (False, True):
-                pick = np.arange(len(own))
-                if tail:
-                    values = ids.to_pylist()
-                    pick = np.array([i for i in range(len(own)) if tops[own[i]] == values[i]], np.int64)
-                to = np.array([before[b] for b in own[pick]], np.int64) if tail else own
-                chosen = batch.take(pa.array(pick)) if tail else batch
-                if len(pick):
-                    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(pick), tail)), *chosen.columns], ["bucket", "tail", "doc_id", "text"])
+            ids, hashes = batch.column(0), batch.column(1)
+            own = bucket_of(ids, hashes)
+            plain = [pa.array(own.astype(np.int32)), pa.array(np.zeros(len(own), bool)), *batch.columns]
+            yield pa.RecordBatch.from_arrays(plain, ["bucket", "tail", "doc_id", "hash", "text"])
+            pick = []
+            top_hash = np.array([tops[b][1] for b in own.tolist()], np.int64)
+            for i in np.flatnonzero(hashes.to_numpy() == top_hash).tolist():
+                b = int(own[i])
+                # Rows that equal the first are alike, so a task sends one of them.
+                if b not in sent and tops[b][0] == ids[i].as_py():
+                    sent.add(b)
+                    pick.append(i)
+            if pick:
+                to = pa.array(np.array([before[int(own[i])] for i in pick], np.int32))
+                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(pick), bool)), *batch.take(pa.array(pick)).columns], ["bucket", "tail", "doc_id", "hash", "text"])
 
     # Buckets are of even size, so each is a partition of its own.
-    out = rows.mapInArrow(dealt, "bucket int, tail boolean, doc_id long, text string").repartitionById(last + 1, F.col("bucket"))
-    return out.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    out = rows.mapInArrow(dealt, "bucket int, tail boolean, doc_id long, hash long, text string").repartitionById(count, F.col("bucket"))
+    return out.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "hash", "text")
 
 
 def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -195,13 +290,13 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         changed = [edited(a, b) for a, b in zip(texts, following)]
         n = len(texts)
         # Successors are in the same block but for the last.
-        prints, leaves = trees([*texts, following[-1], *changed])
+        found = grown([*texts, following[-1], *changed])
         after = [i + 1 if i + 1 < n and following[i] is texts[i + 1] else None for i in range(n)]
         near_edited, near_next = [], []
         for i in range(n):
-            near_edited.append(1.0 if prints[i][:32] == prints[n + 1 + i][:32] else shared(leaves[i], leaves[n + 1 + i]))
-            j = after[i] if after[i] is not None else n
-            near_next.append(1.0 if prints[i][:32] == prints[j][:32] else shared(leaves[i], leaves[j]))
+            near_edited.append(likeness(found[i], found[n + 1 + i]))
+            near_next.append(likeness(found[i], found[after[i] if after[i] is not None else n]))
+        prints = [t.written() for t in found]
         arrays = [
             pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in changed], pa.string()),
@@ -213,7 +308,7 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         ids, texts, following, size = [], [], [], 0
         waiting = None  # (bucket, doc_id, text) without a successor so far
         for batch in batches:
-            for bucket, tail, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, tail, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
                 if waiting and waiting[0] == bucket:
                     ids.append(waiting[1])
                     texts.append(waiting[2])
