@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 from re import _constants as C
 from re import _parser
 
@@ -66,15 +67,18 @@ def bordered_literals(expression: str) -> set[str]:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A block pattern and literals that every URL it matches holds; ``tokens`` are those that may index it."""
+    """A block pattern; ``tokens`` are the literals that may index it, derived from the expression.
+
+    ``literals``, if any are named, are the only ones considered.
+    """
 
     expression: str
-    literals: tuple[str, ...]
+    literals: tuple[str, ...] = ()
 
-    @property
+    @cached_property
     def tokens(self) -> tuple[str, ...]:
-        whole = bordered_literals(self.expression)
-        return tuple(t for t in self.literals if t in whole)
+        whole = sorted(bordered_literals(self.expression))
+        return tuple(t for t in whole if not self.literals or t in self.literals)
 
 
 #: Host and path rules: (verdict, host, path prefix).
@@ -87,18 +91,35 @@ PLACE_RULES = (
 )
 
 #: Block patterns on the lower-cased URL, first match wins.
-PATTERNS = (
-    Pattern(r"[/.]cheap-pills\.", ("cheap", "pills")),
-    Pattern(r"[/.]free-bets\.", ("free", "bets")),
-    Pattern(r"[/.]spam-[a-z]+\.", ("spam",)),
-    Pattern(r"[/.]ads-track[a-z]*\.", ("ads",)),
-    Pattern(r"[/.-]casino[0-9]*[/.-]", ("casino",)),
-    Pattern(r"[/.]adult-[a-z]+\.", ("adult",)),
-    Pattern(r"[/.-](win|buy)-[a-z]+-online\.", ("online",)),
-    Pattern(r"[/.-]payday-loans?[/.]", ("payday",)),
-    Pattern(r"\.exe(\?|#|$)", ("exe",)),
+PATTERNS = tuple(
+    Pattern(x)
+    for x in (
+        r"[/.]cheap-pills\.",
+        r"[/.]free-bets\.",
+        r"[/.]spam-[a-z]+\.",
+        r"[/.]ads-track[a-z]*\.",
+        r"[/.-]casino[0-9]*[/.-]",
+        r"[/.]adult-[a-z]+\.",
+        r"[/.-](win|buy)-[a-z]+-online\.",
+        r"[/.-]payday-loans?[/.]",
+        r"\.exe(\?|#|$)",
+    )
 )
 
+
+def patterns_of(rules: DataFrame) -> tuple[Pattern, ...]:
+    """Patterns of a table with a column ``expression``, in the order of ``rank`` where it has one; nulls and repeats are left out.
+
+    A table of more than ``MAX_RULES`` expressions is refused, so what the
+    driver and every task hold is bounded.
+    """
+    rank = F.min("rank") if "rank" in rules.columns else F.lit(0)
+    rows = rules.where("expression is not null").groupBy("expression").agg(rank.alias("rank")).orderBy("rank", "expression").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return tuple(Pattern(r.expression) for r in rows)
+
+
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -115,15 +136,18 @@ def rarest_tokens(pages: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) ->
     if not literals:
         return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(f"({TOKEN})")))
-    hits = F.explode(F.array_intersect(tokens, F.array(*map(F.lit, literals))))
-    counts = {r.t: r.n for r in pages.select(hits.alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    # At most as many literals as rules have, so the other side is small.
+    wanted = F.broadcast(pages.sparkSession.createDataFrame([(t,) for t in literals], "t string"))
+    counts = {r.t: r.n for r in pages.select(F.explode(tokens).alias("t")).join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
     return {p.expression: min(p.tokens, key=lambda t: (counts.get(t, 0), t)) for p in patterns if p.tokens}
 
 
 def filter_urls(pages: DataFrame, places=PLACE_RULES, patterns=PATTERNS) -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) for every row of ``pages``.
 
-    The longest host and path rule that fits decides; where none fits, the patterns do: block at the first match, else allow.
+    The longest host and path rule that fits decides; where none fits, the
+    patterns do: block at the first match, else allow.  Expressions are searched
+    in the lower-cased URL.
     Null and malformed URLs have an empty host and path, fit no rule and are
     allowed.  Repeated rows stay repeated; other columns are not read.
     """
@@ -132,15 +156,17 @@ def filter_urls(pages: DataFrame, places=PLACE_RULES, patterns=PATTERNS) -> Data
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for verdict, host, path in places:
         by_host.setdefault(host, []).append((path, host + path, verdict))
-    index_tokens = rarest_tokens(pages, patterns) if patterns else {}
+    index_tokens = rarest_tokens(pages, patterns)
     by_token: dict[str, list[tuple[int, str]]] = {}
     everywhere: list[tuple[int, str]] = []
     for rank, p in enumerate(patterns):
         at = by_token.setdefault(index_tokens[p.expression], []) if p.expression in index_tokens else everywhere
         at.append((rank, p.expression))
+    index = pages.sparkSession.sparkContext.broadcast((by_token, everywhere))
 
     def run(batches):
-        compiled = {p.expression: re.compile(p.expression) for p in patterns}
+        by_token, everywhere = index.value
+        compiled = lru_cache(maxsize=None)(re.compile)  # only what candidates need
         token = re.compile(TOKEN)
 
         def judge(url):
@@ -156,7 +182,7 @@ def filter_urls(pages: DataFrame, places=PLACE_RULES, patterns=PATTERNS) -> Data
             low = (url or "").lower()
             candidates = sorted({*everywhere, *(c for t in set(token.findall(low)) & by_token.keys() for c in by_token[t])})
             for _, expression in candidates:
-                if compiled[expression].search(low):
+                if compiled(expression).search(low):
                     return host, path, None, "block", expression
             return host, path, None, "allow", None
 
