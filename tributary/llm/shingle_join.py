@@ -1,14 +1,11 @@
-"""Near-duplicate documents by exact Jaccard similarity of their word shingles.
-
-1. Each text becomes the set of its word shingles, as 63-bit keys; texts with
-   equal sets collapse to one class before anything is compared.
-2. Two sets with similarity ``s`` or more share a key among the first
-   ``n - ceil(s * n) + 1`` of each in any common order of the keys, so classes
-   meet through those prefixes alone and no pair is missed.  Keys that are
-   frequent in a bounded sample come last in the order; the sample decides how
-   many candidates there are, never the result.
-3. Candidates that sizes and positions allow are compared by their shingles as
-   text, and the links are contracted to components.
+"""Exact Jaccard similarity of word shingles, and candidates by their rarest shingles.
+
+Texts with equal shingle sets are one class.  Two sets with similarity ``s`` or
+more share a key among the first ``n - ceil(s * n) + 1`` of each in any common
+order of the keys, so classes meet through those prefixes alone and no pair is
+missed.  Keys that are frequent in a bounded sample come last in the order; the
+sample decides how many candidates there are, never the result.  Classes that
+are connected already are no candidates for each other.
 """
 
 from __future__ import annotations
@@ -21,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, cut, pieces, span_hashes, text_bytes
-from .simhash_dedup import components
 
 SPACE = np.zeros(256, bool)
 SPACE[list(SPACES.encode())] = True
@@ -120,71 +116,111 @@ def frequent_shingles(docs: DataFrame, shingle: int, sample_size: int, most: int
     return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, sample_size: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """Classes (digest, rep) of equal shingle sets, and links (node, root) between their representatives.
-
-    A link joins every two classes whose Jaccard similarity is ``similarity`` or
-    more.  Rows with a null doc_id are left out.
-    """
+def _ratio(similarity: float) -> tuple[int, int]:
     ratio = Fraction(similarity).limit_denominator(1000)
-    num, den = ratio.numerator, ratio.denominator
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return ratio.numerator, ratio.denominator
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def set_prints(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+    """64-bit SimHash of each row's set of keys; an empty set gives zero."""
+    n = np.bincount(row, minlength=rows)
+    out = np.zeros(rows, np.uint64)
+    filled = np.flatnonzero(n)
+    if len(filled):
+        hashes = _mixed((key.view(np.uint64) & np.uint64((1 << HASH_BITS) - 1)) * np.uint64(0x9E3779B97F4A7C15))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, (np.cumsum(n) - n)[filled], axis=0, dtype=np.int32)
+        major = (2 * counts > n[filled, None]).astype(np.uint8)
+        out[filled] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def classes(docs: DataFrame, similarity: float, shingle: int, sample_size: int = 8192) -> DataFrame:
+    """(digest, first, n, fp, prefix) of each distinct shingle set; ``first`` is its least (doc_id, text_hash)."""
+    num, den = _ratio(similarity)
     frequent = frequent_shingles(docs, shingle, sample_size)
 
-    def prefixes(batches):
+    def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                row, key = keyed(part.column(1), shingle, frequent)
+                row, key = keyed(part.column(2), shingle, frequent)
                 n, digest, first = _sizes_and_digests(row, key, part.num_rows)
                 length = np.where(n > 0, n - -(-n * num // den) + 1, 0)
                 kept = key[np.arange(len(key)) - first[row] < length[row]]
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                arrays = [part.column(0), pa.array(digest), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "n", "prefix"])
+                prints = set_prints(row, key, part.num_rows).view(np.int64)
+                arrays = [part.column(0), part.column(1), pa.array(digest), pa.array(n.astype(np.int32)), pa.array(prints), pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "digest", "n", "fp", "prefix"])
 
-    def digested(batches):
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                row, key = keyed(part.column(1), shingle, frequent)
-                yield pa.RecordBatch.from_arrays([pa.array(_sizes_and_digests(row, key, part.num_rows)[1]), part.column(1)], ["digest", "text"])
+    sets = _rows(docs).mapInArrow(run, "doc_id long, text_hash long, digest long, n int, fp long, prefix array<long>")
+    return sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+
+
+def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The rows (node, root) of ``candidates`` whose texts have the similarity, by their shingles as text."""
+    num, den = _ratio(similarity)
+    wanted = cut(candidates.select("node", "root").distinct())
+    named = wanted.select(F.explode(F.array("node", "root")).alias("digest")).distinct().join(classes.select("digest", "first"), "digest")
+    named = cut(named.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")))
+    rows = _rows(docs)
+    same = (rows["doc_id"] == named["first_id"]) & (rows["text_hash"] == named["first_hash"])
+    texts = cut(rows.join(named, same).select("digest", "text").dropDuplicates(["digest"]))
 
     def compared(batches):
         for batch in batches:
             node, root, left, right = (batch.column(i) for i in range(4))
-            alike = []
+            alike, last, other = [], None, set()
             for a, b in zip(left, right):
-                a, b = shingles(a.as_py(), shingle), shingles(b.as_py(), shingle)
-                both = len(a & b)
-                alike.append(both * den >= (len(a) + len(b) - both) * num)
+                a, b = shingles(a.as_py(), shingle), b.as_py()
+                if b != last:
+                    last, other = b, shingles(b, shingle)
+                both = len(a & other)
+                alike.append(both * den >= (len(a) + len(other) - both) * num)
             keep = pa.array(alike, pa.bool_())
             yield pa.RecordBatch.from_arrays([node.filter(keep), root.filter(keep)], ["node", "root"])
 
-    sets = docs.mapInArrow(prefixes, "doc_id long, digest long, n int, prefix array<long>")
-    classes = cut(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    entries = classes.select("digest", "rep", "n", F.posexplode("prefix").alias("pos", "key"))
-    a, b = entries.alias("a"), entries.alias("b")
+    joined = wanted.join(texts.toDF("node", "left_text"), "node").join(texts.toDF("root", "right_text"), "root")
+    return joined.select("node", "root", "left_text", "right_text").mapInArrow(compared, "node long, root long")
+
+
+def open_entries(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, digest, comp, n, pos) of the prefix keys that classes of more than one component share, written once."""
+    placed = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("comp"), "n", "prefix")
+    entries = cut(placed).select("digest", "comp", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return cut(entries.join(cut(shared), "key", "left_semi"))
+
+
+def _may_link(num: int, den: int):
     least = F.least(F.col("a.n"), F.col("b.n")) * den >= F.greatest(F.col("a.n"), F.col("b.n")) * num
     # The first common key leaves at most the rest of either set to share.
     shared = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     enough = shared.cast("long") * (num + den) >= (F.col("a.n") + F.col("b.n")).cast("long") * num
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & least & enough)
-    pairs = cut(met.select(F.col("a.digest").alias("left"), F.col("b.digest").alias("right"), F.col("a.rep").alias("left_rep"), F.col("b.rep").alias("right_rep")).distinct())
-    wanted = pairs.select(F.explode(F.array("left_rep", "right_rep")).alias("doc_id")).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(digested, "digest long, text string").dropDuplicates(["digest"]))
-    joined = pairs.join(texts.toDF("left", "left_text"), "left").join(texts.toDF("right", "right_text"), "right")
-    links = joined.select(F.greatest("left_rep", "right_rep").alias("node"), F.least("left_rep", "right_rep").alias("root"), "left_text", "right_text").mapInArrow(compared, "node long, root long")
-    return classes.select("digest", "rep"), links.distinct()
+    return (F.col("a.comp") != F.col("b.comp")) & least & enough
+
+
+def stars(entries: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (node, root) of each class with one class of each of its keys: as many as entries at most."""
+    one = entries.groupBy("key").agg(F.min_by(F.struct("digest", "comp", "n", "pos"), F.xxhash64("digest")).alias("b")).select("key", "b.*")
+    met = entries.alias("a").join(one.alias("b"), (F.col("a.key") == F.col("b.key")) & _may_link(*_ratio(similarity)))
+    return met.select(F.col("a.digest").alias("node"), F.col("b.digest").alias("root")).distinct()
 
 
-def keep_one_similar(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group linked by shingle similarity, same columns.
+def pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """All candidates (node, root) of different components.
 
-    The smallest doc_id of a group stays; rows that repeat it count as copies
-    and one of them stays.  Blank texts are copies of each other.  Rows with a
-    null doc_id can't stand for a group and stay as they are.
+    In each key the component with the most entries is set apart, and the other
+    entries meet all; so the entries of one large component never meet each
+    other.
     """
-    classes, links = similar_pairs(docs, **options)
-    linked = components(links).select(F.col("node").alias("rep"))
-    chosen = classes.join(linked, "rep", "left_anti").select(F.col("rep").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionAll(docs.where("doc_id is null")).select(*docs.columns)
+    counts = entries.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    most = counts.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"))
+    sided = cut(entries.join(most, "key").withColumn("minor", F.col("comp") != F.col("most")).drop("most"))
+    once = ~F.col("b.minor") | (F.col("a.digest") < F.col("b.digest"))
+    met = sided.where("minor").alias("a").join(sided.alias("b"), (F.col("a.key") == F.col("b.key")) & once & _may_link(*_ratio(similarity)))
+    return met.select(F.greatest("a.digest", "b.digest").alias("node"), F.least("a.digest", "b.digest").alias("root")).distinct()

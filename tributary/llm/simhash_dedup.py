@@ -10,10 +10,11 @@
    A fingerprint has one home shard in each tree and visits the shards whose
    region overlaps its ball.
 4. Shards compare home rows with home rows and visitors over all 64 bits and
-   return star edges (row, smallest row of its group), never all pairs.  A
-   shard with many rows is cut into blocks of bounded size.
-5. Star edges are contracted to components with alternating large and small
-   stars; each round is written to the shared folder.
+   return for each row one link into its group, never all pairs.  A shard with
+   many rows is parted again by a tree of its own, and cut into blocks beyond
+   ``block_rows``.
+5. Links are contracted to components with alternating large and small stars;
+   each round is written to the shared folder.
 
 The trees are fitted on a bounded sample (``sample_size`` fingerprints); every
 row is routed and compared, and the result is exact for any tree.
@@ -29,7 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from . import shingle_join
+from .common import cut, pieces, unused
+from .components import components
 
 SEED = 42
 
@@ -69,6 +72,20 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def identified(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, fp) for every row."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 8 << 20):
+                prints = np.array([simhash(x, shingle) for x in part.column(2).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints.view(np.int64))], ["doc_id", "text_hash", "fp"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
 class VantageTree:
     """A vantage-point tree over one bit range of the fingerprints."""
 
@@ -138,7 +155,7 @@ def band_masks(bands: int) -> list[int]:
 
 
 def local_groups(left: np.ndarray, right: np.ndarray, right_ids: np.ndarray, left_ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (id, smallest id) of the links between two blocks of fingerprints.
+    """Links (id, id within ``radius`` of it) that connect all rows linked between two blocks of fingerprints.
 
     Rows without a link are set aside first; the rest are grown group by group,
     each row joining once, so a dense group costs no list of pairs.
@@ -152,30 +169,55 @@ def local_groups(left: np.ndarray, right: np.ndarray, right_ids: np.ndarray, lef
         touched_right |= close.any(0)
     ids, first = np.unique(np.concatenate([left_ids[touched_left], right_ids[touched_right]]), return_index=True)
     prints = np.concatenate([left[touched_left], right[touched_right]])[first]
-    members, roots = [], []
+    members, parents = [], []
     open_rows = np.arange(len(ids))
     while len(open_rows):
-        root, frontier, open_rows = ids[open_rows[0]], open_rows[:1], open_rows[1:]
+        frontier, open_rows = open_rows[:1], open_rows[1:]
         while len(frontier) and len(open_rows):
-            reached = np.zeros(len(open_rows), bool)
+            parent = np.full(len(open_rows), -1)
             for at in range(0, len(frontier), 256):
-                rest = np.flatnonzero(~reached)
+                rest = np.flatnonzero(parent < 0)
                 if not len(rest):
                     break
-                near = np.bitwise_count(prints[frontier[at : at + 256], None] ^ prints[open_rows[rest]][None, :]) <= radius
-                reached[rest[near.any(0)]] = True
-            frontier = open_rows[reached]
-            open_rows = open_rows[~reached]
+                own = frontier[at : at + 256]
+                near = np.bitwise_count(prints[own, None] ^ prints[open_rows[rest]][None, :]) <= radius
+                hit = near.any(0)
+                parent[rest[hit]] = own[near[:, hit].argmax(0)]
+            frontier = open_rows[parent >= 0]
             members.append(ids[frontier])
-            roots.append(np.full(len(frontier), root))
+            parents.append(ids[parent[parent >= 0]])
+            open_rows = open_rows[parent < 0]
     empty = np.zeros(0, np.int64)
-    return (np.concatenate(members), np.concatenate(roots)) if members else (empty, empty)
-
-
-def links(classes: DataFrame, radius: int = 3, bands: int = 2, leaf_rows: int = 1024, block_rows: int = 4096, sample_size: int = 16384) -> DataFrame:
-    """Star edges (node, root) that connect all classes within ``radius`` bits.
-
-    ``classes`` has one row (rep, fp) for each distinct fingerprint.
+    return (np.concatenate(members), np.concatenate(parents)) if members else (empty, empty)
+
+
+def shard_links(ids: np.ndarray, prints: np.ndarray, side: np.ndarray, radius: int, mask: int, reach: int, leaf_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within one shard.  A shard of many rows is parted again by a tree fitted on its own rows."""
+    home, all_rows = (side & 1) > 0, (side & 2) > 0
+    depth = math.ceil(math.log2(max(1, len(ids)) / leaf_rows)) if len(ids) > 4 * leaf_rows else 0
+    if depth:
+        tree = VantageTree(prints[:: max(1, len(ids) >> (depth + 3))], mask, depth, 17)
+        rows, leaf, first = tree.route(prints, reach)
+        if tree.leaves > 1:
+            order = np.argsort(leaf, kind="stable")
+            rows, leaf, first = rows[order], leaf[order], first[order]
+            out = []
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(leaf)) + 1):
+                own, at_home = rows[part], first[part]
+                # A pair that a node separates meets where one of the two is at home.
+                for a, b in ((at_home & home[own], all_rows[own]), (all_rows[own] & at_home, home[own] & ~at_home)):
+                    out.append(local_groups(prints[own[a]], prints[own[b]], ids[own[b]], ids[own[a]], radius))
+            return tuple(np.concatenate(x) for x in zip(*out))
+    return local_groups(prints[home], prints[all_rows], ids[all_rows], ids[home], radius)
+
+
+def links(classes: DataFrame, radius: int = 3, bands: int = 2, leaf_rows: int = 1024, block_rows: int = 1 << 18, sample_size: int = 16384) -> DataFrame:
+    """Links (node, root), each between fingerprints within ``radius`` bits, that connect all classes that such links connect.
+
+    ``classes`` has one row (rep, fp) for each distinct fingerprint.  The trees
+    over all rows have as many leaves as the sample can part; a shard of more
+    than a few ``leaf_rows`` is parted again by a tree of its own, so its
+    comparisons don't grow with the square of the table.
     """
     n = classes.count()
     if n < 2:
@@ -228,40 +270,19 @@ def links(classes: DataFrame, radius: int = 3, bands: int = 2, leaf_rows: int =
                     if len(ids):
                         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own.view(np.int64)), pa.array(key.astype(np.int64)), pa.array(cell.astype(np.int64)), pa.array(side.astype(np.int32))], ["rep", "fp", "leaf", "cell", "side"])
 
+    masks, ends = band_masks(bands), np.cumsum([tree.leaves for tree in trees])
+
     def compared(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
         prints = table.column("fp").to_numpy().view(np.uint64)
-        side = table.column("side").to_numpy()
-        a, b = (side & 1) > 0, (side & 2) > 0
-        node, root = local_groups(prints[a], prints[b], ids[b], ids[a], radius)
+        mask = masks[int(np.searchsorted(ends, table.column("leaf")[0].as_py(), side="right"))]
+        node, root = shard_links(ids, prints, table.column("side").to_numpy(), radius, mask, reach, leaf_rows)
         return pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())})
 
     dealt_rows = pairs.mapInArrow(dealt, "rep long, fp long, leaf long, cell long, side int")
     return dealt_rows.groupBy("leaf", "cell").applyInArrow(compared, "node long, root long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) with the smallest node reachable, for every node that has an edge.
-
-    Alternating large and small stars; each keeps one row for each edge, and the
-    minimum of a node is aggregated before the shuffle.
-    """
-    state, seen = cut(edges.where("node <> root").select("node", "root")), None
-    for _ in range(max_rounds):
-        both = state.unionAll(state.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
-        lower = large.groupBy("node").agg(F.min("root").alias("m"))
-        joined = large.join(lower, "node")
-        small = joined.select(F.when(F.col("root") == F.col("m"), F.col("node")).otherwise(F.col("root")).alias("node"), F.col("m").alias("root"))
-        state = cut(small.where("node <> root").distinct())
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return state
-        seen = now
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, **tree_options) -> DataFrame:
     """One row (doc_id, fp, fingerprint, component_id) for each row of ``docs``.
 
@@ -278,16 +299,58 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, **tree_o
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def similar_classes(docs: DataFrame, similarity: float, shingle: int, radius: int = 3, stars: int = 1, **tree_options) -> tuple[DataFrame, DataFrame]:
+    """Classes (digest, first) of equal shingle sets, and (node, root) of the digests that links connect.
+
+    Classes link at a Jaccard similarity of ``similarity`` or more of their word
+    shingles.  Pairs within ``radius`` bits of their SimHash fingerprints meet
+    in the shards of vantage-point trees; as that similarity lies about ten bits
+    apart, where no tree prunes, the pairs beyond meet by the rarest of their
+    shingles.  Every candidate is compared exactly, and only classes that are
+    not connected yet are candidates, so large groups of near copies cost no
+    list of their pairs.  ``first`` is the least (doc_id, text_hash) of a class.
+    """
+    classes = cut(shingle_join.classes(docs, similarity, shingle))
+    prints = cut(classes.groupBy("fp").agg(F.min("digest").alias("rep")))
+    same_print = classes.join(prints, "fp").where("digest <> rep").select(F.col("digest").alias("node"), F.col("rep").alias("root"))
+    near = links(prints, radius, **tree_options).unionAll(same_print)
+    known = cut(shingle_join.verified(docs, classes, near, similarity, shingle))
+    for _ in range(stars):
+        entries = shingle_join.open_entries(classes, components(known))
+        known = cut(known.unionAll(shingle_join.verified(docs, classes, shingle_join.stars(entries, similarity), similarity, shingle)))
+    entries = shingle_join.open_entries(classes, components(known))
+    rest = shingle_join.verified(docs, classes, shingle_join.pairs(entries, similarity), similarity, shingle)
+    return classes.select("digest", "first"), components(known.unionAll(rest))
+
+
+def keep_one(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, same columns.
 
-    The smallest doc_id of a group stays; rows that repeat it count as copies
-    and one of them stays.  Rows with a null doc_id can't stand for a group and
-    stay as they are.
+    Groups are those of the fingerprints (see ``near_duplicates``), or with
+    ``similarity`` those of a Jaccard similarity of word shingles (see
+    ``similar_classes``).  The smallest doc_id of a group stays, of rows that
+    repeat it the one whose text has the least hash, once; unlike texts under
+    one id are judged apart.  Blank texts are copies of each other.  Rows with a
+    null doc_id can't stand for a group and stay as they are.
     """
-    chosen = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionAll(docs.where("doc_id is null")).select(*docs.columns)
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    first = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"))
+    if similarity is None:
+        near = near_duplicates(docs.where("doc_id is not null").select(F.col("doc_id"), "text"), **options).select("fp", "component_id").distinct()
+        # The group's rows by their own fingerprint: only the narrow columns move.
+        shingle = options.get("shingle", 3)
+        rows = identified(docs.where("doc_id is not null"), shingle)
+        chosen = rows.join(near, "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    else:
+        named, roots = similar_classes(docs.where("doc_id is not null").select("doc_id", "text"), similarity, **options)
+        grouped = named.join(roots, named["digest"] == roots["node"], "left").select(F.coalesce("root", "digest").alias("root"), "first")
+        chosen = grouped.groupBy("root").agg(F.min("first").alias("first"))
+    kept_id, kept_hash, own = unused(docs, "kept_id", "kept_hash", "own_hash")
+    wanted = cut(chosen.select(F.col("first.doc_id").alias(kept_id), F.col("first.text_hash").alias(kept_hash)).distinct())
+    marked = docs.where("doc_id is not null").withColumn(own, first["text_hash"])
+    same = (F.col("doc_id").cast("long") == F.col(kept_id)) & (F.col(own) == F.col(kept_hash))
+    named = marked.join(wanted, same, "left_semi").dropDuplicates(["doc_id", own])
+    return named.select(*docs.columns).unionAll(docs.where("doc_id is null").select(*docs.columns))
 
 
 def op1_simhash_dedup(spark, sf_dir: str) -> DataFrame:
