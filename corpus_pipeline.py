@@ -15,7 +15,7 @@ from tributary.llm.common import cut
 from tributary.llm.mixing import mix
 from tributary.llm.pii_sanitise import redact
 from tributary.llm.quality_rules import keep_good
-from tributary.llm.shingle_join import keep_one_similar
+from tributary.llm.simhash_dedup import keep_one
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 over shingles of five words."""
-    return keep_one_similar(docs, similarity=0.8, shingle=5)
+    return keep_one(docs, similarity=0.8, shingle=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
