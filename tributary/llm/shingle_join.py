@@ -140,8 +140,22 @@ def set_prints(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+PARITY = ("p0", "p1", "p2", "p3")
+
+
+def set_parities(row: np.ndarray, key: np.ndarray, rows: int) -> list[np.ndarray]:
+    """256 bits of each row's set, each the parity of the keys that fall on it, in four integers.
+
+    Two sets differ in at least as many keys as their parities in bits.
+    """
+    bit = (_mixed(key.view(np.uint64) & np.uint64((1 << HASH_BITS) - 1)) >> np.uint64(56)).astype(np.int64)
+    odd = (np.bincount(row * 256 + bit, minlength=rows * 256) & 1).astype(np.uint8).reshape(rows, 256)
+    packed = np.packbits(odd, axis=1).view(np.int64).reshape(rows, 4)
+    return [np.ascontiguousarray(packed[:, i]) for i in range(4)]
+
+
 def classes(docs: DataFrame, similarity: float, shingle: int, sample_size: int = 8192) -> DataFrame:
-    """(digest, first, n, fp, prefix) of each distinct shingle set; ``first`` is its least (doc_id, text_hash)."""
+    """(digest, first, n, fp, prefix, p0 to p3) of each distinct shingle set; ``first`` is its least (doc_id, text_hash)."""
     num, den = _ratio(similarity)
     frequent = frequent_shingles(docs, shingle, sample_size)
 
@@ -155,10 +169,11 @@ def classes(docs: DataFrame, similarity: float, shingle: int, sample_size: int =
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prints = set_prints(row, key, part.num_rows).view(np.int64)
                 arrays = [part.column(0), part.column(1), pa.array(digest), pa.array(n.astype(np.int32)), pa.array(prints), pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "digest", "n", "fp", "prefix"])
+                arrays += [pa.array(x) for x in set_parities(row, key, part.num_rows)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "digest", "n", "fp", "prefix", *PARITY])
 
-    sets = _rows(docs).mapInArrow(run, "doc_id long, text_hash long, digest long, n int, fp long, prefix array<long>")
-    return sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    sets = _rows(docs).mapInArrow(run, "doc_id long, text_hash long, digest long, n int, fp long, prefix array<long>, p0 long, p1 long, p2 long, p3 long")
+    return sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", *PARITY)])
 
 
 def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -189,9 +204,9 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similar
 
 
 def open_entries(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, digest, comp, n, pos) of the prefix keys that classes of more than one component share, written once."""
-    placed = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("comp"), "n", "prefix")
-    entries = cut(placed).select("digest", "comp", "n", F.posexplode("prefix").alias("pos", "key"))
+    """(key, digest, comp, n, pos, p0 to p3) of the prefix keys that classes of more than one component share, written once."""
+    placed = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("comp"), "n", "prefix", *PARITY)
+    entries = cut(placed).select("digest", "comp", "n", *PARITY, F.posexplode("prefix").alias("pos", "key"))
     shared = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     return cut(entries.join(cut(shared), "key", "left_semi"))
 
@@ -201,12 +216,15 @@ def _may_link(num: int, den: int):
     # The first common key leaves at most the rest of either set to share.
     shared = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     enough = shared.cast("long") * (num + den) >= (F.col("a.n") + F.col("b.n")).cast("long") * num
-    return (F.col("a.comp") != F.col("b.comp")) & least & enough
+    both = (F.col("a.n") + F.col("b.n")).cast("long")
+    unlike = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITY), F.lit(0))
+    close = (both - unlike) * (num + den) >= 2 * num * both
+    return (F.col("a.comp") != F.col("b.comp")) & least & enough & close
 
 
-def stars(entries: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (node, root) of each class with one class of each of its keys: as many as entries at most."""
-    one = entries.groupBy("key").agg(F.min_by(F.struct("digest", "comp", "n", "pos"), F.xxhash64("digest")).alias("b")).select("key", "b.*")
+def stars(entries: DataFrame, similarity: float, salt: int = 0) -> DataFrame:
+    """Candidates (node, root) of each class with one class of each of its keys, drawn by key: as many as entries at most."""
+    one = entries.groupBy("key").agg(F.min_by(F.struct("digest", "comp", "n", "pos", *PARITY), F.xxhash64("key", "digest", F.lit(salt))).alias("b")).select("key", "b.*")
     met = entries.alias("a").join(one.alias("b"), (F.col("a.key") == F.col("b.key")) & _may_link(*_ratio(similarity)))
     return met.select(F.col("a.digest").alias("node"), F.col("b.digest").alias("root")).distinct()
 

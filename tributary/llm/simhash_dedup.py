@@ -315,9 +315,9 @@ def similar_classes(docs: DataFrame, similarity: float, shingle: int, radius: in
     same_print = classes.join(prints, "fp").where("digest <> rep").select(F.col("digest").alias("node"), F.col("rep").alias("root"))
     near = links(prints, radius, **tree_options).unionAll(same_print)
     known = cut(shingle_join.verified(docs, classes, near, similarity, shingle))
-    for _ in range(stars):
+    for turn in range(stars):
         entries = shingle_join.open_entries(classes, components(known))
-        known = cut(known.unionAll(shingle_join.verified(docs, classes, shingle_join.stars(entries, similarity), similarity, shingle)))
+        known = cut(known.unionAll(shingle_join.verified(docs, classes, shingle_join.stars(entries, similarity, turn), similarity, shingle)))
     entries = shingle_join.open_entries(classes, components(known))
     rest = shingle_join.verified(docs, classes, shingle_join.pairs(entries, similarity), similarity, shingle)
     return classes.select("digest", "first"), components(known.unionAll(rest))
