@@ -34,22 +34,43 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: While a table is written, Spark deletes the shuffle files of its query at the end.
+_CLEANING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     The table replaces the lineage, so a lost executor costs a re-read and
-    nothing above the cut runs twice.
+    nothing above the cut runs twice; the shuffle files that made it go.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANING, "false")
+    spark.conf.set(_CLEANING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANING, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.cut_path)
 
 
 def clean_up(spark: SparkSession) -> None:
     """Delete every table that ``cut`` has written for this application; results that still read them fail after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/tables")
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

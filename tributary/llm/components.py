@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("node").agg(F.min("root").alias("m"))
         joined = large.join(lower, "node")
         small = joined.select(F.when(F.col("root") == F.col("m"), F.col("node")).otherwise(F.col("root")).alias("node"), F.col("m").alias("root"))
-        state = cut(small.where("node <> root").distinct())
+        last, state = state, cut(small.where("node <> root").distinct())
+        discard(last)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == seen:
             return state

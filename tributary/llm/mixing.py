@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import cut, drawn, fragments, letter_words, pieces, segment_sums, text_bytes, texts_of, unused
+from .common import cut, discard, drawn, fragments, letter_words, pieces, segment_sums, text_bytes, texts_of, unused
 
 BUCKETS = 1 << 17
 FRAGMENT = 1 << 20
@@ -278,10 +278,14 @@ def descend(
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         momentum, speed = (speed - 1) / faster, faster
         if len(steps) - written == every:
-            state = cut(state.select("n_tokens", "p", _after(F.col("s"), steps[written:], t, F.col("p"), max_rate).alias("s")))
+            spent, state = state, cut(state.select("n_tokens", "p", _after(F.col("s"), steps[written:], t, F.col("p"), max_rate).alias("s")))
+            if written:
+                discard(spent)
             written = len(steps)
     last = state.select(t.alias("t"), "p", _after(F.col("s"), steps[written:], t, F.col("p"), max_rate).alias("s"))
     have = last.agg(*[F.sum(F.col("t") * F.col("s.rate") * x) for x in p]).first()
+    if written:
+        discard(state)
     out = Rates(domains, tuple(steps), max_rate, tuple(wanted.tolist()), tuple(map(float, have)))
     if missed := out.unmet():
         warnings.warn(f"targets out of reach, shares reached: {missed}", stacklevel=2)
@@ -334,16 +338,20 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = No
 
     A rate's whole part gives copies; its fraction gives one more where a hash
     of the id and text falls below it, so the mixture is the same on every run.
-    At a ``max_rate`` of 1 the mixture takes each document once or not.  The
-    documents are written once with their posteriors, and rates are computed
-    within the row.
+    At a ``max_rate`` of 1 the mixture takes each document once or not.  Null
+    texts keep rate 1; repeated rows are taken alike.  Rates are computed within
+    the row, so no text is moved.
     """
     target = target or TARGET
     domains = tuple(target)
     n_tokens, p, copy = unused(docs, "n_tokens", "p", "rated_copy")
-    table = cut(posteriors(docs.withColumn("text", F.col("text").cast("string")), classifier(docs, labels, domains, sample_size), n_tokens, p))
-    slim = table.select(F.col(n_tokens).alias("n_tokens"), F.col(p).alias("p"))
-    rate = descend(slim, domains, target, anchor=anchor, max_rate=max_rate, **options).of(F.col(n_tokens), F.col(p))
+    texts = docs.withColumn("text", F.col("text").cast("string"))
+    model = classifier(docs, labels, domains, sample_size)
+    slim = cut(posteriors(texts.select("text"), model).drop("text"))
+    rates = descend(slim, domains, target, anchor=anchor, max_rate=max_rate, **options)
+    discard(slim)
+    table = posteriors(texts, model, n_tokens, p)
+    rate = rates.of(F.col(n_tokens), F.col(p))
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(29)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     copies = F.floor(rate + chance).cast("int")
     if max_rate is not None and max_rate <= 1:

@@ -13,8 +13,8 @@ Everything is DataFrame expressions.  Spans are found and replaced within the
 row, in a cost that grows with the text and its matches.  Texts with entities
 collapse to their distinct values and words before these meet, and word counts
 are aggregated before their shuffle, so frequent words and groups of copies meet
-as partial counts.  The texts are written once beside what is found in them; the
-rows that hold a disclosing term join them by id and hash.
+as partial counts.  The rows that hold a disclosing term join the texts by id
+and hash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, unused
+from .common import cut, discard, let, unused
 
 #: Kinds in reporting order.  Possessive loops and anchors keep the patterns
 #: linear; they match what the plain patterns of the contract match.
@@ -199,15 +199,17 @@ def _text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
-def found(docs: DataFrame, own: str = "own") -> DataFrame:
-    """``docs`` with a column of (id, text_hash, hits, words), written once; ``words`` are the distinct words that don't touch an entity."""
-    hits, hidden = unused(docs, "hits", "hidden")
-    # A variable keeps the optimizer from evaluating the search again for each use.
-    rows = docs.withColumn(hits, let(_text(docs), base_hits))
-    rows = rows.withColumn(hidden, masked(_text(rows), F.col(hits)))
-    words = F.array_distinct(F.filter(F.regexp_extract_all(hidden, F.lit(WORD), F.lit(0)), lambda w: ~F.contains(w, F.lit(FILLER))))
-    parts = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text(rows)).alias("text_hash"), F.col(hits).alias("hits"), words.alias("words"))
-    return cut(rows.withColumn(own, parts).drop(hits, hidden))
+def _with_hits(docs: DataFrame, hits: str) -> DataFrame:
+    """``docs`` with the base spans of each row; a variable keeps the optimizer from evaluating the search again for each use."""
+    return docs.withColumn(hits, let(_text(docs), base_hits))
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """(id, text_hash, hits, words) for every row, written once; ``words`` are the distinct words that don't touch an entity."""
+    rows = _with_hits(docs.select("doc_id", "text"), "hits")
+    rows = rows.withColumn("hidden", masked(_text(rows), F.col("hits")))
+    words = F.array_distinct(F.filter(F.regexp_extract_all("hidden", F.lit(WORD), F.lit(0)), lambda w: ~F.contains(w, F.lit(FILLER))))
+    return cut(rows.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text(rows)).alias("text_hash"), "hits", words.alias("words")))
 
 
 def disclosing_terms(table: DataFrame, disclosure: float = 0.95, removal: float = 0.99, support: int = 2) -> DataFrame:
@@ -234,33 +236,35 @@ def disclosing_terms(table: DataFrame, disclosure: float = 0.95, removal: float
     return out.where(F.col("revealed") >= disclosure).withColumn("remove", F.col("revealed") >= removal)
 
 
-def _with_terms(table: DataFrame, own: str, held_name: str, **options) -> DataFrame:
-    """``table`` with the disclosing words that each row holds, null for none.
+def _held(docs: DataFrame, **options) -> DataFrame:
+    """(id, text_hash, held) of the rows that hold disclosing words, and those words."""
+    table = found(docs)
+    terms = cut(disclosing_terms(table, **options).groupBy("term").agg(F.max("remove").alias("remove")))
+    words = table.select("id", "text_hash", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    held = cut(words.join(terms, "term").groupBy("id", "text_hash").agg(F.collect_set(F.struct("word", "remove")).alias("held")))
+    discard(table, terms)
+    return held
+
+
+def marked(docs: DataFrame, hits: str, added: str, **options) -> DataFrame:
+    """``docs`` with each row's base spans and all occurrences of disclosing words outside them, as arrays ``hits`` and ``added``.
 
-    Only rows that hold one are on the other side of the join, without their
-    texts; Spark broadcasts that side where its size in bytes allows.
+    Only rows that hold such a word are on the other side of the join, without
+    their texts; Spark broadcasts that side where its size in bytes allows.
     """
-    narrow = table.select(f"{own}.*")
-    terms = cut(disclosing_terms(narrow, **options).groupBy("term").agg(F.max("remove").alias("remove")))
-    words = narrow.select("id", "text_hash", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
-    held = words.join(terms, "term").groupBy("id", "text_hash").agg(F.collect_set(F.struct("word", "remove")).alias("held"))
-    held = cut(held).toDF(f"{held_name}_id", f"{held_name}_hash", held_name)
-    same = F.col(f"{own}.id").eqNullSafe(F.col(f"{held_name}_id")) & (F.col(f"{own}.text_hash") == F.col(f"{held_name}_hash"))
-    return table.join(held, same, "left").drop(f"{held_name}_id", f"{held_name}_hash")
-
-
-def _added(table: DataFrame, own: str, held: str, added: str) -> DataFrame:
-    """``table`` with all occurrences of the held words outside entities, as an array ``added`` of (start, end, remove)."""
-    (hidden,) = unused(table, "hidden")
-    rows = table.withColumn(hidden, F.when(F.col(held).isNotNull(), masked(_text(table), F.col(f"{own}.hits"))))
+    held, own_id, own_hash, hidden = unused(docs, "held", "held_id", "held_hash", "hidden")
+    words = _held(docs, **options).toDF(own_id, own_hash, held)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(_text(docs)) == F.col(own_hash))
+    rows = _with_hits(docs.join(words, same, "left").drop(own_id, own_hash), hits)
+    rows = rows.withColumn(hidden, F.when(F.col(held).isNotNull(), masked(_text(rows), F.col(hits))))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(held, lambda t: t["word"]), "|"), F.lit(r")(?!\p{L})"))
 
-    def marked(removed: Column) -> Column:
+    def spots(removed: Column) -> Column:
         return F.transform(located(F.col(hidden), pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(removed, x["value"]).alias("remove")))
 
-    spots = let(F.map_from_entries(held), marked)
     none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
-    return rows.withColumn(added, F.when(F.col(held).isNotNull(), spots).otherwise(none)).drop(hidden)
+    found_words = F.when(F.col(held).isNotNull(), let(F.map_from_entries(held), spots)).otherwise(none)
+    return rows.withColumn(added, found_words).drop(hidden, held)
 
 
 def sanitised_spans(docs: DataFrame, **options) -> DataFrame:
@@ -271,8 +275,8 @@ def sanitised_spans(docs: DataFrame, **options) -> DataFrame:
     with equal id and text get equal spans and stay repeated; a null doc_id is
     matched as a value.  Columns besides doc_id and text are not read.
     """
-    table = _added(_with_terms(found(docs.select("doc_id", "text")), "own", "held", **options), "own", "held", "added")
-    return table.select(F.col("own.id").alias("doc_id"), "own.text_hash", "own.hits", "added")
+    rows = marked(docs.select("doc_id", "text"), "hits", "added", **options)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text(rows)).alias("text_hash"), "hits", "added")
 
 
 def _listed(spans: Column) -> Column:
@@ -305,10 +309,10 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     stay repeated and are changed alike; a column n_chars, if any, follows the
     new text.
     """
-    own, held, added, changes = unused(docs, "own", "held", "added", "changes")
-    table = _added(_with_terms(found(docs, own), own, held, **options), own, held, added)
+    hits, added, changes = unused(docs, "hits", "added", "changes")
+    table = marked(docs, hits, added, **options)
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    base = F.transform(f"{own}.hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(labels, h["kind"] + 1).alias("put")))
+    base = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(labels, h["kind"] + 1).alias("put")))
     more = F.transform(added, lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.when(a["remove"], "").otherwise("[TERM]").alias("put")))
     rows = table.withColumn(changes, merged(F.array_sort(F.concat(base, more))))
     untouched = F.col("text").isNull() | (F.size(changes) == 0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, cut, pieces, span_hashes, text_bytes
+from .common import LOWER, SPACES, cut, discard, pieces, span_hashes, text_bytes
 
 SPACE = np.zeros(256, bool)
 SPACE[list(SPACES.encode())] = True
@@ -177,7 +177,7 @@ def classes(docs: DataFrame, similarity: float, shingle: int, sample_size: int =
 
 
 def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The rows (node, root) of ``candidates`` whose texts have the similarity, by their shingles as text."""
+    """The rows (node, root) of ``candidates`` whose texts have the similarity, by their shingles as text; written once."""
     num, den = _ratio(similarity)
     wanted = cut(candidates.select("node", "root").distinct())
     named = wanted.select(F.explode(F.array("node", "root")).alias("digest")).distinct().join(classes.select("digest", "first"), "digest")
@@ -200,15 +200,28 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similar
             yield pa.RecordBatch.from_arrays([node.filter(keep), root.filter(keep)], ["node", "root"])
 
     joined = wanted.join(texts.toDF("node", "left_text"), "node").join(texts.toDF("root", "right_text"), "root")
-    return joined.select("node", "root", "left_text", "right_text").mapInArrow(compared, "node long, root long")
+    out = cut(joined.select("node", "root", "left_text", "right_text").mapInArrow(compared, "node long, root long"))
+    discard(wanted, named, texts)
+    return out
+
 
+def shared_entries(classes: DataFrame) -> DataFrame:
+    """(key, digest, pos, n, p0 to p3) of the prefix keys that more than one class holds, written once."""
+    entries = classes.select("digest", F.posexplode("prefix").alias("pos", "key"))
+    keys = entries.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key")
+    keys = cut(keys)
+    out = cut(entries.join(keys, "key", "left_semi").join(classes.select("digest", "n", *PARITY), "digest"))
+    discard(keys)
+    return out
 
-def open_entries(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, digest, comp, n, pos, p0 to p3) of the prefix keys that classes of more than one component share, written once."""
-    placed = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("comp"), "n", "prefix", *PARITY)
-    entries = cut(placed).select("digest", "comp", "n", *PARITY, F.posexplode("prefix").alias("pos", "key"))
-    shared = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    return cut(entries.join(cut(shared), "key", "left_semi"))
+
+def open_entries(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``shared_entries`` on keys that more than one component holds, with their component, written once."""
+    entries = shared.join(roots.toDF("digest", "root"), "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root")
+    keys = cut(entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"))
+    out = cut(entries.join(keys, "key", "left_semi"))
+    discard(keys)
+    return out
 
 
 def _may_link(num: int, den: int):
@@ -238,7 +251,7 @@ def pairs(entries: DataFrame, similarity: float) -> DataFrame:
     """
     counts = entries.groupBy("key", "comp").agg(F.count("*").alias("rows"))
     most = counts.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"))
-    sided = cut(entries.join(most, "key").withColumn("minor", F.col("comp") != F.col("most")).drop("most"))
+    sided = entries.join(most, "key").withColumn("minor", F.col("comp") != F.col("most")).drop("most")
     once = ~F.col("b.minor") | (F.col("a.digest") < F.col("b.digest"))
     met = sided.where("minor").alias("a").join(sided.alias("b"), (F.col("a.key") == F.col("b.key")) & once & _may_link(*_ratio(similarity)))
     return met.select(F.greatest("a.digest", "b.digest").alias("node"), F.least("a.digest", "b.digest").alias("root")).distinct()

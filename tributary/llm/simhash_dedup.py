@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_join
-from .common import cut, pieces, unused
+from .common import cut, discard, pieces, unused
 from .components import components
 
 SEED = 42
@@ -314,13 +314,18 @@ def similar_classes(docs: DataFrame, similarity: float, shingle: int, radius: in
     prints = cut(classes.groupBy("fp").agg(F.min("digest").alias("rep")))
     same_print = classes.join(prints, "fp").where("digest <> rep").select(F.col("digest").alias("node"), F.col("rep").alias("root"))
     near = links(prints, radius, **tree_options).unionAll(same_print)
-    known = cut(shingle_join.verified(docs, classes, near, similarity, shingle))
-    for turn in range(stars):
-        entries = shingle_join.open_entries(classes, components(known))
-        known = cut(known.unionAll(shingle_join.verified(docs, classes, shingle_join.stars(entries, similarity, turn), similarity, shingle)))
-    entries = shingle_join.open_entries(classes, components(known))
-    rest = shingle_join.verified(docs, classes, shingle_join.pairs(entries, similarity), similarity, shingle)
-    return classes.select("digest", "first"), components(known.unionAll(rest))
+    known = shingle_join.verified(docs, classes, near, similarity, shingle)
+    shared = shingle_join.shared_entries(classes)
+    for turn in range(stars + 1):
+        entries = shingle_join.open_entries(shared, components(known))
+        more = shingle_join.stars(entries, similarity, turn) if turn < stars else shingle_join.pairs(entries, similarity)
+        known = known.unionAll(shingle_join.verified(docs, classes, more, similarity, shingle))
+        discard(entries)
+    discard(shared)
+    named = cut(classes.select("digest", "first"))
+    roots = components(known)
+    discard(classes, prints)
+    return named, roots
 
 
 def keep_one(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
