@@ -42,10 +42,13 @@ STATUS_SEVERITY = {"preserved": 0, "degraded": 1, "broken": 2}
 # Failure classification: message tokens in order of precedence, then exception classes
 FAILURE_TOKENS = {
     "provider": [
-        "cloud 429", "cloud 502", "cloud 503", "cloud 504", "http error talking to", "upstream_503", "rate_limit_exceeded",
+        "GMI Cloud 429", "GMI Cloud 502", "GMI Cloud 503", "GMI Cloud 504", "HTTP error talking to GMI Cloud", "upstream_503", "rate_limit_exceeded",
         "temporarily unavailable", "connection reset", "overload",
     ],
-    "schema": ["validationerror", "validation error", "missing 'claims'", "missing 'explanation'", "non-json", "failed to return a valid", "extras_forbidden"],
+    "schema": [
+        "ValidationError", "validation error", "missing 'claims'", "missing 'explanation'", "non-JSON", "M3 failed to return a valid claim list",
+        "M3 failed to return a valid ClaimEvaluation", "extras_forbidden",
+    ],
     "semantic": ["no rule matched", "explanation did not influence"],
 }
 FAILURE_CLASSES = {
@@ -54,3 +57,14 @@ FAILURE_CLASSES = {
 }
 FAILED_ATTEMPT_CAP = 12
 RUNS_PER_FIXTURE = 4
+
+# Retries of upstream calls
+RETRY_STATUSES = [429, 502, 503, 504]
+RETRY_BODY_TOKENS = [
+    "upstream_503", "upstream 503", "overload", "overloaded", "temporarily unavailable", "temporary unavailable", "rate_limit_exceeded",
+    "rate limit exceeded", "rate-limit exceeded", "connection reset", "connection_reset",
+]
+AUTH_BODY_TOKENS = ["invalid api key", "invalid_api_key", "authentication invalid", "unauthorized", "401"]
+TRANSPORT_ERRORS = ["TimeoutException", "ConnectError", "RemoteProtocolError", "TransportError"]
+RETRY_DELAYS = [2.0, 5.0, 10.0, 20.0]
+RETRY_JITTER = 0.25

@@ -80,6 +80,10 @@ def alignment_acceptance(rows: DataFrame, script: DataFrame) -> DataFrame:
     )
 
 
+def _holds(text: Column, tokens: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(text, t))
+
+
 def classify_failure(message: Column, error_class: Column) -> Column:
     """Category of a failed attempt: message tokens in order, then the exception's class."""
     low = F.lower(F.coalesce(message, F.lit("")))
@@ -87,21 +91,40 @@ def classify_failure(message: Column, error_class: Column) -> Column:
     for name, classes in reversed(config.FAILURE_CLASSES.items()):
         out = F.when(error_class.isin(*classes), name).otherwise(out)
     for name, tokens in reversed(config.FAILURE_TOKENS.items()):
-        found = F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(low, t))
+        found = _holds(low, [t.lower() for t in tokens])
         out = F.when(found, name).otherwise(out)
     return out
 
 
-def retryable(status: Column, body: Column) -> Column:
-    """Whether an upstream response may be tried again; authentication errors never."""
+def retryable(status: Column, body: Column, error_class: Column | None = None) -> Column:
+    """Whether a call may be tried again.
+
+    Without a response (an ``error_class``) only transport errors may.  Busy
+    statuses always may; another status may if its body tells of a busy upstream
+    and of no authentication failure.
+    """
     low = F.lower(F.coalesce(body, F.lit("")))
-    busy = low.rlike("overload|rate_limit_exceeded|temporarily unavailable|connection reset")
-    return F.coalesce(status.isin(429, 502, 503, 504), F.lit(False)) | (busy & ~low.rlike("unauthorized|invalid api key|forbidden"))
+    busy = _holds(low, config.RETRY_BODY_TOKENS) & ~_holds(low, config.AUTH_BODY_TOKENS)
+    answered = F.coalesce(status.isin(*config.RETRY_STATUSES), F.lit(False)) | busy
+    return answered if error_class is None else F.when(error_class.isNotNull(), error_class.isin(*config.TRANSPORT_ERRORS)).otherwise(answered)
+
+
+def retry_after_seconds(header: Column, now: Column) -> Column:
+    """Seconds that a Retry-After header asks for, as a number or an HTTP date against ``now`` (UTC); null unless positive."""
+    value = F.btrim(header)
+    number = value.try_cast("double")
+    date = F.try_to_timestamp(F.regexp_extract(value, r"^[A-Za-z]{3}, ([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.coalesce(number, (F.unix_micros(date) - F.unix_micros(now)) / 1e6)
+    return F.when(seconds > 0, seconds)
 
 
 def backoff(attempt: Column, retry_after: Column) -> Column:
-    """Seconds before the given attempt's retry: the server's wish, else 2, 5, 10, 20; null beyond the fourth."""
-    return F.when(attempt > 4, F.lit(None).cast("double")).otherwise(F.coalesce(retry_after, F.element_at(F.array(F.lit(2.0), F.lit(5.0), F.lit(10.0), F.lit(20.0)), attempt)))
+    """Seconds before the given attempt's retry: the server's wish, else 2, 5, 10, 20; null beyond the fourth.
+
+    A caller adds up to ``config.RETRY_JITTER`` seconds of chance.
+    """
+    delays = F.array(*map(F.lit, config.RETRY_DELAYS))
+    return F.when(attempt > len(config.RETRY_DELAYS), F.lit(None).cast("double")).otherwise(F.coalesce(retry_after, F.element_at(delays, attempt)))
 
 
 def attempt_window(attempts: DataFrame, successes: int = config.RUNS_PER_FIXTURE, cap: int = config.FAILED_ATTEMPT_CAP) -> DataFrame:
@@ -122,7 +145,10 @@ def counter_deltas(snapshots: DataFrame, keys: list[str], order: str, counters:
 
 
 def derived_runs(merges: DataFrame, runs: int = config.RUNS_PER_FIXTURE) -> DataFrame:
-    """(fixture, run, interaction, expected, a/b/c statuses): hash-drawn verdicts of repeated runs on each merge."""
+    """(fixture, run, interaction, expected, a/b/c statuses): hash-drawn verdicts of repeated runs on each merge.
+
+    Stand-ins for a model's runs: they exercise the evaluation, not the merge.
+    """
     rows = merges.select(F.col("merge_id").alias("fixture"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     names = F.array(*map(F.lit, config.INTERACTION_SEVERITY))
     status = F.array(*map(F.lit, config.STATUS_SEVERITY))

@@ -39,11 +39,19 @@ def segment_shots(frames: DataFrame, threshold: float = config.SCENE_THRESHOLD)
 
 
 def keyframes(shots: DataFrame, frames: DataFrame) -> DataFrame:
-    """The frame at or before each shot's midpoint; none for empty shots.  An as-of join within the video."""
-    s = shots.where(F.col("end") > F.col("start")).withColumn("middle", (F.col("start") + F.col("end")) / 2)
-    f = frames.select("video_id", "frame", "ts")
-    near = s.join(f, "video_id").where(F.col("ts") <= F.col("middle"))
-    return near.groupBy("video_id", "sequence_index", "middle").agg(F.max_by("frame", F.struct("ts", "frame")).alias("frame"))
+    """The frame at or before each shot's midpoint; none for empty shots.
+
+    An as-of join within the video: midpoints and frames stand in one ordered
+    timeline and each midpoint takes the last frame before it, so the work is
+    one sort of their rows.
+    """
+    none = F.lit(None)
+    s = shots.where(F.col("end") > F.col("start")).select("video_id", "sequence_index", ((F.col("start") + F.col("end")) / 2).alias("middle"))
+    asked = s.select("video_id", F.col("middle").alias("at"), F.lit(1).alias("turn"), none.cast("long").alias("frame"), "sequence_index", "middle")
+    shown = frames.select("video_id", F.col("ts").alias("at"), F.lit(0).alias("turn"), F.col("frame").cast("long").alias("frame"), none.cast("long").alias("sequence_index"), none.cast("double").alias("middle"))
+    so_far = W.partitionBy("video_id").orderBy("at", "turn", "frame").rowsBetween(W.unboundedPreceding, 0)
+    rows = asked.unionByName(shown).withColumn("frame", F.last("frame", ignorenulls=True).over(so_far))
+    return rows.where("turn = 1 and frame is not null").select("video_id", "sequence_index", "middle", "frame")
 
 
 def attach_segments(segments: DataFrame, shots: DataFrame) -> DataFrame:
@@ -96,7 +104,7 @@ def perceptual_hash(gray: Column, mean: Column) -> Column:
             if p is None or c is None or len(p) != 1024:
                 out.append(config.ZERO_HASH)
                 continue
-            low = (basis @ np.asarray(p, float).reshape(32, 32) @ basis)[:8, :8].copy()
+            low = (basis @ np.asarray(p, float).reshape(32, 32) @ basis.T)[:8, :8].copy()
             low[0, 0] = 0.0
             bits = (low > np.median(low)).ravel()[:55]
             prefix = "".join(format(int(x) >> 5, "03b") for x in c)

@@ -269,7 +269,8 @@ SELECTS = {
       FROM (SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (NOT p AND NOT y) AS tn FROM (SELECT interaction = 'creates_new_conflict' AS p, expected = 'creates_new_conflict' AS y FROM runs WHERE run = 0))""",
     "q55_gate_tokens": f"SELECT fixture, shot_no, len(e) AS n_tokens, array_to_string(list_sort(e), ' ') AS tokens FROM (SELECT merge_id AS fixture, base_index AS shot_no, list_distinct({_gate_tokens('x')}) AS e FROM (SELECT *, text || ' Seven allergies, customers'' boxes and glasses' AS x FROM base))",
     "q56_clock_lines": f"""SELECT merge_id, base_index, floor("start")::DOUBLE AS "start", floor("end")::DOUBLE AS "end", {_ws("text")} AS text FROM base""",
-    "q57_retry_policy": """SELECT event_id, event_id % 5 IN (1, 2) OR (event_id % 9 = 0) AS retryable, CASE WHEN event_id % 6 + 1 > 4 THEN NULL WHEN event_id % 8 = 0 THEN 3.5::DOUBLE ELSE ([2.0, 5.0, 10.0, 20.0][event_id % 6 + 1])::DOUBLE END AS wait FROM events""",
+    "q57_retry_policy": """SELECT event_id, event_type = 'error' OR regexp_matches(lower(event_type || ' ' || props), 'upstream[_ ]503|overload|tempora(rily|ry) unavailable|rate[_ -]limit[_ ]exceeded|connection[_ ]reset') AND NOT regexp_matches(lower(event_type || ' ' || props), 'invalid[_ ]api[_ ]key|authentication invalid|unauthorized|401') AS retryable,
+      CASE WHEN value > 50 THEN value ELSE 2.0::DOUBLE END AS wait FROM events""",
     "q58_edit_metadata": "SELECT merge_id, branch, base_index, branch_index, operation, round(confidence, 6) AS confidence FROM matches WHERE base_index IS NOT NULL AND operation IN ('delete', 'replace', 'trim')",
     "q59_soundness": "SELECT (SELECT count(*) FROM (SELECT 1 FROM units GROUP BY merge_id, branch, base_index HAVING count(*) > 1)) AS duplicates, (SELECT count(*) FROM attached a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.merge_id = a.merge_id AND b.base_index = a.anchor)) AS orphans",
 }
@@ -285,9 +286,9 @@ SELECTS |= {
     "q62_evaluation_payload": f"""SELECT c.merge_id, c.claim_id, v."view", 'CLAIM ' || c.claim_id || ' (' || c.claim_type || ', ' || c.importance || '): ' || {_ws("b.text")} || chr(10) || 'VIEW ' || v."view" || ':' || chr(10) || v.payload AS payload
       FROM claims c JOIN base b USING (merge_id, base_index) JOIN (SELECT merge_id, "view", string_agg(text, chr(10) ORDER BY base_index) AS payload FROM views WHERE "view" <> 'base' AND trim(text) <> '' GROUP BY ALL) v ON v.merge_id = c.merge_id""",
     "q63_prose_reconstruction": f"""SELECT merge_id, base_index, '[' || {_MMSS.format(x='"start"')} || '–' || {_MMSS.format(x='"end"')} || '] ' || CASE d WHEN 0 THEN '[deleted]' WHEN 1 THEN '[replaced]' ELSE '''' || t || '''' END || chr(10) || '[00:00–00:01] ''kept.''' AS rebuilt
-      FROM (SELECT *, array_to_string(regexp_extract_all(text, '{_W}')[1:4], ' ') AS t, {_draw("merge_id", "base_index", "'prose'")} % 4 AS d FROM base WHERE n_words > 0)""",
+      FROM (SELECT *, {_ws("text")} AS t, {_draw("merge_id", "base_index", "'prose'")} % 4 AS d FROM base WHERE n_words > 0)""",
     "q64_shot_time_shift": """SELECT b.merge_id AS video_id, b.base_index AS sequence_index, s.seg_no, round(b."start" + (s."start" - b."start"), 6) AS "start", round(b."start" + (s."end" - b."start"), 6) AS "end", s.text
-      FROM base b LEFT JOIN segs s ON s.video_id = b.merge_id AND s.seg_no // 3 = b.base_index AND s.seg_no % 2 = 0""",
+      FROM base b LEFT JOIN segs s ON s.video_id = b.merge_id AND s.seg_no // 3 = b.base_index""",
 }
 
 ORACLE_SQL = {name: STEPS + select for name, select in SELECTS.items()}

@@ -355,13 +355,11 @@ def q56(f):
 
 
 def q57(f):
-    """Upstream responses of a call log: whether they may be tried again and after how long."""
+    """Replies of the event log's properties: the event's own texts as status lines and bodies."""
     e = f.table("events")
-    status = F.element_at(F.array(*map(F.lit, [200, 429, 503, 400, 401])), (F.col("event_id") % 5 + 1).cast("int"))
-    body = F.when(F.col("event_id") % 9 == 0, "temporarily unavailable").when(F.col("event_id") % 10 == 4, "overload: invalid api key").otherwise("")
-    attempt = (F.col("event_id") % 6 + 1).cast("int")
-    wish = F.when(F.col("event_id") % 8 == 0, F.lit(3.5))
-    return e.select("event_id", evaluate.retryable(status, body).alias("retryable"), evaluate.backoff(attempt, wish).alias("wait"))
+    failed = F.col("event_type") == "error"
+    message = F.concat_ws(" ", "event_type", "props")
+    return e.select("event_id", evaluate.retryable(F.when(failed, 503).otherwise(200), message).alias("retryable"), evaluate.backoff(F.lit(1), F.when(F.col("value") > 50, F.col("value"))).alias("wait"))
 
 
 def q58(f):
@@ -389,10 +387,9 @@ def q62(f):
 
 
 def q63(f):
-    """Each shot written as a clock line beside a neighbour and rebuilt from prose that marks it by hash."""
+    """Each shot's whole text written as a clock line beside a neighbour and rebuilt from prose that marks it by hash."""
     mmss = lambda c: F.format_string("%02d:%02d", F.floor(F.col(c) / 60), F.floor(F.col(c)) % 60)
-    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^ \t-\r]+"), F.lit(0)), 1, 4), " ")
-    rows = f.base.where("n_words > 0").withColumn("t", short)
+    rows = f.base.where("n_words > 0").withColumn("t", T.collapse_whitespace(F.col("text")))
     line = F.concat(F.lit("["), mmss("start"), F.lit("–"), mmss("end"), F.lit("] '"), "t", F.lit("'"))
     mark = F.element_at(F.array(*map(F.lit, ["--> DELETED", "--> REPLACED", "--> TRIMMED", "stays"])), (derived.draw(F.col("merge_id"), F.col("base_index"), F.lit("prose")) % 4 + 1).cast("int"))
     prose = F.concat(F.lit("The line '"), "t", F.lit("' is\nedited "), mark)
@@ -400,7 +397,7 @@ def q63(f):
 
 
 def q64(f):
-    inside = segments(f).withColumn("sequence_index", F.floor(F.col("seg_no") / 3)).where("seg_no % 2 = 0")
+    inside = segments(f).withColumn("sequence_index", F.floor(F.col("seg_no") / 3))
     local = inside.join(video_shots(f).select("video_id", "sequence_index", F.col("start").alias("s")), ["video_id", "sequence_index"])
     local = local.select("video_id", "sequence_index", "seg_no", (F.col("start") - F.col("s")).alias("start"), (F.col("end") - F.col("s")).alias("end"), "text")
     out = render.to_video_time(local, video_shots(f))
