@@ -341,15 +341,16 @@ def keep_one(docs: DataFrame, similarity: float | None = None, **options) -> Dat
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     first = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"))
     if similarity is None:
-        near = near_duplicates(docs.where("doc_id is not null").select(F.col("doc_id"), "text"), **options).select("fp", "component_id").distinct()
-        # The group's rows by their own fingerprint: only the narrow columns move.
-        shingle = options.get("shingle", 3)
+        shingle, radius = options.pop("shingle", 3), options.pop("radius", 3)
         rows = identified(docs.where("doc_id is not null"), shingle)
-        chosen = rows.join(near, "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        # Fingerprints are the nodes, as unlike texts may share an id.
+        classes = cut(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+        roots = components(links(classes.select(F.col("fp").alias("rep"), "fp"), radius, **options)).toDF("fp", "root")
+        grouped = classes.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
     else:
         named, roots = similar_classes(docs.where("doc_id is not null").select("doc_id", "text"), similarity, **options)
         grouped = named.join(roots, named["digest"] == roots["node"], "left").select(F.coalesce("root", "digest").alias("root"), "first")
-        chosen = grouped.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = grouped.groupBy("root").agg(F.min("first").alias("first"))
     kept_id, kept_hash, own = unused(docs, "kept_id", "kept_hash", "own_hash")
     wanted = cut(chosen.select(F.col("first.doc_id").alias(kept_id), F.col("first.text_hash").alias(kept_hash)).distinct())
     marked = docs.where("doc_id is not null").withColumn(own, first["text_hash"])
