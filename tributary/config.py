@@ -39,6 +39,21 @@ INTERACTION_SEVERITY = {"none": 0, "amplifies_existing_issue": 1, "creates_new_c
 IMPORTANCE = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 STATUS_SEVERITY = {"preserved": 0, "degraded": 1, "broken": 2}
 
+# Records of claims, verdicts and analyses
+CLAIM_TYPES = [
+    "prerequisite", "qualifier", "exception", "temporal_scope", "causal_dependency", "entity_scope", "instruction", "prohibition", "narrative_dependency", "other",
+]
+CONFLICT_TYPES = [
+    "prerequisite_loss", "qualifier_loss", "exception_loss", "temporal_scope_change", "causal_dependency_break", "entity_scope_change", "narrative_dependency_break",
+    "contradiction", "other",
+]
+SURROGATE_RATIONALE = "(no M3 verdict; deterministic surrogate)"
+SUMMARIES = {
+    "creates_new_conflict": "The branches are individually non-breaking, but together remove or break a BASE claim.",
+    "amplifies_existing_issue": "The combined edits make an existing semantic issue materially worse.",
+    "none": "No new semantic conflict was detected between these edits.",
+}
+
 # Failure classification: message tokens in order of precedence, then exception classes
 FAILURE_TOKENS = {
     "provider": [

@@ -63,11 +63,34 @@ def surrogate(claims: DataFrame, projected: DataFrame) -> DataFrame:
     return every.join(counts, ["merge_id", "claim_id", "view"], "left").select("merge_id", "claim_id", "view", F.coalesce("n", F.lit(0)).alias("n_regions"), F.when(F.coalesce("n", F.lit(0)) > 0, "preserved").otherwise("broken").alias("status"))
 
 
-def with_verdicts(statuses: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """A provider's verdicts where it has any, else the surrogate's, with the confidence of either."""
-    v = verdicts.select("merge_id", "claim_id", "view", F.col("status").alias("v_status"), F.col("confidence").alias("v_confidence"))
-    rows = statuses.join(v, ["merge_id", "claim_id", "view"], "left")
-    return rows.select("merge_id", "claim_id", "view", F.coalesce("v_status", "status").alias("status"), F.coalesce("v_confidence", F.lit(1.0)).alias("confidence"), F.col("v_status").isNull().alias("surrogate"))
+def with_verdicts(statuses: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    """A provider's verdicts where it has any, else the surrogate's, with the confidence and rationale of either.
+
+    ``verdicts`` (merge_id, claim_id, view, status, confidence and, if it has
+    one, rationale) may be absent: then every status is the surrogate's.
+    """
+    keys = ["merge_id", "claim_id", "view"]
+    if verdicts is None:
+        verdicts = statuses.where("false").withColumn("confidence", F.lit(1.0))
+    reason = F.col("rationale") if "rationale" in verdicts.columns else F.lit(None).cast("string")
+    v = verdicts.select(*keys, F.col("status").alias("v_status"), F.col("confidence").alias("v_confidence"), reason.alias("v_rationale"))
+    rows = statuses.join(v, keys, "left")
+    none = F.when(F.col("v_status").isNull(), config.SURROGATE_RATIONALE).otherwise(F.lit("no rationale given"))
+    return rows.select(
+        *keys, F.coalesce("v_status", "status").alias("status"), F.coalesce("v_confidence", F.lit(1.0)).alias("confidence"), F.col("v_status").isNull().alias("surrogate"), F.coalesce("v_rationale", none).alias("rationale")
+    )
+
+
+def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, regions) of extracted claim records with nested evidence_regions and equivalents.
+
+    ``records`` has merge_id, claim_id, meaning, claim_type, importance and the
+    two arrays of (start, end, description).
+    """
+    claims = records.select("merge_id", "claim_id", "meaning", "claim_type", "importance")
+    labelled = [F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<start:double,end:double,description:string>>")), lambda r, k=kind: F.struct(F.lit(k).alias("kind"), r["start"].alias("start"), r["end"].alias("end"), r["description"].alias("description"))) for c, kind in (("evidence_regions", "evidence"), ("equivalents", "equivalent"))]
+    regions = records.select("merge_id", "claim_id", F.explode(F.concat(*labelled)).alias("r")).select("merge_id", "claim_id", "r.*")
+    return claims, regions
 
 
 def derived_verdicts(claims: DataFrame) -> DataFrame:

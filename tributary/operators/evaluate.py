@@ -35,6 +35,69 @@ def axis_accuracy(scored: DataFrame, axes: list[str]) -> DataFrame:
     return counts.select("n", need.alias("needed"), rows.alias("r")).select("r.axis", "n", "r.correct", (F.col("r.correct") / F.col("n")).alias("accuracy"), (F.col("r.correct") >= F.col("needed")).alias("passed"))
 
 
+def score_runs(runs: DataFrame, axes: list[str]) -> DataFrame:
+    """Runs with ``<axis>_correct`` for each axis (``<axis>`` against ``<axis>_expected``) and ``all_correct``."""
+    hits = {a: F.coalesce(F.col(a) == F.col(f"{a}_expected"), F.lit(False)) for a in axes}
+    every = F.lit(True)
+    for h in hits.values():
+        every = every & h
+    return runs.withColumns({**{f"{a}_correct": h for a, h in hits.items()}, "all_correct": every})
+
+
+def spike_findings(rows: DataFrame) -> DataFrame:
+    """(id, finding) of judged text fixtures, a row for each error and each canonical or control fixture that is right.
+
+    ``rows`` has id, label, expected_label, a_safe, b_safe, their ``_expected``,
+    and the marks ``canonical`` and ``control``; an unparsed row (null label)
+    finds nothing.
+    """
+    label, wanted = F.col("label"), F.col("expected_label")
+    found = {
+        "false_positive": (label == "conflict") & (wanted == "safe"), "false_negative": (label == "safe") & (wanted == "conflict"),
+        "canonical_ok": F.col("canonical") & F.col("a_safe") & F.col("b_safe") & (label == "conflict"), "safe_control_ok": F.col("control") & (label == "safe"),
+    }
+    for x in "ab":
+        found[f"branch_{x}_false_negative"] = ~F.col(f"{x}_safe_expected") & F.col(f"{x}_safe")
+        found[f"branch_{x}_false_positive"] = F.col(f"{x}_safe_expected") & ~F.col(f"{x}_safe")
+    names = F.array_compact(F.array(*[F.when(hit, name) for name, hit in found.items()]))
+    return rows.where(label.isNotNull()).select("id", F.explode(names).alias("finding"))
+
+
+def spike_decision(rows: DataFrame, combined: int = 7, branch: int = 14, canonical: int = 3, controls: int = 2) -> DataFrame:
+    """GO or INVESTIGATE with the reasons, from counts of right verdicts against what the gate requires."""
+    gate = spike_gate(rows).select("combined_correct", "combined_total", "branch_correct", "branch_total")
+    finds = spike_findings(rows).agg(F.count_if(F.col("finding") == "canonical_ok").alias("canonical_ok"), F.count_if(F.col("finding") == "safe_control_ok").alias("safe_controls_ok"))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("combined_correct") < combined, F.format_string(f"combined accuracy %d/%d < required {combined}/%d", "combined_correct", "combined_total", "combined_total")),
+            F.when(F.col("branch_correct") < branch, F.format_string(f"per-branch safety accuracy %d/%d < required {branch}/%d", "branch_correct", "branch_total", "branch_total")),
+            F.when(F.col("canonical_ok") < canonical, F.format_string(f"canonical axis satisfied for %d/{canonical} conflict fixtures", "canonical_ok")),
+            F.when(F.col("safe_controls_ok") < controls, F.format_string(f"original safe controls correctly classified: %d/{controls}", "safe_controls_ok")),
+        )
+    )
+    both = gate.join(finds).withColumn("reasons", F.array_join(reasons, "; "))
+    return both.withColumn("decision", F.when(F.col("reasons") == "", "GO").otherwise("INVESTIGATE"))
+
+
+def report_rows(rows: DataFrame) -> DataFrame:
+    """(id, line): each fixture as a row of the Markdown report's table."""
+
+    def side(x: str) -> Column:
+        wanted, got = F.col(f"{x}_safe_expected"), F.col(f"{x}_safe")
+        mark = F.when(wanted.eqNullSafe(got), "OK").when(wanted, "FP").otherwise("FN")
+        shown = lambda c: F.when(c, "True").when(~c, "False").otherwise("None")
+        return F.concat(shown(wanted), F.lit("/"), shown(got), F.lit(" "), mark)
+
+    line = F.concat(F.lit("| `"), F.col("id").cast("string"), F.lit("` | "), "expected_label", F.lit(" | "), F.coalesce("label", F.lit("error")), F.lit(" | "), side("a"), F.lit(" | "), side("b"), F.lit(" |"))
+    return rows.select("id", line.alias("line"))
+
+
+def acceptance_findings(rows: DataFrame, low: float = 0.5) -> DataFrame:
+    """(merge_id, branch, step, finding): steps of low confidence and uncertain ones, one row each, as the acceptance report lists them."""
+    names = F.array_compact(F.array(F.when(F.col("confidence") < low, "low_confidence"), F.when(F.col("operation") == "uncertain", "uncertain")))
+    return rows.select("merge_id", "branch", "step", "operation", "confidence", F.explode(names).alias("finding"))
+
+
 def confusion(rows: DataFrame, expected: Column, predicted: Column) -> DataFrame:
     """Counts and ratios of a yes/no judgement; ratios are null where nothing was to be judged."""
     p, y = predicted, expected

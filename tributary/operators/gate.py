@@ -53,6 +53,33 @@ def fixture_rollup(videos: DataFrame, rows: DataFrame) -> DataFrame:
     return f.join(soft, "fixture").select("fixture", "videos", "min_similarity", "flagged", "soft_warnings", clean.alias("soft_clean"), whole.alias("semantically_clean"), (clean & whole).alias("eligible"))
 
 
+def disqualify_reasons(videos: DataFrame, missing: DataFrame) -> DataFrame:
+    """(fixture, branch, category, shots, reason): why a fixture may not be evaluated, one row for each video and cause."""
+    low = videos.where(F.col("min_similarity") < config.GATE_SOFT_FLOOR)
+    worst = F.format_string(f"%s: min per-shot similarity %.2f < soft floor {config.GATE_SOFT_FLOOR:.2f} (catastrophic transcript loss)", "branch", F.round("min_similarity", 2))
+    lost = missing.select("fixture", "branch", "shot_no", "category").distinct().groupBy("fixture", "branch", "category").agg(F.count("*").alias("shots"))
+    broken = F.format_string("%s: missing %s markers (%d shots) — semantic integrity broken", "branch", "category", "shots")
+    none = F.lit(None)
+    return low.select("fixture", "branch", none.cast("string").alias("category"), none.cast("long").alias("shots"), worst.alias("reason")).unionByName(lost.withColumn("reason", broken))
+
+
+def soft_warnings(rows: DataFrame) -> DataFrame:
+    """(fixture, branch, shot_no, warning): shots between the soft floor and the threshold; their fixture stays eligible."""
+    floor, limit = config.GATE_SOFT_FLOOR, config.GATE_THRESHOLD
+    text = F.format_string(f"%s shot_%04d: similarity %.2f in [{floor:.2f}, {limit:.2f}) — soft warning, lexical noise but no semantic-marker loss", "branch", "shot_no", F.round("similarity", 2))
+    return rows.where((F.col("similarity") >= floor) & (F.col("similarity") < limit)).select("fixture", "branch", "shot_no", text.alias("warning"))
+
+
+def require_eligible(fixtures: DataFrame, reasons: DataFrame, path: str) -> DataFrame:
+    """The fixtures, if all may be evaluated; the report is written to ``path`` in any case, then an ineligible one raises ValueError."""
+    listed = reasons.groupBy("fixture").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    fixtures.join(listed, "fixture", "left").write.mode("overwrite").json(path)
+    refused = fixtures.where("not eligible").count()
+    if refused:
+        raise ValueError(f"{refused} fixtures are not eligible for evaluation; see {path}")
+    return fixtures
+
+
 def derived_gate_shots(base: DataFrame, branch: DataFrame, rows: DataFrame) -> DataFrame:
     """BASE wording as expected, the aligned branch wording as recognised; surplus shots expect nothing."""
     aligned = rows.where("branch_index is not null").select("merge_id", "branch", "base_index", "branch_index")

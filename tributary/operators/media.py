@@ -22,17 +22,22 @@ def normalization_reason(codec: Column, width: Column, height: Column, fps: Colu
     )
 
 
-def segment_shots(frames: DataFrame, threshold: float = config.SCENE_THRESHOLD) -> DataFrame:
+def segment_shots(frames: DataFrame, threshold: float = config.SCENE_THRESHOLD, durations: DataFrame | None = None) -> DataFrame:
     """Islands of frames between content jumps as (video_id, sequence_index, start, end).
 
     ``frames`` has video_id, ts (seconds) and delta (content change against the
     frame before).  A shot ends where the next begins, the last at the video's
-    last frame; a video of no length has no shots.
+    last frame; a video of no length has no shots.  With ``durations``
+    (video_id, duration) the first shot starts at 0 and the last ends with the
+    video, so a video without cuts is one shot (0, duration).
     """
     w = W.partitionBy("video_id").orderBy("ts", "frame")
     cut = F.when((F.row_number().over(w) > 1) & (F.col("delta") > threshold), 1).otherwise(0)
     rows = frames.withColumn("cut", cut).withColumn("island", F.sum("cut").over(w))
     shots = rows.groupBy("video_id", "island").agg(F.min("ts").alias("start"), F.max("ts").alias("last"))
+    if durations is not None:
+        shots = shots.withColumn("start", F.when(F.col("island") == 0, 0.0).otherwise(F.col("start")))
+        shots = shots.join(durations.select("video_id", "duration"), "video_id").withColumn("last", F.col("duration")).drop("duration")
     v = W.partitionBy("video_id").orderBy("island")
     shots = shots.withColumn("end", F.coalesce(F.lead("start").over(v), "last")).withColumn("length", F.max("last").over(W.partitionBy("video_id")) - F.min("start").over(W.partitionBy("video_id")))
     return shots.where("length > 0").select("video_id", F.col("island").cast("long").alias("sequence_index"), "start", "end")
@@ -57,13 +62,28 @@ def keyframes(shots: DataFrame, frames: DataFrame) -> DataFrame:
 def attach_segments(segments: DataFrame, shots: DataFrame) -> DataFrame:
     """Transcript segments on the shots they overlap most; a tie goes to every shot that shares it.
 
-    Rank keeps ties; a segment that overlaps nothing attaches to nothing.
+    Rank keeps ties; a segment that overlaps nothing attaches to nothing.  Both
+    sides are cut into time slots as long as the video's average shot and meet
+    by (video, slot), so the work grows with their rows and a long video spreads
+    over its slots; a pair counts in the slot where it begins to overlap.
     """
-    h = shots.select("video_id", "sequence_index", F.col("start").alias("h_start"), F.col("end").alias("h_end"))
-    j = segments.join(h, "video_id").where((F.col("end") > F.col("h_start")) & (F.col("start") < F.col("h_end")))
+    h = shots.where(F.col("end") > F.col("start")).select("video_id", "sequence_index", F.col("start").alias("h_start"), F.col("end").alias("h_end"))
+    extent = h.groupBy("video_id").agg(F.min("h_start").alias("first"), F.max("h_end").alias("last"), F.count("*").alias("n"))
+    extent = extent.withColumn("slot_length", F.greatest((F.col("last") - F.col("first")) / F.col("n"), F.lit(0.001)))
+
+    def slot(time: Column) -> Column:
+        return F.floor((time - F.col("first")) / F.col("slot_length"))
+
+    def slotted(rows: DataFrame, start: str, end: str) -> DataFrame:
+        inside = rows.join(extent, "video_id").where((F.col(end) > F.col("first")) & (F.col(start) < F.col("last")))
+        return inside.withColumn("slot", F.explode(F.sequence(slot(F.greatest(start, "first")), slot(F.least(end, "last")))))
+
+    said = slotted(segments.where(F.col("end") > F.col("start")), "start", "end")
+    j = said.join(slotted(h, "h_start", "h_end").drop("first", "last", "n", "slot_length"), ["video_id", "slot"])
+    j = j.where((F.col("end") > F.col("h_start")) & (F.col("start") < F.col("h_end")) & (F.col("slot") == slot(F.greatest("start", "h_start", "first"))))
     overlap = F.least("end", "h_end") - F.greatest("start", "h_start")
     best = F.rank().over(W.partitionBy("video_id", "seg_no").orderBy(F.col("overlap").desc()))
-    return j.withColumn("overlap", overlap).where("overlap > 0").withColumn("r", best).where("r = 1").drop("r")
+    return j.drop("slot", "first", "last", "n", "slot_length").withColumn("overlap", overlap).where("overlap > 0").withColumn("r", best).where("r = 1").drop("r")
 
 
 def shot_transcripts(attached: DataFrame) -> DataFrame:
@@ -72,6 +92,30 @@ def shot_transcripts(attached: DataFrame) -> DataFrame:
     return attached.groupBy("video_id", "sequence_index").agg(F.trim(F.array_join(F.transform(parts, lambda x: x["text"]), " ")).alias("transcript"), F.count("*").alias("n_segments"))
 
 
+def process_video(frames: DataFrame, durations: DataFrame, segments: DataFrame) -> DataFrame:
+    """Videos from decoded rows to shots: segmentation, the keyframe of each shot, its transcript.
+
+    One row for each shot (video_id, shot_id, sequence_index, start, end,
+    keyframe, transcript, n_segments); shots without speech have an empty text.
+    """
+    shots = segment_shots(frames, durations=durations)
+    key = ["video_id", "sequence_index"]
+    shown = keyframes(shots, frames).select(*key, F.col("frame").alias("keyframe"))
+    said = shot_transcripts(attach_segments(segments, shots))
+    rows = shots.join(shown, key, "left").join(said, key, "left")
+    return rows.select(
+        *key, F.format_string("shot_%04d", "sequence_index").alias("shot_id"), "start", "end", "keyframe", F.coalesce("transcript", F.lit("")).alias("transcript"), F.coalesce("n_segments", F.lit(0)).alias("n_segments")
+    )
+
+
+def representations(shots: DataFrame, durations: DataFrame) -> DataFrame:
+    """One record for each video (video_id, duration_seconds, shots), as the representation cache keeps it."""
+    parts = F.array_sort(F.collect_list(F.struct("sequence_index", "shot_id", "start", "end", "transcript")))
+    nested = F.transform(parts, lambda s: F.struct(s["shot_id"].alias("shot_id"), s["start"].alias("start"), s["end"].alias("end"), s["transcript"].alias("transcript")))
+    per_video = shots.groupBy("video_id").agg(nested.alias("shots"))
+    return per_video.join(durations, "video_id").select(F.col("video_id").cast("string").alias("video_id"), F.col("duration").alias("duration_seconds"), "shots")
+
+
 def frame_statistics(pixels: DataFrame) -> DataFrame:
     """Mean RGB in [0, 1] and a 12-bin histogram (four bins a channel, sum 1) of frames.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.functions import text as T
@@ -37,15 +38,17 @@ def check_unique(units: DataFrame) -> DataFrame:
 def attach_inserts(inserts: DataFrame, base: DataFrame) -> DataFrame:
     """Inserts with their anchor: the last BASE shot of the unbroken run that ends by the insert's start, else the first.
 
-    Joined on the merge; the running check and its fallback are one aggregate
-    for each insert, so no window over all shots is needed.
+    An as-of join within the merge: the run's end so far never falls, so BASE
+    shots and inserts stand in one timeline ordered by it and each insert takes
+    the last shot before it.
     """
-    shots = base.select("merge_id", F.col("base_index").alias("b"), F.col("end").alias("b_end"))
-    joined = inserts.join(shots, "merge_id")
-    late = F.min(F.when(F.col("b_end") > F.col("start"), F.col("b")))
-    anchor = F.greatest(F.coalesce(late - 1, F.max("b")), F.min("b"))
-    keys = [c for c in inserts.columns]
-    return joined.groupBy(*keys).agg(anchor.alias("anchor"))
+    of_merge = W.partitionBy("merge_id")
+    run_end = F.max("end").over(of_merge.orderBy("base_index").rowsBetween(W.unboundedPreceding, 0))
+    shots = base.select("merge_id", run_end.alias("at"), F.lit(0).alias("turn"), F.col("base_index").alias("b"))
+    asked = inserts.withColumn("at", F.col("start")).withColumn("turn", F.lit(1))
+    rows = shots.unionByName(asked, allowMissingColumns=True).withColumn("anchor", F.last("b", ignorenulls=True).over(of_merge.orderBy("at", "turn", "b").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("anchor", F.coalesce("anchor", F.min("b").over(of_merge)))
+    return rows.where("turn = 1 and anchor is not null").select(*inserts.columns, "anchor")
 
 
 def compose(base: DataFrame, units: DataFrame, attached: DataFrame) -> DataFrame:

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from tributary import config
 from tributary.functions import text as T
+from tributary.operators.merge import marker_view
+
+RULE = "=" * 60
+CONTEXT_TITLES = [
+    "BASE FULL CONTENT (the original video)", "BRANCH A MECHANICAL EDITS (from Phase 3 alignment)", "BRANCH B MECHANICAL EDITS (from Phase 3 alignment)",
+    "BRANCH_A FULL CONTENT (BASE after applying ONLY that branch's edit)", "BRANCH_B FULL CONTENT (BASE after applying ONLY that branch's edit)", "CANDIDATE PAIRS (cross-edit interactions to consider)",
+]
+CONTEXT_HEADS = [f"{'' if i == 0 else chr(10)}{RULE}\n{t}\n{RULE}" for i, t in enumerate(CONTEXT_TITLES)]
 
 
 def ordered_lines(rows: DataFrame, keys: list[str], index: str, line: Column) -> DataFrame:
@@ -58,6 +66,38 @@ def reconstruct_from_prose(base_text: Column, prose: Column) -> Column:
     return T.let(T.parse_clock_lines(base_text), lambda s: F.when(F.size(s) == 0, base_text).otherwise(F.array_join(F.transform(s, line), "\n")))
 
 
+def context_payload(base: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What an analysis provider reads of each merge: BASE, both branches' edits and lines, and the pairs of edits to judge.
+
+    A merge's context is one text by definition; its lines are ordered by
+    section and position.
+    """
+    shot = lambda c: F.when(F.col(c).isNotNull(), F.format_string("shot_%04d", c))
+    ts = F.concat(F.lit("["), T.clock_millis(F.col("start")), F.lit("–"), T.clock_millis(F.col("end")), F.lit("]"))
+    said = T.collapse_whitespace(F.col("text"))
+    shots = base.select("merge_id", F.lit(0).alias("section"), F.col("base_index").alias("pos"), F.concat(F.lit("  "), shot("base_index"), F.lit(" "), ts, F.lit("  "), F.when(said == "", "(no transcript)").otherwise(said)).alias("line"))
+    two = lambda name, c: F.when(F.col(c).isNull(), f"{name}=None").otherwise(F.format_string(f"{name}=%.2f", F.round(c, 2)))
+    label = F.when(F.col("branch") == "branch_a", "BRANCH A").otherwise("BRANCH B")
+    second = lambda first: F.when(F.col("branch") == "branch_a", first).otherwise(first + 1)
+    edit = F.format_string(
+        "  %s %-9s  base=%-9s  branch=%-9s  conf=%.2f  %s  %s", label, F.col("operation"), F.coalesce(shot("base_index"), F.lit("—")), F.coalesce(shot("branch_index"), F.lit("—")), F.round("confidence", 2), two("visual", "visual"), two("transcript", "transcript"),
+    )
+    edits = rows.select("merge_id", second(1).alias("section"), F.col("step").alias("pos"), edit.alias("line"))
+    lines = marker_view(base, rows).select("merge_id", second(3).alias("section"), F.col("base_index").alias("pos"), F.concat(F.lit("  "), "line").alias("line"))
+    per_merge = rows.where("branch = 'branch_b'").groupBy("merge_id").agg(F.count("*").alias("n_b"))
+    at = rows.select("merge_id", "branch", "step", F.coalesce(shot("base_index"), F.lit("?")).alias("shot"))
+    side = lambda b, x: at.where(F.col("branch") == b).select("merge_id", F.col("step").alias(f"{x}_step"), F.col("shot").alias(f"{x}_shot"))
+    p = pairs.join(per_merge, "merge_id").join(side("branch_a", "a"), ["merge_id", "a_step"]).join(side("branch_b", "b"), ["merge_id", "b_step"])
+    number = F.col("a_step") * F.col("n_b") + F.col("b_step") + 1
+    pair = F.format_string("  Pair %02d: A.%s@%s  ×  B.%s@%s", number, "a_operation", "a_shot", "b_operation", "b_shot")
+    judged = p.select("merge_id", F.lit(5).alias("section"), number.alias("pos"), pair.alias("line"))
+    heads = F.explode(F.array(*[F.struct(F.lit(i).alias("section"), F.lit(t).alias("line")) for i, t in enumerate(CONTEXT_HEADS)]))
+    titles = base.select("merge_id").distinct().select("merge_id", heads.alias("h")).select("merge_id", "h.section", F.lit(-1).cast("long").alias("pos"), "h.line")
+    body = titles.unionByName(shots).unionByName(edits).unionByName(lines).unionByName(judged)
+    parts = F.array_sort(F.collect_list(F.struct("section", "pos", "line")))
+    return body.groupBy("merge_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("payload"))
+
+
 def to_video_time(segments: DataFrame, shots: DataFrame) -> DataFrame:
     """Segments recognised within a shot (times from its start) on the video's time; shots without any stay, with nulls."""
     s = shots.select("video_id", "sequence_index", F.col("start").alias("shot_start"))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tributary import config
 from tributary.functions import text as T
 
+STATUSES = list(config.STATUS_SEVERITY)
+
 
 def closed_json(raw: Column, schema: str, fields: list[str]) -> tuple[Column, Column]:
     """(parsed, problem): the record and why it is refused: malformed, unknown key or missing key."""
@@ -21,6 +24,118 @@ def closed_json(raw: Column, schema: str, fields: list[str]) -> tuple[Column, Co
     return parsed, problem
 
 
+def _fields(raw: Column, required: list[str], optional: list[str]) -> Column:
+    """Why an object's keys are refused, null if they aren't."""
+    keys, known, needed = F.json_object_keys(raw), F.array(*map(F.lit, [*required, *optional])), F.array(*map(F.lit, required))
+    return F.when(keys.isNull(), "malformed").when(F.size(F.array_except(keys, known)) > 0, "unknown key").when(F.size(F.array_except(needed, keys)) > 0, "missing key")
+
+
+def _refuse(**checks: Column) -> Column:
+    """The first check that doesn't hold, by name; what can't be judged (a null) doesn't hold."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name.replace("_", " ")) for name, ok in checks.items()])
+
+
+def _member(value: Column, names: list[str]) -> Column:
+    return value.isin(*names)
+
+
+def _spans(raw: Column, videos: list[str] | None = None) -> Column:
+    """Whether a JSON list holds only sound spans: known fields, times of 0 or more, no end before its start, a description; an absent list is sound."""
+    known = F.array(*map(F.lit, ["start", "end", "description", *(["video"] if videos else [])]))
+
+    def sound(r: Column) -> Column:
+        start, end = r["start"].try_cast("double"), r["end"].try_cast("double")
+        ok = (F.size(F.array_except(F.map_keys(r), known)) == 0) & (start >= 0) & (end >= start) & (F.length(r["description"]) >= 1)
+        return F.coalesce(ok & r["video"].isin(*videos) if videos else ok, F.lit(False))
+
+    return raw.isNull() | F.coalesce(F.forall(F.from_json(raw, "array<map<string,string>>"), sound), F.lit(False))
+
+
+def claim_problem(raw: Column) -> Column:
+    """Why an extracted claim record is refused (null: sound)."""
+    at = lambda k: F.get_json_object(raw, f"$.{k}")
+    return F.coalesce(
+        _fields(raw, ["claim_id", "meaning", "claim_type", "importance"], ["evidence_regions", "equivalents"]),
+        _refuse(
+            blank_claim_id=F.length(at("claim_id")) >= 1, blank_meaning=F.length(at("meaning")) >= 1, claim_type=_member(at("claim_type"), config.CLAIM_TYPES),
+            importance=_member(at("importance"), list(config.IMPORTANCE)), evidence=_spans(at("evidence_regions")), equivalents=_spans(at("equivalents")),
+        ),
+    )
+
+
+def survival_problem(raw: Column) -> Column:
+    """Why a verdict on one claim in one view is refused (null: sound)."""
+    at = lambda k: F.get_json_object(raw, f"$.{k}")
+    return F.coalesce(
+        _fields(raw, ["claim_id", "branch", "status", "rationale"], ["surviving_evidence"]),
+        _refuse(branch=_member(at("branch"), ["branch_a", "branch_b", "combined"]), status=_member(at("status"), STATUSES), evidence=_spans(at("surviving_evidence")), blank_rationale=F.length(at("rationale")) >= 1),
+    )
+
+
+VIDEOS = ["base", "branch_a", "branch_b", "merged"]
+
+
+def _share(value: Column) -> Column:
+    return value.try_cast("double").between(0, 1)
+
+
+def _impact_problem(raw: Column) -> Column:
+    at = lambda k: F.get_json_object(raw, f"$.{k}")
+    return F.coalesce(
+        _fields(raw, ["branch", "impact_level", "confidence", "rationale"], ["affected_claims", "preserved_equivalents", "evidence"]),
+        _refuse(branch=_member(at("branch"), ["branch_a", "branch_b"]), impact_level=_member(at("impact_level"), STATUSES), evidence=_spans(at("evidence"), VIDEOS), confidence=_share(at("confidence")), blank_rationale=F.length(at("rationale")) >= 1),
+    )
+
+
+INTERACTION_TEXTS = ["base_claim", "branch_a_effect", "branch_b_effect", "combined_effect", "recommended_resolution"]
+
+
+def _interaction_sound(raw: Column) -> Column:
+    at = lambda k: F.get_json_object(raw, f"$.{k}")
+    filled = [F.length(at(k)) >= 1 for k in INTERACTION_TEXTS]
+    keys = _fields(raw, ["combined_impact", "interaction_type", "confidence", *INTERACTION_TEXTS], ["branch_a_edit_ids", "branch_b_edit_ids", "conflict_type", "evidence"])
+    kind = at("conflict_type").isNull() | _member(at("conflict_type"), config.CONFLICT_TYPES)
+    ok = _member(at("combined_impact"), STATUSES) & _member(at("interaction_type"), list(config.INTERACTION_SEVERITY)) & kind & _spans(at("evidence"), VIDEOS) & _share(at("confidence"))
+    for f in filled:
+        ok = ok & f
+    return keys.isNull() & F.coalesce(ok, F.lit(False))
+
+
+def analysis_problem(raw: Column) -> Column:
+    """Why a two-axis analysis is refused (null: sound): its fields, both branches' impacts, and every one of its interactions, of which a given list needs one."""
+    at = lambda k: F.get_json_object(raw, f"$.{k}")
+    branches = [F.when(_impact_problem(at(f"{b}_impact")).isNotNull(), F.concat(F.lit(f"{b}: "), _impact_problem(at(f"{b}_impact")))) for b in ("branch_a", "branch_b")]
+    listed = F.transform(F.from_json(at("interactions"), "array<string>"), _interaction_sound)
+    return F.coalesce(
+        _fields(raw, ["branch_a_impact", "branch_b_impact", "combined_impact", "overall_confidence"], ["interactions", "notes", "legacy_v1_compat"]),
+        *branches,
+        _refuse(
+            combined_impact=_member(at("combined_impact"), STATUSES), overall_confidence=_share(at("overall_confidence")),
+            no_interaction=at("interactions").isNull() | (F.size(listed) > 0), interaction=at("interactions").isNull() | F.forall(listed, lambda x: x),
+        ),
+    )
+
+
+def expected_payload(a: Column, b: Column, combined: Column, interaction: Column) -> Column:
+    """The analysis JSON that a perfect provider would return for an expected label, for dry runs."""
+    seen = F.array(F.struct(F.lit("base").alias("video"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit("synthetic").alias("description")))
+    none = F.array().cast("array<string>")
+    shot = F.array(F.lit("shot_0000"))
+
+    def impact(name: str, level: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("branch"), level.alias("impact_level"), F.array(F.lit("synthetic claim")).alias("affected_claims"), none.alias("preserved_equivalents"), seen.alias("evidence"),
+            F.lit(1.0).alias("confidence"), F.concat(F.lit("synthetic dry-run, expected="), level).alias("rationale"),
+        )
+
+    texts = [F.lit("synthetic claim" if k == "base_claim" else "synthetic").alias(k) for k in INTERACTION_TEXTS]
+    pair = F.struct(
+        shot.alias("branch_a_edit_ids"), shot.alias("branch_b_edit_ids"), combined.alias("combined_impact"), interaction.alias("interaction_type"),
+        F.when(interaction == "creates_new_conflict", "prerequisite_loss").alias("conflict_type"), *texts, seen.alias("evidence"), F.lit(1.0).alias("confidence"),
+    )
+    return F.to_json(F.struct(impact("branch_a", a).alias("branch_a_impact"), impact("branch_b", b).alias("branch_b_impact"), combined.alias("combined_impact"), F.array(pair).alias("interactions"), F.lit(1.0).alias("overall_confidence"), F.lit("dry-run").alias("notes")))
+
+
 def quarantine(rows: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
     """Sound rows and refused rows (with a column ``problem``)."""
     judged = rows.withColumn("problem", problem)

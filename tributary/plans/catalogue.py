@@ -1,7 +1,9 @@
 """Registered queries of the merge engine and their SQL counterparts."""
 
-from tributary.plans.oracle import ORACLE_SQL
-from tributary.plans.queries import QUERIES
+from tributary.plans import oracle, queries, records
+
+QUERIES = {**queries.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**oracle.ORACLE_SQL, **records.ORACLE_SQL}
 
 FLAGSHIP = "q27_interactions"
 

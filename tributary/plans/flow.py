@@ -18,8 +18,15 @@ class MergeFlow:
     the merge.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, claim_records: DataFrame | None = None, verdicts: DataFrame | bool = True):
+        """``claim_records`` are extracted claims (see ``claims.from_records``), derived ones without them.
+
+        ``verdicts`` is a provider's table (merge_id, claim_id, view, status,
+        confidence, rationale), True for the derived stand-in, False for none,
+        so that every status is the surrogate's.
+        """
         self.spark, self.sf_dir = spark, sf_dir
+        self.claim_records, self.given_verdicts = claim_records, verdicts
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -85,10 +92,14 @@ class MergeFlow:
 
     @cached_property
     def claims(self) -> DataFrame:
+        if self.claim_records is not None:
+            return claims.from_records(self.claim_records)[0]
         return claims.derived_claims(self.base)
 
     @cached_property
     def regions(self) -> DataFrame:
+        if self.claim_records is not None:
+            return claims.from_records(self.claim_records)[1]
         return claims.claim_regions(self.claims, self.base)
 
     @cached_property
@@ -101,7 +112,10 @@ class MergeFlow:
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return claims.with_verdicts(self.surrogate, claims.derived_verdicts(self.claims))
+        given = self.given_verdicts
+        if isinstance(given, bool):
+            given = claims.derived_verdicts(self.claims) if given else None
+        return claims.with_verdicts(self.surrogate, given)
 
     @cached_property
     def interactions(self) -> DataFrame:

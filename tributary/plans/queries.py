@@ -9,7 +9,7 @@ from tributary.functions import similarity as S
 from tributary.functions import text as T
 from tributary.operators import align, claims, evaluate, gate, media, merge, render, validate
 from tributary.plans.flow import MergeFlow
-from tributary.sources import derived
+from tributary.sources import derived, files
 
 
 def r6(column):
@@ -227,7 +227,7 @@ def q38(f):
 
 
 def _gate(f):
-    rows = gate_lines(f)
+    rows = files.materialized(gate_lines(f))
     return rows, gate.video_rollup(rows, gate.missing_markers(rows))
 
 

@@ -50,7 +50,7 @@ def scan_uploads(spark: SparkSession, path: str, max_bytes: int, suffix: str = "
 
 def content_hash(content: Column, length: Column) -> Column:
     """16 hexadecimal digits of the size, the first MiB and, above 2 MiB, the last MiB."""
-    tail = F.when(length > 2 * MIB, F.expr(f"substring({{0}}, -{MIB}, {MIB})".format("content"))).otherwise(F.lit(b""))
+    tail = F.when(length > 2 * MIB, F.substring(content, -MIB, MIB)).otherwise(F.lit(b""))
     return F.substring(F.sha2(F.concat(length.cast("string").cast("binary"), F.substring(content, 1, MIB), tail), 256), 1, 16)
 
 
@@ -58,9 +58,9 @@ def file_hash(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
-def read_representations(spark: SparkSession, path: str) -> DataFrame:
-    """Cached representations; a corrupt file gives a row with only _corrupt_record."""
-    return spark.read.schema(REPRESENTATION).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+def read_representations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Cached representations, one a file or (``lines``) one a line; a corrupt one gives a row with only _corrupt_record."""
+    return spark.read.schema(REPRESENTATION).option("multiLine", str(not lines).lower()).option("mode", "PERMISSIVE").json(path)
 
 
 def not_cached(uploads: DataFrame, cached: DataFrame) -> DataFrame:
@@ -69,16 +69,53 @@ def not_cached(uploads: DataFrame, cached: DataFrame) -> DataFrame:
     return uploads.join(valid, "video_id", "left_anti")
 
 
+def segment_problem(row: Column) -> Column:
+    """Whether a cached transcript row (a map of its JSON fields) is no segment: an unknown field, a time or text missing or out of range."""
+    known = F.array(*map(F.lit, ["start", "end", "text", "confidence"]))
+    sure = row["confidence"].isNull() | F.coalesce(row["confidence"].try_cast("double").between(0, 1), F.lit(False))
+    timed = F.coalesce((row["start"].try_cast("double") >= 0) & (row["end"].try_cast("double") >= 0), F.lit(False))
+    return (F.size(F.array_except(F.map_keys(row), known)) > 0) | row["text"].isNull() | ~timed | ~sure
+
+
+def write_transcripts(segments: DataFrame, path: str) -> None:
+    """Cache of transcripts: one JSON record for each fingerprint with its segments (fingerprint, start, end, text, confidence) in time order."""
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "text", "confidence")))
+    write_json(segments.groupBy("fingerprint").agg(parts.alias("segments")), path)
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(fingerprint, segments) of the cache, all or nothing: ``segments`` is null, a miss, where any row of the record is invalid.
+
+    A record holds its whole transcript, so the check needs no shuffle.  An
+    empty transcript is a hit without segments.
+    """
+    raw = spark.read.schema("fingerprint string, segments array<map<string,string>>").json(path)
+    sound = F.forall("segments", lambda r: r.isNotNull() & ~segment_problem(r))
+    typed = F.transform(
+        "segments",
+        lambda r: F.struct(r["start"].try_cast("double").alias("start"), r["end"].try_cast("double").alias("end"), r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence")),
+    )
+    return raw.where("fingerprint is not null").select("fingerprint", F.when(sound, typed).alias("segments"))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, as every executor can reach; a temporary one where a local master names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-tributary-"))
+    return f"{context.getCheckpointDir()}/steps/{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` once below spark.checkpoint.dir and read it back, cutting its lineage.
 
     Steps that several others use are computed once, and a lost executor costs
     a re-read.  Where no folder is named, a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-tributary-"))
-    path = f"{context.getCheckpointDir()}/steps/{uuid.uuid4().hex}"
+    path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
