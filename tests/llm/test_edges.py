@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tributary.llm import bpe, langid, merkle, mixing, pii_sanitise, quality_cnn, quality_rules, simhash_dedup, toxicity_mil, url_filter
+from tributary.llm import bpe, importance, langid, merkle, mixing, pii_sanitise, quality_cnn, quality_rules, simhash_dedup, token_files, toxicity_mil, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double, m string, rate string, text_hash string, span_id string, rated_id string, label int"
 LABELS = "doc_id long, quality int, toxic int, domain string, text string"
@@ -47,6 +47,8 @@ OPERATORS = {
     "pii": lambda d, l: pii_sanitise.digests(pii_sanitise.sanitised_spans(d)),
     "merkle": lambda d, l: merkle.compare_with_next(d, 3),
     "langid": lambda d, l: langid.predict(d, langid.train(d, 100)),
+    "tokens": lambda d, l: token_files.encoded(d),
+    "importance": lambda d, l: importance.resample(d, l),
 }
 
 
