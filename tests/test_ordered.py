@@ -25,12 +25,12 @@ def plain(df):
 
 @pytest.mark.parametrize("parts", [None, 1, 7, 40])
 def test_scans_equal_windows(rows, parts):
-    got = ordered.scanned(rows, ["k"], ["t", "id"], sums={"s": F.col("v")}, lasts={"l": F.col("v")}, before={"b": F.col("v"), "i": F.col("id")}, parts=parts)
+    got = ordered.scanned(rows, ["k"], ["t", "id"], sums={"s": F.col("v")}, lasts={"l": F.col("v")}, before={"b": F.col("v"), "i": F.col("id")}, tops={"m": F.col("v")}, parts=parts)
     w = W.partitionBy("k").orderBy("t", "id")
     upto, until = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     want = rows.withColumns({
         "s": F.sum("v").over(upto), "l": F.last("v", ignorenulls=True).over(upto),
-        "b": F.last("v", ignorenulls=True).over(until), "i": F.lag("id").over(w),
+        "b": F.last("v", ignorenulls=True).over(until), "i": F.lag("id").over(w), "m": F.max("v").over(upto),
     })
     assert plain(got) == plain(want)
 

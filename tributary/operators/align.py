@@ -75,38 +75,156 @@ def align_scores(scores: np.ndarray, skip: float = config.SKIP_PENALTY) -> list[
     return steps[::-1]
 
 
+#: Score rows that are scanned together; what is kept of them is two bits a cell.
+BLOCK = 512
+#: Below this many cells the plain loop is faster than whole diagonals.
+SMALL = 1024
+
+
+class Aligner:
+    """The alignment of one long branch from its score rows, fed in order a block at a time.
+
+    A cell depends on the two diagonals before its own, so a block is computed
+    one diagonal at a time, every cell with the sums and comparisons of
+    ``align_scores`` in their order: ties fall alike, to the last bit.  Kept are
+    the last row and each cell's move in two bits, a thirty-second of the
+    scores' size.
+    """
+
+    def __init__(self, m: int, skip: float = config.SKIP_PENALTY):
+        self.m, self.skip, self.edge = m, skip, 0.0
+        self.above = np.concatenate([[0.0], np.cumsum(np.full(m, skip))])
+        self.moves: list[np.ndarray] = []
+        self.n = 0
+
+    def feed(self, scores: np.ndarray) -> None:
+        """The next rows of the matrix, ``BLOCK`` of them but for the last."""
+        k, m, skip = len(scores), self.m, self.skip
+        self.n += k
+        left = np.cumsum(np.concatenate([[self.edge], np.full(k, skip)]))[1:]
+        self.edge = left[-1]
+        way = np.zeros((k, m), np.int8)
+        if m:
+            gains, ways = np.ascontiguousarray(scores).ravel(), way.ravel()
+            two, one, now = (np.zeros(k + 1) for _ in range(3))
+            below = np.zeros(m + 1)
+            below[0] = left[-1]
+            two[0] = self.above[0]
+            one[0], one[1] = self.above[1], left[0]
+            for d in range(2, k + m + 1):
+                lo, hi = max(1, d - m), min(k, d - 1)
+                first, step, count = (lo - 1) * m + d - lo - 1, max(1, m - 1), hi - lo + 1
+                cells = slice(first, first + (count - 1) * step + 1, step)
+                value = two[lo - 1 : hi] + gains[cells]
+                up, back = one[lo - 1 : hi] + skip, one[lo : hi + 1] + skip
+                deletes = up > value
+                value = np.where(deletes, up, value)
+                inserts = back > value
+                now[lo : hi + 1] = np.where(inserts, back, value)
+                ways[cells] = np.where(inserts, 2, deletes)
+                if d <= m:
+                    now[0] = self.above[d]
+                if d <= k:
+                    now[d] = left[d - 1]
+                if hi == k:
+                    below[d - k] = now[k]
+                two, one, now = one, now, two
+            self.above = below
+        packed = np.zeros((k, -(-m // 4)), np.uint8)
+        for lane in range(4):
+            part = way[:, lane::4]
+            packed[:, : part.shape[1]] |= part.astype(np.uint8) << (2 * lane)
+        self.moves.append(packed)
+
+    def steps(self) -> list[tuple[int, int]]:
+        out, i, j = [], self.n, self.m
+        while i or j:
+            way = 2 if not i else 1 if not j else self.moves[(i - 1) // BLOCK][(i - 1) % BLOCK, (j - 1) // 4] >> (2 * ((j - 1) % 4)) & 3
+            i, j = i - (way != 2), j - (way != 1)
+            out.append((-1 if way == 2 else i, -1 if way == 1 else j))
+        return out[::-1]
+
+
+class _Streamed:
+    """Steps of one merge and branch whose score rows arrive one by one."""
+
+    def __init__(self, m: int):
+        self.m, self.held, self.aligner = m, [], None
+
+    def add(self, row: np.ndarray) -> None:
+        self.held.append(row)
+        if len(self.held) == BLOCK:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.aligner = self.aligner or Aligner(self.m)
+        self.aligner.feed(np.array(self.held).reshape(len(self.held), self.m))
+        self.held = []
+
+    def steps(self) -> list[tuple[int, int]]:
+        if self.aligner is None and len(self.held) * self.m <= SMALL:
+            return align_scores(np.array(self.held).reshape(len(self.held), self.m))
+        if self.held:
+            self._flush()
+        return self.aligner.steps()
+
+
+def score_rows(base: DataFrame, pairs: DataFrame, branches: tuple[str, ...]) -> DataFrame:
+    """(merge_id, branch, base_index, scores): each BASE shot's scores in branch order, empty where the branch has no shots."""
+    every = base.select("merge_id", F.explode(F.array(*map(F.lit, branches))).alias("branch"), "base_index", F.lit(None).cast("struct<branch_index:long,score:double>").alias("c"))
+    cells = pairs.select(*KEY, "base_index", F.struct(F.col("branch_index").cast("long").alias("branch_index"), "score").alias("c")).unionAll(every)
+    grouped = cells.groupBy(*KEY, "base_index").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return grouped.select(*KEY, "base_index", F.transform("c", lambda c: c["score"]).alias("scores"))
+
+
 def alignment_steps(base: DataFrame, branch: DataFrame, pairs: DataFrame, branches: tuple[str, ...]) -> DataFrame:
     """(merge_id, branch, step, base_index, branch_index) in order; null for a missing side.
 
-    One row for each merge and branch carries its score matrix to a small
-    dynamic program, so a task holds one matrix at a time.  A branch without
-    shots deletes all of BASE; a BASE without shots makes all shots inserts.
+    The rows of each score matrix stream in order through a task that keeps two
+    bits of each cell, so a merge of 7,000 shots a side holds 12 MB and no row
+    of the data holds more than one shot's scores.  A branch without shots
+    deletes all of BASE; a BASE without shots makes all shots inserts.
     """
-    names = F.explode(F.array(*map(F.lit, branches)))
-    n = base.groupBy("merge_id").agg(F.count("*").alias("n")).select("merge_id", "n", names.alias("branch"))
-    m = branch.groupBy(*KEY).agg(F.count("*").alias("m"))
-    cells = pairs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("base_index", "branch_index", "score"))).alias("cells"))
-    rows = n.join(m, KEY, "full").join(cells, KEY, "left").select(*KEY, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"), F.transform("cells", lambda c: c["score"]).alias("scores"))
+    rows = score_rows(base, pairs, branches).repartition(*KEY).sortWithinPartitions(*KEY, "base_index")
 
     def run(batches):
+        key, group, out = None, None, [[] for _ in range(5)]
+
+        def close():
+            steps = group.steps()
+            out[0].extend([key[0]] * len(steps))
+            out[1].extend([key[1]] * len(steps))
+            out[2].extend(range(len(steps)))
+            out[3].extend(s[0] if s[0] >= 0 else None for s in steps)
+            out[4].extend(s[1] if s[1] >= 0 else None for s in steps)
+
+        def ready():
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], [*KEY, "step", "base_index", "branch_index"])
+            for o in out:
+                o.clear()
+            return batch
+
         for batch in batches:
-            out = {k: [] for k in ("row", "step", "base", "other")}
+            merges, names, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            bounds, values = np.asarray(lists.offsets), np.asarray(lists.values)
             for r in range(batch.num_rows):
-                size = (batch.column(2)[r].as_py(), batch.column(3)[r].as_py())
-                scores = batch.column(4)[r].values
-                matrix = np.zeros(size) if scores is None or not all(size) else scores.to_numpy().reshape(size)
-                steps = align_scores(matrix)
-                out["row"] += [r] * len(steps)
-                out["step"] += range(len(steps))
-                out["base"] += [s[0] if s[0] >= 0 else None for s in steps]
-                out["other"] += [s[1] if s[1] >= 0 else None for s in steps]
-            at = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(out[k], pa.int64()) for k in ("step", "base", "other")]],
-                [*KEY, "step", "base_index", "branch_index"],
-            )
-
-    return rows.mapInArrow(run, "merge_id long, branch string, step long, base_index long, branch_index long")
+                if group is None or (merges[r], names[r]) != key:
+                    if group is not None:
+                        close()
+                        if len(out[0]) >= 50_000:
+                            yield ready()
+                    key, group = (merges[r], names[r]), _Streamed(bounds[r + 1] - bounds[r])
+                # Copied: a held row must not keep its whole batch.
+                group.add(values[bounds[r] : bounds[r + 1]].copy())
+        if group is not None:
+            close()
+        yield ready()
+
+    aligned = rows.mapInArrow(run, "merge_id long, branch string, step long, base_index long, branch_index long")
+    alone = branch.join(base.select("merge_id").distinct(), "merge_id", "left_anti")
+    index = F.col("branch_index").cast("long")
+    return aligned.unionAll(alone.select(F.col("merge_id").cast("long"), "branch", index.alias("step"), F.lit(None).cast("long").alias("base_index"), index.alias("branch_index")))
 
 
 def infer_operation(base_index, branch_index, visual, transcript, rel_gap, b_speech, r_speech):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary import config
 from tributary.operators.merge import SIDES
+from tributary.operators.ordered import scanned
 from tributary.sources.derived import draw
 
 
@@ -40,11 +41,20 @@ def cuts(units: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def project(regions: DataFrame, cut_ranges: DataFrame, branches: tuple[str, ...] = SIDES) -> DataFrame:
-    """Regions that survive each branch: those overlapping no cut (half open)."""
+    """Regions that survive each branch: those overlapping no cut (half open).
+
+    A cut hits a region if it starts before the region's end and ends after its
+    start, so the farthest end of the cuts that start before decides.  Cuts and
+    regions stand in one timeline with that end so far: one sort, however many
+    cuts a merge has.  Without a time nothing is hit.
+    """
     names = F.explode(F.array(*map(F.lit, branches)))
-    both = regions.withColumn("branch", names)
-    hit = (both["merge_id"] == cut_ranges["merge_id"]) & (both["branch"] == cut_ranges["branch"]) & (both["end"] > cut_ranges["cut_start"]) & (both["start"] < cut_ranges["cut_end"])
-    return both.join(cut_ranges, hit, "left_anti")
+    asked = regions.withColumn("branch", names).withColumn("_at", F.col("end")).withColumn("_turn", F.lit(0))
+    gone = cut_ranges.select("merge_id", "branch", F.col("cut_start").alias("_at"), F.col("cut_end").alias("_end"), F.lit(1).alias("_turn"))
+    # At equal times the region comes first: a cut that starts where it ends misses it.
+    rows = scanned(asked.unionByName(gone.where("_at is not null"), allowMissingColumns=True), ["merge_id", "branch"], ["_at", "_turn"], tops={"_reach": F.col("_end")})
+    alive = F.col("start").isNull() | F.col("end").isNull() | ~F.coalesce(F.col("_reach") > F.col("start"), F.lit(False))
+    return rows.where((F.col("_turn") == 0) & alive).select(*regions.columns, "branch")
 
 
 def intersect(projected: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary import config
+from tributary.operators.ordered import scanned
 from tributary.sources.derived import draw
 
 
@@ -193,18 +194,20 @@ def backoff(attempt: Column, retry_after: Column) -> Column:
 def attempt_window(attempts: DataFrame, successes: int = config.RUNS_PER_FIXTURE, cap: int = config.FAILED_ATTEMPT_CAP) -> DataFrame:
     """Attempts that the loop would have made: until enough successes, a lasting failure, or too many failures.
 
-    Partitioned by fixture; each attempt sees only what came before it.
+    Each attempt sees only what came before it in its fixture; a fixture of
+    many attempts fills several parts of the order.
     """
-    before = W.partitionBy("fixture").orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
-    seen = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0))
-    rows = attempts.withColumn("won", seen(F.col("ok"))).withColumn("lost", seen(~F.col("ok"))).withColumn("stopped", seen(~F.col("ok") & (F.col("category") != "provider")))
+    sums = {"won": F.col("ok"), "lost": ~F.col("ok"), "stopped": ~F.col("ok") & (F.col("category") != "provider")}
+    flags = {n: F.coalesce(c.cast("int"), F.lit(0)) for n, c in sums.items()}
+    rows = scanned(attempts, ["fixture"], ["attempt"], sums=flags)
+    rows = rows.withColumns({n: F.col(n) - c for n, c in flags.items()})
     return rows.where((F.col("won") < successes) & (F.col("lost") < cap) & (F.col("stopped") == 0))
 
 
 def counter_deltas(snapshots: DataFrame, keys: list[str], order: str, counters: list[str]) -> DataFrame:
     """Change of each counter since the key's snapshot before."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return snapshots.select(*keys, order, *[(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).alias(c) for c in counters])
+    rows = scanned(snapshots.select(*keys, order, *counters), keys, [order], before={"earlier": F.struct(*counters)})
+    return rows.select(*keys, order, *[(F.col(c) - F.coalesce(F.col("earlier")[c], F.lit(0))).alias(c) for c in counters])
 
 
 def derived_runs(merges: DataFrame, runs: int = config.RUNS_PER_FIXTURE) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary import config
+from tributary.operators.ordered import scanned
 
 
 def normalization_reason(codec: Column, width: Column, height: Column, fps: Column, audio_codec: Column) -> Column:
@@ -31,15 +32,18 @@ def segment_shots(frames: DataFrame, threshold: float = config.SCENE_THRESHOLD,
     (video_id, duration) the first shot starts at 0 and the last ends with the
     video, so a video without cuts is one shot (0, duration).
     """
-    w = W.partitionBy("video_id").orderBy("ts", "frame")
-    cut = F.when((F.row_number().over(w) > 1) & (F.col("delta") > threshold), 1).otherwise(0)
-    rows = frames.withColumn("cut", cut).withColumn("island", F.sum("cut").over(w))
+    jump = F.when(F.col("delta") > threshold, 1).otherwise(0)
+    rows = scanned(frames, ["video_id"], ["ts", "frame"], sums={"island": jump}, before={"earlier": F.lit(1)})
+    # A jump at a video's first frame cuts nothing.
+    first = rows.where("earlier is null").select("video_id", F.col("island").alias("opening"))
+    rows = rows.join(first, "video_id").withColumn("island", F.col("island") - F.col("opening"))
     shots = rows.groupBy("video_id", "island").agg(F.min("ts").alias("start"), F.max("ts").alias("last"))
     if durations is not None:
         shots = shots.withColumn("start", F.when(F.col("island") == 0, 0.0).otherwise(F.col("start")))
         shots = shots.join(durations.select("video_id", "duration"), "video_id").withColumn("last", F.col("duration")).drop("duration")
-    v = W.partitionBy("video_id").orderBy("island")
-    shots = shots.withColumn("end", F.coalesce(F.lead("start").over(v), "last")).withColumn("length", F.max("last").over(W.partitionBy("video_id")) - F.min("start").over(W.partitionBy("video_id")))
+    after = shots.select("video_id", (F.col("island") - 1).alias("island"), F.col("start").alias("next"))
+    length = shots.groupBy("video_id").agg((F.max("last") - F.min("start")).alias("length"))
+    shots = shots.join(after, ["video_id", "island"], "left").join(length, "video_id").withColumn("end", F.coalesce("next", "last"))
     return shots.where("length > 0").select("video_id", F.col("island").cast("long").alias("sequence_index"), "start", "end")
 
 
@@ -47,16 +51,15 @@ def keyframes(shots: DataFrame, frames: DataFrame) -> DataFrame:
     """The frame at or before each shot's midpoint; none for empty shots.
 
     An as-of join within the video: midpoints and frames stand in one ordered
-    timeline and each midpoint takes the last frame before it, so the work is
-    one sort of their rows.
+    timeline and each midpoint takes the last frame before it.  The work is one
+    sort of their rows, and a long video fills several parts of it.
     """
     none = F.lit(None)
     s = shots.where(F.col("end") > F.col("start")).select("video_id", "sequence_index", ((F.col("start") + F.col("end")) / 2).alias("middle"))
     asked = s.select("video_id", F.col("middle").alias("at"), F.lit(1).alias("turn"), none.cast("long").alias("frame"), "sequence_index", "middle")
     shown = frames.select("video_id", F.col("ts").alias("at"), F.lit(0).alias("turn"), F.col("frame").cast("long").alias("frame"), none.cast("long").alias("sequence_index"), none.cast("double").alias("middle"))
-    so_far = W.partitionBy("video_id").orderBy("at", "turn", "frame").rowsBetween(W.unboundedPreceding, 0)
-    rows = asked.unionByName(shown).withColumn("frame", F.last("frame", ignorenulls=True).over(so_far))
-    return rows.where("turn = 1 and frame is not null").select("video_id", "sequence_index", "middle", "frame")
+    rows = scanned(asked.unionByName(shown), ["video_id"], ["at", "turn", "frame"], lasts={"shown": F.col("frame")})
+    return rows.where("turn = 1 and shown is not null").select("video_id", "sequence_index", "middle", F.col("shown").alias("frame"))
 
 
 def attach_segments(segments: DataFrame, shots: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.functions import text as T
+from tributary.operators.ordered import scanned
 
 SIDES = ("branch_a", "branch_b")
 EDIT_KINDS = ("unchanged", "delete", "replace", "trim")
@@ -40,15 +41,15 @@ def attach_inserts(inserts: DataFrame, base: DataFrame) -> DataFrame:
 
     An as-of join within the merge: the run's end so far never falls, so BASE
     shots and inserts stand in one timeline ordered by it and each insert takes
-    the last shot before it.
+    the last shot before it.  A long merge fills several parts of either order.
     """
-    of_merge = W.partitionBy("merge_id")
-    run_end = F.max("end").over(of_merge.orderBy("base_index").rowsBetween(W.unboundedPreceding, 0))
-    shots = base.select("merge_id", run_end.alias("at"), F.lit(0).alias("turn"), F.col("base_index").alias("b"))
+    ends = scanned(base.select("merge_id", "base_index", "end"), ["merge_id"], ["base_index"], tops={"at": F.col("end")})
+    shots = ends.select("merge_id", "at", F.lit(0).alias("turn"), F.col("base_index").alias("b"))
     asked = inserts.withColumn("at", F.col("start")).withColumn("turn", F.lit(1))
-    rows = shots.unionByName(asked, allowMissingColumns=True).withColumn("anchor", F.last("b", ignorenulls=True).over(of_merge.orderBy("at", "turn", "b").rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("anchor", F.coalesce("anchor", F.min("b").over(of_merge)))
-    return rows.where("turn = 1 and anchor is not null").select(*inserts.columns, "anchor")
+    rows = scanned(shots.unionByName(asked, allowMissingColumns=True), ["merge_id"], ["at", "turn", "b"], lasts={"anchor": F.col("b")})
+    first = base.groupBy("merge_id").agg(F.min("base_index").alias("first"))
+    rows = rows.where("turn = 1").join(first, "merge_id").withColumn("anchor", F.coalesce("anchor", "first"))
+    return rows.select(*inserts.columns, "anchor")
 
 
 def compose(base: DataFrame, units: DataFrame, attached: DataFrame) -> DataFrame:

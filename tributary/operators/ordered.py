@@ -46,35 +46,37 @@ def scanned(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
+    tops: dict[str, Column] | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """The rows with running values of each group, in the given order.
 
     ``sums``: sum up to the row and with it, null where all values so far are;
-    ``lasts``: the last value so far that is not null; ``before``: the same
-    without the row itself, so with a value in every row the one of the row
-    before.  Null keys make a group of their own.  Rows that ``order`` leaves
-    level stand in any order.
+    ``tops``: the largest value so far; ``lasts``: the last value so far that is
+    not null; ``before``: the same without the row itself, so with a value in
+    every row the one of the row before.  Null keys make a group of their own.
+    Rows that ``order`` leaves level stand in any order.
     """
-    sums, lasts, before = sums or {}, lasts or {}, before or {}
-    inputs = {f"_v_{n}": c for d in (sums, lasts, before) for n, c in d.items()}
+    sums, lasts, before, tops = sums or {}, lasts or {}, before or {}, tops or {}
+    inputs = {f"_v_{n}": c for d in (sums, lasts, before, tops) for n, c in d.items()}
     rows = _placed(df.withColumns(inputs), [*keys, *order], parts).withColumn("_part", _part(F.col("_at")))
     group = [*keys, "_part"]
 
     # What each part leaves of each group, and from it what each part starts with.
-    value = {n: F.col(f"_v_{n}") for d in (sums, lasts, before) for n in d}
-    left = [F.sum(value[n]).alias(f"_c_{n}") for n in sums]
+    value = {n: F.col(f"_v_{n}") for d in (sums, lasts, before, tops) for n in d}
+    left = [F.sum(value[n]).alias(f"_c_{n}") for n in sums] + [F.max(value[n]).alias(f"_c_{n}") for n in tops]
     left += [F.max_by(value[n], F.when(value[n].isNotNull(), F.col("_at"))).alias(f"_c_{n}") for n in (*lasts, *before)]
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carry = rows.groupBy(*group).agg(*left).withColumn("_seen", F.count("*").over(earlier))
     for n in value:
-        fold = F.sum(f"_c_{n}") if n in sums else F.last(f"_c_{n}", ignorenulls=True)
+        fold = F.sum(f"_c_{n}") if n in sums else F.max(f"_c_{n}") if n in tops else F.last(f"_c_{n}", ignorenulls=True)
         carry = carry.withColumn(f"_k_{n}", fold.over(earlier))
     carry = carry.where("_seen > 0").select(*[F.col(c).alias(f"_g_{c}") for c in group], *[f"_k_{n}" for n in value])
 
     upto = W.partitionBy(*group).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     until = W.partitionBy(*group).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     inside = {n: F.sum(value[n]).over(upto) for n in sums}
+    inside |= {n: F.max(value[n]).over(upto) for n in tops}
     inside |= {n: F.last(value[n], ignorenulls=True).over(upto) for n in lasts}
     inside |= {n: F.last(value[n], ignorenulls=True).over(until) for n in before}
     same = F.col("_part") == F.col("_g__part")
@@ -85,5 +87,5 @@ def scanned(
     whole = {}
     for n in value:
         here, far = F.col(f"_i_{n}"), F.col(f"_k_{n}")
-        whole[n] = F.coalesce(here + far, here, far) if n in sums else F.coalesce(here, far)
+        whole[n] = F.coalesce(here + far, here, far) if n in sums else F.greatest(here, far) if n in tops else F.coalesce(here, far)
     return out.withColumns(whole).select(*df.columns, *value)

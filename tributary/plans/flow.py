@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.operators import align, claims, evaluate, gate, merge
-from tributary.sources import derived, files
+from tributary.sources import derived
+from tributary.sources.steps import StepStore
 
 
 class MergeFlow:
@@ -18,22 +19,28 @@ class MergeFlow:
     the merge.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, claim_records: DataFrame | None = None, verdicts: DataFrame | bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, claim_records: DataFrame | None = None, verdicts: DataFrame | bool = True, steps: str | None = None):
         """``claim_records`` are extracted claims (see ``claims.from_records``), derived ones without them.
 
         ``verdicts`` is a provider's table (merge_id, claim_id, view, status,
         confidence, rationale), True for the derived stand-in, False for none,
-        so that every status is the surrogate's.
+        so that every status is the surrogate's.  Steps that depend on the given
+        tables alone are kept in a store that all flows of the session share;
+        ``steps`` names a folder to share them between sessions.
         """
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.steps_root = spark, sf_dir, steps
         self.claim_records, self.given_verdicts = claim_records, verdicts
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def store(self) -> StepStore:
+        return StepStore(self.spark, *[f"{self.sf_dir}/{t}.parquet" for t in ("conversations", "embeddings", "benchmark")], root=self.steps_root)
+
     @cached_property
     def base(self) -> DataFrame:
-        return derived.base_shots(self.spark, self.sf_dir)
+        return self.store.step("base", lambda: derived.base_shots(self.spark, self.sf_dir))
 
     @cached_property
     def script(self) -> DataFrame:
@@ -62,13 +69,12 @@ class MergeFlow:
     @cached_property
     def scored(self) -> DataFrame:
         """The pair matrix without the shots' features, written once."""
-        wide = [c for c in self.pairs.columns if c[:2] in ("b_", "r_")]
-        return files.materialized(self.pairs.drop(*wide))
+        return self.store.step("scored", lambda: self.pairs.drop(*[c for c in self.pairs.columns if c[:2] in ("b_", "r_")]))
 
     @cached_property
     def matches(self) -> DataFrame:
         """Aligned and classified steps, written once: every later step starts here."""
-        return files.materialized(align.matches(self.base_prints, self.branch_prints, self.scored, derived.BRANCHES))
+        return self.store.step("matches", lambda: align.matches(self.base_prints, self.branch_prints, self.scored, derived.BRANCHES))
 
     @cached_property
     def units(self) -> DataFrame:
@@ -76,7 +82,7 @@ class MergeFlow:
 
     @cached_property
     def attached(self) -> DataFrame:
-        return merge.attach_inserts(merge.insert_units(self.matches), self.base)
+        return self.store.step("attached", lambda: merge.attach_inserts(merge.insert_units(self.matches), self.base))
 
     @cached_property
     def slices(self) -> DataFrame:
@@ -104,7 +110,8 @@ class MergeFlow:
 
     @cached_property
     def projected(self) -> DataFrame:
-        return claims.project(self.regions, claims.cuts(self.units, self.base))
+        build = lambda: claims.project(self.regions, claims.cuts(self.units, self.base))
+        return build() if self.claim_records is not None else self.store.step("projected", build)
 
     @cached_property
     def surrogate(self) -> DataFrame:

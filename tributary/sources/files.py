@@ -59,8 +59,11 @@ def file_hash(content: Column) -> Column:
 
 
 def read_representations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Cached representations, one a file or (``lines``) one a line; a corrupt one gives a row with only _corrupt_record."""
-    return spark.read.schema(REPRESENTATION).option("multiLine", str(not lines).lower()).option("mode", "PERMISSIVE").json(path)
+    """Cached representations, one a file or (``lines``) one a line; a corrupt one gives a row with only _corrupt_record.
+
+    Reads a folder of such files and what ``write_representations`` keeps.
+    """
+    return spark.read.schema(REPRESENTATION).option("multiLine", str(not lines).lower()).option("mode", "PERMISSIVE").json(path).drop("key")
 
 
 def not_cached(uploads: DataFrame, cached: DataFrame) -> DataFrame:
@@ -77,19 +80,36 @@ def segment_problem(row: Column) -> Column:
     return (F.size(F.array_except(F.map_keys(row), known)) > 0) | row["text"].isNull() | ~timed | ~sure
 
 
+def _replace_keys(records: DataFrame, path: str, key: str) -> None:
+    """Write one JSON record for each key into a folder of its own; keys that ``records`` doesn't name stay as they are.
+
+    Only the written keys' folders are replaced, each when the whole job has
+    ended, so a failed job leaves the cache as it was.
+    """
+    kept = records.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
+
+
 def write_transcripts(segments: DataFrame, path: str) -> None:
-    """Cache of transcripts: one JSON record for each fingerprint with its segments (fingerprint, start, end, text, confidence) in time order."""
+    """Keep transcripts in the cache at ``path``: one record for each fingerprint with its segments (fingerprint, start, end, text, confidence) in time order.
+
+    Fingerprints of earlier writes stay, those written again are replaced;
+    segments without a fingerprint, or with an empty one, have no place and are left out.
+    """
     parts = F.array_sort(F.collect_list(F.struct("start", "end", "text", "confidence")))
-    write_json(segments.groupBy("fingerprint").agg(parts.alias("segments")), path)
+    _replace_keys(segments.groupBy("fingerprint").agg(parts.alias("segments")), path, "fingerprint")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, fingerprints: list[str] | None = None) -> DataFrame:
     """(fingerprint, segments) of the cache, all or nothing: ``segments`` is null, a miss, where any row of the record is invalid.
 
     A record holds its whole transcript, so the check needs no shuffle.  An
-    empty transcript is a hit without segments.
+    empty transcript is a hit without segments; a record cut off in its writing
+    is a miss.  With ``fingerprints`` only their folders are read.
     """
-    raw = spark.read.schema("fingerprint string, segments array<map<string,string>>").json(path)
+    raw = spark.read.schema("segments array<map<string,string>>, fingerprint string").json(path)
+    if fingerprints is not None:
+        raw = raw.where(F.col("fingerprint").isin(fingerprints))
     sound = F.forall("segments", lambda r: r.isNotNull() & ~segment_problem(r))
     typed = F.transform(
         "segments",
@@ -98,15 +118,25 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("fingerprint is not null").select("fingerprint", F.when(sound, typed).alias("segments"))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, as every executor can reach; a temporary one where a local master names none."""
+def write_representations(records: DataFrame, path: str) -> None:
+    """Keep representations (video_id, ...) in the cache at ``path``, one record for each video; other videos' records stay."""
+    _replace_keys(records.withColumn("key", F.col("video_id").cast("string")), path, "key")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, as every executor can reach; a temporary one where a local master names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-tributary-"))
-    return f"{context.getCheckpointDir()}/steps/{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/steps/{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame) -> DataFrame:
