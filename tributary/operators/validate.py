@@ -24,10 +24,20 @@ def closed_json(raw: Column, schema: str, fields: list[str]) -> tuple[Column, Co
     return parsed, problem
 
 
-def _fields(raw: Column, required: list[str], optional: list[str]) -> Column:
+def _object(value: Column) -> Column:
+    """The fields of a variant that holds an object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the lambda's variable is bound to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _fields(m: Column, required: list[str], optional: list[str]) -> Column:
     """Why an object's keys are refused, null if they aren't."""
-    keys, known, needed = F.json_object_keys(raw), F.array(*map(F.lit, [*required, *optional])), F.array(*map(F.lit, required))
-    return F.when(keys.isNull(), "malformed").when(F.size(F.array_except(keys, known)) > 0, "unknown key").when(F.size(F.array_except(needed, keys)) > 0, "missing key")
+    keys, known, needed = F.map_keys(m), F.array(*map(F.lit, [*required, *optional])), F.array(*map(F.lit, required))
+    return F.when(m.isNull(), "malformed").when(F.size(F.array_except(keys, known)) > 0, "unknown key").when(F.size(F.array_except(needed, keys)) > 0, "missing key")
 
 
 def _refuse(**checks: Column) -> Column:
@@ -35,40 +45,84 @@ def _refuse(**checks: Column) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name.replace("_", " ")) for name, ok in checks.items()])
 
 
+def _text(value: Column) -> Column:
+    """The string that a variant holds, null for any other type."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _number(value: Column) -> Column:
+    """The number that a variant holds, in quotes or not; null for lists, objects and other texts."""
+    return F.try_variant_get(value, "$", "double")
+
+
+def _filled(value: Column) -> Column:
+    return F.length(_text(value)) >= 1
+
+
 def _member(value: Column, names: list[str]) -> Column:
-    return value.isin(*names)
+    return _text(value).isin(*names)
 
 
-def _spans(raw: Column, videos: list[str] | None = None) -> Column:
-    """Whether a JSON list holds only sound spans: known fields, times of 0 or more, no end before its start, a description; an absent list is sound."""
-    known = F.array(*map(F.lit, ["start", "end", "description", *(["video"] if videos else [])]))
+def _empty_or(value: Column, ok: Column) -> Column:
+    """For fields that may be null: absent, null, or what ``ok`` says."""
+    return value.isNull() | (F.schema_of_variant(value) == "VOID") | ok
 
-    def sound(r: Column) -> Column:
-        start, end = r["start"].try_cast("double"), r["end"].try_cast("double")
-        ok = (F.size(F.array_except(F.map_keys(r), known)) == 0) & (start >= 0) & (end >= start) & (F.length(r["description"]) >= 1)
-        return F.coalesce(ok & r["video"].isin(*videos) if videos else ok, F.lit(False))
 
-    return raw.isNull() | F.coalesce(F.forall(F.from_json(raw, "array<map<string,string>>"), sound), F.lit(False))
+def _every(value: Column, ok) -> Column:
+    """Whether a variant is absent, or a list of which every element is sound; null is no list."""
+    return value.isNull() | F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(ok(x), F.lit(False))), F.lit(False))
+
+
+def _texts(value: Column) -> Column:
+    return _every(value, lambda x: _text(x).isNotNull())
+
+
+def _spans(value: Column, videos: list[str] | None = None) -> Column:
+    """Whether a list holds only sound spans: the known fields, times of 0 or more, no end before its start, a description."""
+    names = ["start", "end", "description", *(["video"] if videos else [])]
+
+    def sound(m: Column) -> Column:
+        ok = _fields(m, names, []).isNull() & (_number(m["start"]) >= 0) & (_number(m["end"]) >= _number(m["start"])) & _filled(m["description"])
+        return ok & _member(m["video"], videos) if videos else ok
+
+    return _every(value, lambda x: _with(_object(x), sound))
+
+
+def _judged(raw: Column, problem) -> Column:
+    """``problem`` of the fields of a JSON object, parsed once.
+
+    What is no JSON, repeats a key or has text after its object has no fields:
+    the parser stops at a value's end, so the value is parsed as a list's only one.
+    """
+    only = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    return _with(F.when(F.size(only) == 1, _object(F.try_element_at(only, F.lit(1)))), problem)
 
 
 def claim_problem(raw: Column) -> Column:
     """Why an extracted claim record is refused (null: sound)."""
-    at = lambda k: F.get_json_object(raw, f"$.{k}")
-    return F.coalesce(
-        _fields(raw, ["claim_id", "meaning", "claim_type", "importance"], ["evidence_regions", "equivalents"]),
-        _refuse(
-            blank_claim_id=F.length(at("claim_id")) >= 1, blank_meaning=F.length(at("meaning")) >= 1, claim_type=_member(at("claim_type"), config.CLAIM_TYPES),
-            importance=_member(at("importance"), list(config.IMPORTANCE)), evidence=_spans(at("evidence_regions")), equivalents=_spans(at("equivalents")),
+    return _judged(
+        raw,
+        lambda m: F.coalesce(
+            _fields(m, ["claim_id", "meaning", "claim_type", "importance"], ["evidence_regions", "equivalents"]),
+            _refuse(
+                blank_claim_id=_filled(m["claim_id"]), blank_meaning=_filled(m["meaning"]), claim_type=_member(m["claim_type"], config.CLAIM_TYPES),
+                importance=_member(m["importance"], list(config.IMPORTANCE)), evidence=_spans(m["evidence_regions"]), equivalents=_spans(m["equivalents"]),
+            ),
         ),
     )
 
 
 def survival_problem(raw: Column) -> Column:
     """Why a verdict on one claim in one view is refused (null: sound)."""
-    at = lambda k: F.get_json_object(raw, f"$.{k}")
-    return F.coalesce(
-        _fields(raw, ["claim_id", "branch", "status", "rationale"], ["surviving_evidence"]),
-        _refuse(branch=_member(at("branch"), ["branch_a", "branch_b", "combined"]), status=_member(at("status"), STATUSES), evidence=_spans(at("surviving_evidence")), blank_rationale=F.length(at("rationale")) >= 1),
+    return _judged(
+        raw,
+        lambda m: F.coalesce(
+            _fields(m, ["claim_id", "branch", "status", "rationale"], ["surviving_evidence"]),
+            _refuse(
+                claim_id=_text(m["claim_id"]).isNotNull(), branch=_member(m["branch"], ["branch_a", "branch_b", "combined"]), status=_member(m["status"], STATUSES),
+                evidence=_spans(m["surviving_evidence"]), blank_rationale=_filled(m["rationale"]),
+            ),
+        ),
     )
 
 
@@ -76,44 +130,61 @@ VIDEOS = ["base", "branch_a", "branch_b", "merged"]
 
 
 def _share(value: Column) -> Column:
-    return value.try_cast("double").between(0, 1)
+    return _number(value).between(0, 1)
 
 
-def _impact_problem(raw: Column) -> Column:
-    at = lambda k: F.get_json_object(raw, f"$.{k}")
+def _impact_problem(m: Column) -> Column:
     return F.coalesce(
-        _fields(raw, ["branch", "impact_level", "confidence", "rationale"], ["affected_claims", "preserved_equivalents", "evidence"]),
-        _refuse(branch=_member(at("branch"), ["branch_a", "branch_b"]), impact_level=_member(at("impact_level"), STATUSES), evidence=_spans(at("evidence"), VIDEOS), confidence=_share(at("confidence")), blank_rationale=F.length(at("rationale")) >= 1),
+        _fields(m, ["branch", "impact_level", "confidence", "rationale"], ["affected_claims", "preserved_equivalents", "evidence"]),
+        _refuse(
+            branch=_member(m["branch"], ["branch_a", "branch_b"]), impact_level=_member(m["impact_level"], STATUSES), evidence=_spans(m["evidence"], VIDEOS), confidence=_share(m["confidence"]),
+            blank_rationale=_filled(m["rationale"]), affected_claims=_texts(m["affected_claims"]), preserved_equivalents=_texts(m["preserved_equivalents"]),
+        ),
     )
 
 
 INTERACTION_TEXTS = ["base_claim", "branch_a_effect", "branch_b_effect", "combined_effect", "recommended_resolution"]
 
 
-def _interaction_sound(raw: Column) -> Column:
-    at = lambda k: F.get_json_object(raw, f"$.{k}")
-    filled = [F.length(at(k)) >= 1 for k in INTERACTION_TEXTS]
-    keys = _fields(raw, ["combined_impact", "interaction_type", "confidence", *INTERACTION_TEXTS], ["branch_a_edit_ids", "branch_b_edit_ids", "conflict_type", "evidence"])
-    kind = at("conflict_type").isNull() | _member(at("conflict_type"), config.CONFLICT_TYPES)
-    ok = _member(at("combined_impact"), STATUSES) & _member(at("interaction_type"), list(config.INTERACTION_SEVERITY)) & kind & _spans(at("evidence"), VIDEOS) & _share(at("confidence"))
-    for f in filled:
-        ok = ok & f
-    return keys.isNull() & F.coalesce(ok, F.lit(False))
+def _interaction_sound(m: Column) -> Column:
+    keys = _fields(m, ["combined_impact", "interaction_type", "confidence", *INTERACTION_TEXTS], ["branch_a_edit_ids", "branch_b_edit_ids", "conflict_type", "evidence"])
+    ok = keys.isNull() & _member(m["combined_impact"], STATUSES) & _member(m["interaction_type"], list(config.INTERACTION_SEVERITY)) & _empty_or(m["conflict_type"], _member(m["conflict_type"], config.CONFLICT_TYPES))
+    ok = ok & _spans(m["evidence"], VIDEOS) & _share(m["confidence"]) & _texts(m["branch_a_edit_ids"]) & _texts(m["branch_b_edit_ids"])
+    for name in INTERACTION_TEXTS:
+        ok = ok & _filled(m[name])
+    return ok
+
+
+LEGACY_FLAGS = ["branch_a_safe", "branch_b_safe", "combined_safe"]
+
+
+def _flags(m: Column) -> Column:
+    ok = _fields(m, LEGACY_FLAGS, []).isNull()
+    for name in LEGACY_FLAGS:
+        ok = ok & (F.schema_of_variant(m[name]) == "BOOLEAN")
+    return ok
 
 
 def analysis_problem(raw: Column) -> Column:
     """Why a two-axis analysis is refused (null: sound): its fields, both branches' impacts, and every one of its interactions, of which a given list needs one."""
-    at = lambda k: F.get_json_object(raw, f"$.{k}")
-    branches = [F.when(_impact_problem(at(f"{b}_impact")).isNotNull(), F.concat(F.lit(f"{b}: "), _impact_problem(at(f"{b}_impact")))) for b in ("branch_a", "branch_b")]
-    listed = F.transform(F.from_json(at("interactions"), "array<string>"), _interaction_sound)
-    return F.coalesce(
-        _fields(raw, ["branch_a_impact", "branch_b_impact", "combined_impact", "overall_confidence"], ["interactions", "notes", "legacy_v1_compat"]),
-        *branches,
-        _refuse(
-            combined_impact=_member(at("combined_impact"), STATUSES), overall_confidence=_share(at("overall_confidence")),
-            no_interaction=at("interactions").isNull() | (F.size(listed) > 0), interaction=at("interactions").isNull() | F.forall(listed, lambda x: x),
-        ),
-    )
+
+    def branch(m: Column, name: str) -> Column:
+        return _with(_object(m[f"{name}_impact"]), lambda i: F.concat(F.lit(f"{name}: "), _impact_problem(i)))
+
+    def problem(m: Column) -> Column:
+        pairs = m["interactions"]
+        return F.coalesce(
+            _fields(m, ["branch_a_impact", "branch_b_impact", "combined_impact", "overall_confidence"], ["interactions", "notes", "legacy_v1_compat"]),
+            branch(m, "branch_a"),
+            branch(m, "branch_b"),
+            _refuse(
+                combined_impact=_member(m["combined_impact"], STATUSES), overall_confidence=_share(m["overall_confidence"]),
+                no_interaction=pairs.isNull() | (F.size(F.try_variant_get(pairs, "$", "array<variant>")) > 0), interaction=_every(pairs, lambda x: _with(_object(x), _interaction_sound)),
+                notes=_empty_or(m["notes"], _text(m["notes"]).isNotNull()), legacy_v1_compat=_empty_or(m["legacy_v1_compat"], _with(_object(m["legacy_v1_compat"]), _flags)),
+            ),
+        )
+
+    return _judged(raw, problem)
 
 
 def expected_payload(a: Column, b: Column, combined: Column, interaction: Column) -> Column:
