@@ -157,3 +157,36 @@ def test_attempts_and_counters_of_a_long_log(spark, monkeypatch):
         c, n = by[r.fixture, r.at]
         pc, pn = by.get((r.fixture, r.at - 1), (0, 0))
         assert (r.calls, r.retries) == (None if c is None else c - (pc or 0), n - pn)
+
+
+def test_overlaps_of_uneven_lengths(spark):
+    rng = random.Random(12)
+    shots, segments = [], []
+    for v in (1, 2):
+        for i in range(120):
+            s = rng.choice([rng.uniform(-50, 50), float(rng.randint(-8, 8))])
+            shots.append((v, i, s, s + rng.choice([0.0, 0.001, 0.25, 1.0, 2.0, 4.0, rng.paretovariate(0.6)])))
+        for k in range(250):
+            s = rng.choice([rng.uniform(-60, 60), float(rng.randint(-8, 8))])
+            segments.append((v, k, s, s + rng.choice([0.0, 0.5, 1.0, 1e-5, rng.paretovariate(0.5), 3600.0]), "t"))
+    got = media.attach_segments(
+        spark.createDataFrame(segments, "video_id long, seg_no long, start double, end double, text string"), spark.createDataFrame(shots, "video_id long, sequence_index long, start double, end double")
+    )
+    want = set()
+    for v, k, s, e, _ in segments:
+        near = [(min(e, he) - max(s, hs), i) for w, i, hs, he in shots if w == v and he > hs and e > s and min(e, he) > max(s, hs)]
+        want |= {(v, k, i) for n, i in near if n == max(near)[0]}
+    rows = [(r.video_id, r.seg_no, r.sequence_index) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_one_long_shot_beside_many_short_ones(spark):
+    n = 20_000
+    shots = spark.range(n).select(F.lit(1).alias("video_id"), F.col("id").alias("sequence_index"), (F.col("id") * 0.01).alias("start"), (F.col("id") * 0.01 + 0.01).alias("end"))
+    shots = shots.unionAll(spark.sql(f"SELECT 1, {n}L, 0D, 3600D"))
+    said = spark.range(n).select(F.lit(1).alias("video_id"), F.col("id").alias("seg_no"), (F.col("id") * 0.01 + 0.002).alias("start"), (F.col("id") * 0.01 + 0.006).alias("end"), F.lit("t").alias("text"))
+    left = media._on_levels(media._levelled(said, "start", "end"), "start", "end", media._levelled(shots, "start", "end").select("level").distinct(), False)
+    # A row stands in at most two nodes at each of the few levels in use.
+    assert left.count() <= n * 2 * 4
+    got = media.attach_segments(said, shots).groupBy().agg(F.count("*").alias("n"), F.countDistinct("seg_no").alias("d")).first()
+    assert (got.n, got.d) == (2 * n, n)

@@ -62,31 +62,47 @@ def keyframes(shots: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.where("turn = 1 and shown is not null").select("video_id", "sequence_index", "middle", F.col("shown").alias("frame"))
 
 
-def attach_segments(segments: DataFrame, shots: DataFrame) -> DataFrame:
-    """Transcript segments on the shots they overlap most; a tie goes to every shot that shares it.
+def _levelled(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with ``level``: the power of two of seconds, a millisecond's at least, that their length doesn't pass."""
+    return rows.where(F.col(end) > F.col(start)).withColumn("level", F.greatest(F.ceil(F.log2(F.col(end) - F.col(start))), F.lit(-10)).cast("int"))
+
+
+def _node(time: Column, level: Column) -> Column:
+    return F.floor(time / F.pow(F.lit(2.0), level))
+
 
-    Rank keeps ties; a segment that overlaps nothing attaches to nothing.  Both
-    sides are cut into time slots as long as the video's average shot and meet
-    by (video, slot), so the work grows with their rows and a long video spreads
-    over its slots; a pair counts in the slot where it begins to overlap.
+def _on_levels(rows: DataFrame, start: str, end: str, levels: DataFrame, own: bool) -> DataFrame:
+    """Each row at its own level, and at those of the other side's levels that are higher (or level with it, unless ``own``).
+
+    A row is in two nodes of a level at most.  ``levels`` has one row for each
+    power of two in use, some dozens, so it is broadcast.
     """
-    h = shots.where(F.col("end") > F.col("start")).select("video_id", "sequence_index", F.col("start").alias("h_start"), F.col("end").alias("h_end"))
-    extent = h.groupBy("video_id").agg(F.min("h_start").alias("first"), F.max("h_end").alias("last"), F.count("*").alias("n"))
-    extent = extent.withColumn("slot_length", F.greatest((F.col("last") - F.col("first")) / F.col("n"), F.lit(0.001)))
+    other = F.broadcast(levels.select(F.col("level").alias("at")))
+    up = rows.join(other, F.col("at") > F.col("level") if own else F.col("at") >= F.col("level")).withColumn("mine", F.lit(not own))
+    stay = rows.withColumn("at", F.col("level")).withColumn("mine", F.lit(own))
+    both = up.unionByName(stay)
+    return both.withColumn("node", F.explode(F.sequence(_node(F.col(start), F.col("at")), _node(F.col(end), F.col("at"))))).drop("level")
 
-    def slot(time: Column) -> Column:
-        return F.floor((time - F.col("first")) / F.col("slot_length"))
 
-    def slotted(rows: DataFrame, start: str, end: str) -> DataFrame:
-        inside = rows.join(extent, "video_id").where((F.col(end) > F.col("first")) & (F.col(start) < F.col("last")))
-        return inside.withColumn("slot", F.explode(F.sequence(slot(F.greatest(start, "first")), slot(F.least(end, "last")))))
+def attach_segments(segments: DataFrame, shots: DataFrame) -> DataFrame:
+    """Transcript segments on the shots they overlap most; a tie goes to every shot that shares it.
 
-    said = slotted(segments.where(F.col("end") > F.col("start")), "start", "end")
-    j = said.join(slotted(h, "h_start", "h_end").drop("first", "last", "n", "slot_length"), ["video_id", "slot"])
-    j = j.where((F.col("end") > F.col("h_start")) & (F.col("start") < F.col("h_end")) & (F.col("slot") == slot(F.greatest("start", "h_start", "first"))))
+    Rank keeps ties; a segment that overlaps nothing attaches to nothing.  Time
+    is cut into dyadic nodes: a pair meets at the level of the longer of the
+    two, where that one stands at its own level and the shorter one is looked up
+    from its own.  A row stands in two nodes a level at most, however uneven the
+    lengths; a pair counts in the node where it begins to overlap.
+    """
+    h = _levelled(shots.select("video_id", "sequence_index", F.col("start").alias("h_start"), F.col("end").alias("h_end")), "h_start", "h_end")
+    said = _levelled(segments, "start", "end")
+    # A pair of equal levels is found where the shot stands at its own level.
+    left = _on_levels(said, "start", "end", h.select("level").distinct(), own=False)
+    right = _on_levels(h, "h_start", "h_end", said.select("level").distinct(), own=True)
+    j = left.join(right, ["video_id", "mine", "at", "node"])
+    j = j.where((F.col("end") > F.col("h_start")) & (F.col("start") < F.col("h_end")) & (F.col("node") == _node(F.greatest("start", "h_start"), F.col("at"))))
     overlap = F.least("end", "h_end") - F.greatest("start", "h_start")
     best = F.rank().over(W.partitionBy("video_id", "seg_no").orderBy(F.col("overlap").desc()))
-    return j.drop("slot", "first", "last", "n", "slot_length").withColumn("overlap", overlap).where("overlap > 0").withColumn("r", best).where("r = 1").drop("r")
+    return j.drop("mine", "at", "node").withColumn("overlap", overlap).where("overlap > 0").withColumn("r", best).where("r = 1").drop("r")
 
 
 def shot_transcripts(attached: DataFrame) -> DataFrame:
