@@ -15,10 +15,10 @@ from collections.abc import Callable
 from functools import lru_cache, reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.sources.files import checkpoint_folder
+from tributary.sources.files import checkpoint_folder, materialized
 
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Parts of the package whose code decides a step's rows.
@@ -69,3 +69,32 @@ class StepStore:
             done = f"{folder}/{uuid.uuid4().hex}"
             build().write.parquet(done)
         return self.spark.read.parquet(done)
+
+
+def counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, dict]:
+    """``df`` written once, and its counters (aggregates by name) taken while it was written: no second scan."""
+    seen = Observation()
+    table = materialized(df.observe(seen, *[c.alias(n) for n, c in counters.items()]))
+    return table, seen.get
+
+
+class Counters:
+    """Running counters of a session's work: steps add theirs as they are written, snapshots give the change since another."""
+
+    def __init__(self):
+        self.values: dict[str, int] = {}
+
+    def add(self, found: dict) -> None:
+        for name, value in found.items():
+            self.values[name] = self.values.get(name, 0) + (value or 0)
+
+    def write(self, df: DataFrame, **counters: Column) -> DataFrame:
+        table, found = counted(df, **counters)
+        self.add(found)
+        return table
+
+    def snapshot(self) -> dict[str, int]:
+        return dict(self.values)
+
+    def since(self, before: dict[str, int]) -> dict[str, int]:
+        return {name: value - before.get(name, 0) for name, value in self.values.items()}
