@@ -1,14 +1,15 @@
 """Audit of how far the sources of a language diverge in their words.
 
-Per lang, MLlib's CountVectorizer (minDF, the largest vocabSize) turns each
-document into an exact sparse vector over the lang's kept terms; the vectors are
-summed by (lang, source), and the sums feed an exact evaluation of all source
-pairs that touches stored entries alone.
+Per lang, MLlib's CountVectorizer turns each document into an exact sparse
+vector over all terms in at least minDF of the lang's documents (no vocabSize
+cuts them); the vectors are summed by (lang, source), and the sums feed an exact
+evaluation of all source pairs that touches stored entries alone.
 
-A vectorizer's vocabulary goes through the driver, so its size is checked: terms
-carry their lang and are dealt by hash to as many vectorizers as keep each below
-``VOCABULARY`` distinct terms.  Terms of different langs never meet, so one
-vectorizer serves several langs as blocks of indices that no document shares.
+A vectorizer's vocabulary goes through the driver.  A fit on the texts would
+bring it there whatever its size, so document frequencies are counted first and
+the vectorizers are fitted on the frequent terms alone: as many as keep each
+below ``VOCABULARY`` terms.  Terms carry their lang, so terms of different langs
+never meet and one model serves several langs, each with indices of its own.
 
 Sparse pairs.  With f(p, q) the divergence of one term and p0 the value of a
 group for a term it lacks, the sum over all V terms is H(a, b) + H(b, a)
@@ -20,9 +21,8 @@ values and how often each occurs.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,27 +30,28 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_folder
 
-#: Distinct terms that one vectorizer may meet, kept or not.
-VOCABULARY = 4_000_000
+#: Most terms in one vectorizer's vocabulary.
+VOCABULARY = 1_000_000
 MIN_DF = 10
 TOP_TERMS = 10
 SALT = 16
 
-_SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_VECTOR = "lang string, source string, v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-
-
-def terms(text: Column) -> Column:
-    """Runs of ASCII letters and other code points, only A-Z lower-cased."""
-    return F.array_remove(F.split(F.translate(text, _UPPER, _UPPER.lower()), _SEPARATORS), "")
+#: ASCII characters that end a term.
+_ENDS = "".join(chr(c) for c in (*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)) if chr(c) != "\n")
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms) of every document, nulls read as empty; a term is its lang, a zero byte and its letters."""
+    """(lang, source, terms) of every document, nulls read as empty.
+
+    Terms are runs of ASCII letters and other code points, only A-Z lower-cased.
+    Each is led by its lang in hexadecimal digits and a colon, which no term holds.
+    """
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    own = F.transform(terms(F.col("text")), lambda t: F.concat("lang", F.lit("\0"), t))
-    return read.select("lang", "source", own.alias("terms"))
+    lines = F.translate("text", _UPPER + _ENDS, _UPPER.lower() + "\n" * len(_ENDS))
+    lead = F.concat(F.hex(F.col("lang").cast("binary")), F.lit(":"))
+    led = F.concat(lead, F.replace(lines, F.lit("\n"), F.concat(F.lit("\n"), lead)))
+    return read.select("lang", "source", F.array_remove(F.split(led, "\n"), lead).alias("terms"))
 
 
 def _dealt(held: DataFrame, shards: int) -> list[DataFrame]:
@@ -60,13 +61,16 @@ def _dealt(held: DataFrame, shards: int) -> list[DataFrame]:
     spark, path = held.sparkSession, f"{shared_folder(held.sparkSession)}/tables/{uuid.uuid4().hex}"
     # Numbered before the terms are exploded, so that a document keeps one number.
     term = held.withColumn("row", F.monotonically_increasing_id()).select("row", "lang", "source", F.explode("terms").alias("term"))
-    shard = F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")
-    parts = term.groupBy(shard.alias("shard"), "row").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.collect_list("term").alias("terms"))
+    parts = term.groupBy(_shard(F.col("term"), shards).alias("shard"), "row").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.collect_list("term").alias("terms"))
     parts.write.partitionBy("shard").parquet(path)
     schema = "lang string, source string, terms array<string>"
     return [spark.read.schema(f"{schema}, shard int").parquet(path).where(F.col("shard") == s).drop("shard") for s in range(shards)]
 
 
+def _shard(term: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
+
+
 def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups (lang, source); kept terms (lang, shard, index, term); occurrences (lang, source, shard, index, n).
 
@@ -74,31 +78,28 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABU
     occurring group is returned, with terms or not.  Repeated rows are
     documents of their own.
     """
-    spark, held = docs.sparkSession, cut(bags(docs))
-    groups = cut(held.select("lang", "source").distinct())
-    met = held.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
-    kept, sums = None, None
-    for shard, bag in enumerate(_dealt(held, max(1, -(-met // vocabulary)))):
-        try:
-            model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_df), vocabSize=2**31 - 1).fit(bag)
-        except IllegalArgumentException as e:
-            if "vocabulary size" not in str(e):
-                raise
-            continue  # no term of this shard is in enough documents
-        parts = [t.rpartition("\0") for t in model.vocabulary]
-        table = pa.table({"lang": [p[0] for p in parts], "shard": pa.array([shard] * len(parts), pa.int32()), "index": pa.array(range(len(parts)), pa.int32()), "term": [p[2] for p in parts]})
-        words = cut(spark.createDataFrame(table))
-        # The written vectors are read by their fields: indices and values of the stored entries.
-        path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-        model.transform(bag).select("lang", "source", "v").write.parquet(path)
-        entries = spark.read.schema(_VECTOR).parquet(path).select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-        summed = entries.groupBy("lang", "source", F.lit(shard).alias("shard"), F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
-        summed = cut(summed)
-        kept, sums = (words, summed) if kept is None else (kept.unionAll(words), sums.unionAll(summed))
-    if kept is None:
-        kept = spark.createDataFrame([], "lang string, shard int, index int, term string")
-        sums = spark.createDataFrame([], "lang string, source string, shard int, index int, n long")
-    return groups, kept, sums
+    held = bags(docs)
+    groups = cut(docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct())
+    frequent = held.select(F.explode(F.array_distinct("terms")).alias("led")).groupBy("led").count().where(F.col("count") >= min_df)
+    frequent = cut(frequent.select("led", F.array("led").alias("terms")))
+    # Hashed shards are uneven, so they are made for half the bound.
+    n = frequent.count()
+    shards = 1 if n <= vocabulary else -(-2 * n // vocabulary)
+    words, counts = [], []
+    for shard, bag in enumerate(_dealt(held, shards) if n else []):
+        own = frequent.where(_shard(F.col("led"), shards) == shard)
+        if own.isEmpty():
+            continue
+        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=1.0, vocabSize=2**31 - 1).fit(own)
+        lang, term = F.decode(F.unhex(F.substring_index("led", ":", 1)), "UTF-8").alias("lang"), F.substring_index("led", ":", -1).alias("term")
+        words.append(cut(model.transform(own).select(lang, F.lit(shard).alias("shard"), F.unwrap_udt("v")["indices"][0].alias("index"), term)))
+        vectors = model.transform(bag).select("lang", "source", F.unwrap_udt("v").alias("v"))
+        entries = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
+        counts.append(cut(entries.groupBy("lang", "source", F.lit(shard).alias("shard"), F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))))
+    if not words:
+        spark = docs.sparkSession
+        return groups, spark.createDataFrame([], "lang string, shard int, index int, term string"), spark.createDataFrame([], "lang string, source string, shard int, index int, n long")
+    return groups, reduce(DataFrame.unionAll, words), reduce(DataFrame.unionAll, counts)
 
 
 def smoothed(n: Column, total: Column, size: Column) -> Column:
