@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tributary import config
-from tributary.operators import evaluate, provider, validate
+from tributary.operators import evaluate, frames, provider, validate
 from tributary.operators.ordered import scanned
 from tributary.plans import oracle
 from tributary.plans.queries import _flow, r6, segments
@@ -93,7 +93,20 @@ def q92(f):
     return calls.join(told, "request_id", "left").join(out.dead.select("request_id", "reason"), "request_id", "left").select("request_id", "calls", "claim_id", "status", "reason")
 
 
-BUILDERS = {"q88_upload_scan": q88, "q89_cache_rewrite": q89, "q90_claim_types": q90, "q91_reply_policy": q91, "q92_provider_rounds": q92}
+def q93(f):
+    """Hash, mean colour and histogram of frames of 32 x 32 pixels whose colours come from an embedding's components."""
+    e = f.table("embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(F.abs(x) * 1000)).alias("e"))
+
+    def byte(i, c: int):
+        mixed = F.element_at("e", (i % 64 + 1).cast("int")) + i * i * 31 + i * 17 * (F.col("vec_id") % 13 + 1) + 97 * c
+        return F.lpad(F.hex(mixed % 256), 2, "0")
+
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(1023).cast("long")), lambda i: F.concat(byte(i, 0), byte(i, 1), byte(i, 2))), ""))
+    rows = frames.frame_features(e.select(F.col("vec_id").alias("frame"), F.lit(32).alias("width"), F.lit(32).alias("height"), pixels.alias("pixels")))
+    return rows.select("frame", "hash", *[r6(F.col("rgb")[i]).alias(c) for i, c in enumerate("rgb")], F.array_join(F.transform("hist", lambda h: F.round(h * 3072).cast("long").cast("string")), ",").alias("hist"))
+
+
+BUILDERS = {"q88_upload_scan": q88, "q89_cache_rewrite": q89, "q90_claim_types": q90, "q91_reply_policy": q91, "q92_provider_rounds": q92, "q93_frame_features": q93}
 
 QUERIES = {name: _flow(build) for name, build in BUILDERS.items()}
 
@@ -109,6 +122,27 @@ _REPLIES = ", ".join("(" + ", ".join(map(_value, (i, *r))) + ")" for i, r in enu
 _HAS = lambda names: " OR ".join(f"contains(lower(coalesce(body, '')), '{n}')" for n in names)
 _LIST = lambda names: ", ".join(f"'{n}'" for n in names)
 
+#: Whole-number weights that reduce a line of 32 samples to one.
+_ONE = "[" + ", ".join(map(str, frames.weights(32, 1)[0].tolist())) + "]"
+
+
+def _reduced(table: str, keys: str, at: str, values: list[str]) -> str:
+    sums = ", ".join(f"least(255, greatest(0, (sum({_ONE}[{at} + 1] * {v})::BIGINT + {1 << 21}) >> 22)) AS {v}" for v in values)
+    return f"SELECT {keys}, {sums} FROM {table} GROUP BY {keys}"
+
+
+_FRAMES = f"""WITH px AS (SELECT vec_id AS frame, i // 32 AS x, i % 32 AS y, {", ".join(f"(m + {97 * c}) % 256 AS {n}" for c, n in enumerate("rgb"))}
+    FROM (SELECT vec_id, i, floor(abs(embedding[(i % 64) + 1]::DOUBLE) * 1000)::BIGINT + i * i * 31 + i * 17 * (vec_id % 13 + 1) AS m FROM embeddings, (SELECT unnest(range(1024)) AS i))),
+  gray AS (SELECT frame, x, y, (19595 * r + 38470 * g + 7471 * b + 32768) >> 16 AS v FROM px),
+  basis AS (SELECT u, x, cos(pi() * (2 * u + 1) * x / 64) * sqrt(2.0 / 32) * CASE u WHEN 0 THEN 1 / sqrt(2.0) ELSE 1 END AS w FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS x)),
+  half AS (SELECT frame, u, y, sum(w * v) AS v FROM gray JOIN basis USING (x) GROUP BY ALL),
+  low AS (SELECT frame, h.u, b.u AS k, CASE WHEN h.u = 0 AND b.u = 0 THEN 0 ELSE sum(w * v) END AS v FROM half h JOIN basis b ON b.x = h.y GROUP BY frame, h.u, b.u),
+  bits AS (SELECT frame, string_agg(CASE WHEN v > middle THEN '1' ELSE '0' END, '' ORDER BY u, k)[1:55] AS bits FROM low JOIN (SELECT frame, median(v) AS middle FROM low GROUP BY frame) USING (frame) GROUP BY frame),
+  lines AS ({_reduced("px", "frame, x", "y", ["r", "g", "b"])}), dots AS ({_reduced("lines", "frame", "x", ["r", "g", "b"])}),
+  code AS (SELECT frame, {" || ".join(f"substr(format('{{:08b}}', {c}::BIGINT), 1, 3)" for c in "rgb")} || bits AS bits FROM bits JOIN dots USING (frame)),
+  means AS (SELECT frame, {", ".join(f"round(avg({c} / 255.0::DOUBLE), 6) AS {c}" for c in "rgb")}, {" || ',' || ".join(f"count(*) FILTER ({c} // 64 = {b})" for c in "rgb" for b in range(4))} AS hist FROM px GROUP BY frame)
+"""
+
 SELECTS = {
     "q88_upload_scan": f"""SELECT doc_id, strlen(body)::BIGINT AS length, CASE WHEN strlen(body) > {UPLOAD_LIMIT} THEN 'upload too large' END AS reject,
       CASE WHEN strlen(body) <= {UPLOAD_LIMIT} THEN substr(sha256(strlen(body)::VARCHAR || body), 1, 16) END AS content_hash, CASE WHEN strlen(body) <= {UPLOAD_LIMIT} THEN substr(sha256(body), 1, 16) END AS file_hash,
@@ -126,3 +160,5 @@ SELECTS = {
 }
 
 ORACLE_SQL = {name: oracle.STEPS + select for name, select in SELECTS.items()}
+_HEX = " || ".join(f"['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f'][(bits[{4 * i + 1}]::INT * 8 + bits[{4 * i + 2}]::INT * 4 + bits[{4 * i + 3}]::INT * 2 + bits[{4 * i + 4}]::INT) + 1]" for i in range(16))
+ORACLE_SQL["q93_frame_features"] = f"{_FRAMES} SELECT frame, {_HEX} AS hash, r, g, b, hist FROM code JOIN means USING (frame)"
