@@ -8,8 +8,8 @@ evaluation of all source pairs that touches stored entries alone.
 A vectorizer's vocabulary goes through the driver.  A fit on the texts would
 bring it there whatever its size, so document frequencies are counted first and
 the vectorizers are fitted on the frequent terms alone: as many as keep each
-below ``VOCABULARY`` terms.  Terms carry their lang, so terms of different langs
-never meet and one model serves several langs, each with indices of its own.
+below ``VOCABULARY`` terms.  One vectorizer serves all langs; a lang's vocabulary
+is the set of its indices, and sums at other indices are none of its.
 
 Sparse pairs.  With f(p, q) the divergence of one term and p0 the value of a
 group for a term it lacks, the sum over all V terms is H(a, b) + H(b, a)
@@ -37,21 +37,18 @@ TOP_TERMS = 10
 SALT = 16
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: ASCII characters that end a term.
-_ENDS = "".join(chr(c) for c in (*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)) if chr(c) != "\n")
+_ENDS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def bags(docs: DataFrame) -> DataFrame:
     """(lang, source, terms) of every document, nulls read as empty.
 
-    Terms are runs of ASCII letters and other code points, only A-Z lower-cased.
-    Each is led by its lang in hexadecimal digits and a colon, which no term holds.
+    Terms are runs of ASCII letters and other code points, only A-Z lower-cased
+    (``lower`` does no more to texts of ASCII alone, and is faster).
     """
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    lines = F.translate("text", _UPPER + _ENDS, _UPPER.lower() + "\n" * len(_ENDS))
-    lead = F.concat(F.hex(F.col("lang").cast("binary")), F.lit(":"))
-    led = F.concat(lead, F.replace(lines, F.lit("\n"), F.concat(F.lit("\n"), lead)))
-    return read.select("lang", "source", F.array_remove(F.split(led, "\n"), lead).alias("terms"))
+    small = F.when(F.char_length("text") == F.octet_length("text"), F.lower("text")).otherwise(F.translate("text", _UPPER, _UPPER.lower()))
+    return read.select("lang", "source", F.array_remove(F.split(small, _ENDS), "").alias("terms"))
 
 
 def _dealt(held: DataFrame, shards: int) -> list[DataFrame]:
@@ -78,26 +75,26 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABU
     occurring group is returned, with terms or not.  Repeated rows are
     documents of their own.
     """
-    held = bags(docs)
+    spark, held = docs.sparkSession, bags(docs)
     groups = cut(docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct())
-    frequent = held.select(F.explode(F.array_distinct("terms")).alias("led")).groupBy("led").count().where(F.col("count") >= min_df)
-    frequent = cut(frequent.select("led", F.array("led").alias("terms")))
+    frequent = held.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").count().where(F.col("count") >= min_df)
+    frequent = cut(frequent.select("lang", "term", F.array("term").alias("terms")))
     # Hashed shards are uneven, so they are made for half the bound.
-    n = frequent.count()
+    n = frequent.select("term").distinct().count()
     shards = 1 if n <= vocabulary else -(-2 * n // vocabulary)
     words, counts = [], []
     for shard, bag in enumerate(_dealt(held, shards) if n else []):
-        own = frequent.where(_shard(F.col("led"), shards) == shard)
+        own = frequent.where(_shard(F.col("term"), shards) == shard)
         if own.isEmpty():
             continue
-        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=1.0, vocabSize=2**31 - 1).fit(own)
-        lang, term = F.decode(F.unhex(F.substring_index("led", ":", 1)), "UTF-8").alias("lang"), F.substring_index("led", ":", -1).alias("term")
-        words.append(cut(model.transform(own).select(lang, F.lit(shard).alias("shard"), F.unwrap_udt("v")["indices"][0].alias("index"), term)))
+        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=1.0, vocabSize=2**31 - 1).fit(own.select("terms").distinct())
+        kept = cut(model.transform(own).select("lang", F.lit(shard).alias("shard"), F.unwrap_udt("v")["indices"][0].alias("index"), "term"))
         vectors = model.transform(bag).select("lang", "source", F.unwrap_udt("v").alias("v"))
         entries = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-        counts.append(cut(entries.groupBy("lang", "source", F.lit(shard).alias("shard"), F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))))
+        summed = entries.groupBy("lang", "source", F.lit(shard).alias("shard"), F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
+        words.append(kept)
+        counts.append(cut(summed.join(kept.select("lang", "shard", "index"), ["lang", "shard", "index"], "left_semi").select("lang", "source", "shard", "index", "n")))
     if not words:
-        spark = docs.sparkSession
         return groups, spark.createDataFrame([], "lang string, shard int, index int, term string"), spark.createDataFrame([], "lang string, source string, shard int, index int, n long")
     return groups, reduce(DataFrame.unionAll, words), reduce(DataFrame.unionAll, counts)
 
