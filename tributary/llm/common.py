@@ -122,7 +122,7 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20):
 
 
 def text_offsets(text: pa.Array) -> np.ndarray:
-    kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type) else np.int32
     raw = text.buffers()[1]
     if raw is None or len(text) == 0:
         return np.zeros(1, np.int64)

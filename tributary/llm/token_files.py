@@ -23,9 +23,11 @@ import uuid
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,7 @@ MAGIC = b"TRIBDAC1"
 #: Tokens between two entries of a rank directory.
 STRIDE = 512
 #: A file is closed at the first document's end beyond this number of tokens.
-FILE_TOKENS = 1 << 24
+FILE_TOKENS = 1 << 23
 #: Tokens decoded at a time when documents are read (one document at least).
 READ_TOKENS = 1 << 20
 LIST = "_files.json"
@@ -296,9 +298,19 @@ class TokenCodes(DataSource):
 # Encoding -------------------------------------------------------------------
 
 #: A-Z lower-cased and line breaks and tabs as spaces: nothing else that the library folds is touched.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 13) else b for b in range(256))
-#: ASCII punctuation but the apostrophe, which may belong to the word beside it.
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 13) else b for b in range(256)], np.uint8)
+#: Kind of a folded byte: 1 a-z, 2 digit, 3 ASCII mark but the apostrophe (which may belong to the word beside it), 0 anything else.
+_KIND = np.array([1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 if 33 <= b < 127 and b != 39 and not chr(b).isalnum() else 0 for b in range(256)], np.uint8)
+#: Whether bytes of two kinds side by side (4 x left + right) are sure to be in different pieces: letter and mark, or a digit and any of the three.
+_APART = np.array([bool(a and b and (2 in (a, b) or a != b)) for a in range(4) for b in range(4)])
+
+
+def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes end to end, folded, with a space between ASCII bytes of different pieces; and the rows' offsets in them."""
+    data = _FOLD[data]
+    kind = _KIND[data]
+    at = np.flatnonzero(_APART[(kind[:-1] << 2) | kind[1:]]) + 1
+    return np.insert(data, at, 32), offsets + np.searchsorted(at, offsets, side="left")
 
 
 class _Codes(dict):
@@ -314,15 +326,15 @@ class _Codes(dict):
 
 
 class LibraryEncoder:
-    """Ids of whole texts from the tokenizers library, which sees each white-space free run once.
+    """Ids of whole texts from the tokenizers library, which sees each run of ``parted`` once.
 
     Exact for files whose pipeline folds and drops white space, lower-cases, and
-    whose pieces are runs of letters or of marks; for others whole texts go to
-    the library, as do texts with a special token.  Runs are forgotten
-    beyond ``limit`` of them.
+    whose pieces are single digits and runs of letters or of marks; for others
+    whole texts go to the library, as do texts with a special token.  Runs are
+    forgotten beyond ``limit`` of them.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -345,47 +357,62 @@ class LibraryEncoder:
         self.codes, self.used = _Codes(), 0
         self.starts, self.sizes, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
-    def _keep(self, code: int, ids) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[code], self.sizes[code] = self.used, len(ids)
-        self.used += len(ids)
-
     def _learn(self) -> None:
-        """Ids of the fresh runs; a run that ends in marks after a letter is its word and its marks."""
-        codes, whole, joined = self.codes, [], []
-        for run in codes.fresh:  # grows by the parts of its runs
-            word = run.rstrip(_MARKS)
-            if word and len(word) < len(run) and 97 <= word[-1] <= 122:
-                joined.append((codes[run], codes[word], codes[run[len(word) :]]))
-            else:
-                whole.append(run)
-        codes.fresh.clear()
-        while len(codes) > len(self.starts):
+        """Ids of the fresh runs."""
+        fresh, first = self.codes.fresh, len(self.codes) - len(self.codes.fresh)
+        if not fresh:
+            return
+        # A word of a to z is one piece as it stands, so it needs the model alone.
+        tokenize = self.library.model.tokenize
+        ids = [[t.id for t in tokenize(run.decode())] if run.isalpha() else None for run in fresh]
+        rest = [k for k, found in enumerate(ids) if found is None]
+        for k, found in zip(rest, self.library.encode_batch_fast([fresh[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)):
+            ids[k] = found.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while first + len(ids) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        for run, found in zip(whole, self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in whole], add_special_tokens=False)):
-            self._keep(codes[run], found.ids)
-        for code, *parts in joined:
-            self._keep(code, [i for p in parts for i in self.flat[self.starts[p] : self.starts[p] + self.sizes[p]]])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.sizes[first : first + len(ids)] = sizes
+        self.starts[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.used += total
+        fresh.clear()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text as unsigned 32-bit numbers."""
+        return self.encode_bytes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of UTF-8 bytes end to end."""
         if len(self.codes) > self.limit or self.used > 16 * self.limit:
             self._forget()
-        out, number, pending = [], self.codes.__getitem__, []
-        for text in texts:
-            if not self.by_runs or any(s in text for s in self.special):
-                out.append(np.array(self.library.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32))
-            else:
-                runs = text.translate(_FOLD).split(b" ")
-                pending.append((len(out), np.fromiter(map(number, runs), np.int64, len(runs))))
-                out.append(None)
+        out: list = [None] * (len(offsets) - 1)
+        whole = range(0)
+        if not self.by_runs:
+            whole = range(len(out))
+        elif any(s in data.tobytes() for s in self.special):
+            whole = [r for r in range(len(out)) if any(s in data[offsets[r] : offsets[r + 1]].tobytes() for s in self.special)]
+        folded, bounds = parted(data, offsets)
+        # Distinct runs are found by the columns' own kernels; only those are looked up one by one.
+        texts = pa.Array.from_buffers(pa.large_binary(), len(out), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(folded)])
+        split = pc.split_pattern(texts, b" ")
+        runs = split.values.dictionary_encode()
+        raw, places = text_bytes(runs.dictionary)
+        raw, places = raw.tobytes(), places.tolist()
+        codes = np.fromiter(map(self.codes.__getitem__, [raw[a:b] for a, b in zip(places, places[1:])]), np.int64, len(runs.dictionary))
         self._learn()
-        for row, at in pending:
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            out[row] = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        at, ends = codes[np.asarray(runs.indices)], np.asarray(split.offsets)
+        sizes = self.sizes[at]
+        places = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        flat = self.flat[np.repeat(self.starts[at] - places[:-1], sizes) + np.arange(places[-1])]
+        cuts = places[ends]
+        for row in range(len(out)):
+            out[row] = flat[cuts[row] : cuts[row + 1]]
+        for row in whole:
+            text = data[offsets[row] : offsets[row + 1]].tobytes()
+            out[row] = np.array(self.library.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
         return out
 
 
@@ -406,17 +433,17 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int | None = 1) ->
         own = _encoder(path)
         close = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", 4 << 20):
                 data, offsets = text_bytes(part.column(1))
-                found = own.encode([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])])
+                found = own.encode_bytes(data, offsets)
                 bounds = np.cumsum([0] + [len(f) + len(close) for f in found]).astype(np.int32)
-                values = np.concatenate([x for f in found for x in (f, close)]).astype(np.int64)
+                values = np.concatenate([x for f in found for x in (f, close)]).view(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))], ["doc_id", "ids"])
 
     place = F.monotonically_increasing_id()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("place"))
     ordered = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
-    return ordered.mapInArrow(run, "doc_id long, ids array<long>")
+    return ordered.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def write_tokens(tokens: DataFrame, path: str, file_tokens: int = FILE_TOKENS) -> None:
