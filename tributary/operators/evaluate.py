@@ -144,6 +144,16 @@ def alignment_acceptance(rows: DataFrame, script: DataFrame) -> DataFrame:
     )
 
 
+def false_edits(rows: DataFrame, script: DataFrame) -> DataFrame:
+    """(merge_id, branch, unchanged, false_edits): steps that edit a branch whose script edits nothing, inserts among them.
+
+    Null where the script does edit: there an insert may belong to an edit.
+    """
+    plan = script.groupBy("merge_id", "branch").agg(F.every(F.col("edit") == "keep").alias("unchanged"))
+    found = rows.groupBy("merge_id", "branch").agg(F.count_if(F.col("operation").isin("delete", "insert", "replace")).alias("n"))
+    return plan.join(found, ["merge_id", "branch"], "left").select("merge_id", "branch", "unchanged", F.when(F.col("unchanged"), F.coalesce("n", F.lit(0))).alias("false_edits"))
+
+
 def _holds(text: Column, tokens: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(text, t))
 

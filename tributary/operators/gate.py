@@ -70,6 +70,23 @@ def soft_warnings(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("similarity") >= floor) & (F.col("similarity") < limit)).select("fixture", "branch", "shot_no", text.alias("warning"))
 
 
+def by_ordinal(shots: DataFrame, script: DataFrame) -> DataFrame:
+    """(fixture, branch, shot_no, expected, recognized): each recognised shot beside the script's line of the same number.
+
+    ``shots`` has fixture, branch, shot_no, text and ``script`` fixture, branch,
+    line_no, text.  A shot beyond the script's end is expected to say nothing; a
+    line without a shot gives no row.
+    """
+    said = shots.select("fixture", "branch", "shot_no", F.coalesce("text", F.lit("")).alias("recognized"))
+    lines = script.select("fixture", "branch", F.col("line_no").alias("shot_no"), F.col("text").alias("line"))
+    return said.join(lines, ["fixture", "branch", "shot_no"], "left").select("fixture", "branch", "shot_no", F.coalesce("line", F.lit("")).alias("expected"), "recognized")
+
+
+def category_sums(missing: DataFrame) -> DataFrame:
+    """(fixture, category, shots): shots of all its videos that lack a marker of the category."""
+    return missing.select("fixture", "branch", "shot_no", "category").distinct().groupBy("fixture", "category").agg(F.count("*").alias("shots"))
+
+
 def require_eligible(fixtures: DataFrame, reasons: DataFrame, path: str) -> DataFrame:
     """The fixtures, if all may be evaluated; the report is written to ``path`` in any case, then an ineligible one raises ValueError."""
     listed = reasons.groupBy("fixture").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))

@@ -7,10 +7,10 @@ import json
 from pyspark.sql import functions as F
 
 from tributary import config
-from tributary.operators import evaluate, frames, provider, validate
+from tributary.operators import evaluate, frames, gate, provider, validate
 from tributary.operators.ordered import scanned
 from tributary.plans import oracle
-from tributary.plans.queries import _flow, r6, segments
+from tributary.plans.queries import _flow, gate_lines, r6, segments
 from tributary.sources import derived, files, uploads
 
 UPLOAD_LIMIT = 8_000
@@ -106,7 +106,22 @@ def q93(f):
     return rows.select("frame", "hash", *[r6(F.col("rgb")[i]).alias(c) for i, c in enumerate("rgb")], F.array_join(F.transform("hist", lambda h: F.round(h * 3072).cast("long").cast("string")), ",").alias("hist"))
 
 
-BUILDERS = {"q88_upload_scan": q88, "q89_cache_rewrite": q89, "q90_claim_types": q90, "q91_reply_policy": q91, "q92_provider_rounds": q92, "q93_frame_features": q93}
+def q94(f):
+    """Similarity of each branch shot to BASE's line of the same number."""
+    shots = f.branch.select(F.col("merge_id").alias("fixture"), "branch", F.col("branch_index").alias("shot_no"), "text")
+    script = f.base.select(F.col("merge_id").alias("fixture"), F.explode(F.array(*map(F.lit, derived.BRANCHES))).alias("branch"), F.col("base_index").alias("line_no"), "text")
+    return gate.judged(gate.by_ordinal(shots, script)).select("fixture", "branch", "shot_no", r6("similarity").alias("similarity"))
+
+
+def q95(f):
+    return gate.category_sums(gate.missing_markers(gate_lines(f)))
+
+
+def q96(f):
+    return evaluate.false_edits(f.matches, f.script)
+
+
+BUILDERS = {"q88_upload_scan": q88, "q89_cache_rewrite": q89, "q90_claim_types": q90, "q91_reply_policy": q91, "q92_provider_rounds": q92, "q93_frame_features": q93, "q94_ordinal_gate": q94, "q95_category_sums": q95, "q96_false_edits": q96}
 
 QUERIES = {name: _flow(build) for name, build in BUILDERS.items()}
 
@@ -148,6 +163,12 @@ SELECTS = {
       CASE WHEN strlen(body) <= {UPLOAD_LIMIT} THEN substr(sha256(strlen(body)::VARCHAR || body), 1, 16) END AS content_hash, CASE WHEN strlen(body) <= {UPLOAD_LIMIT} THEN substr(sha256(body), 1, 16) END AS file_hash,
       CASE WHEN strlen(body) <= {UPLOAD_LIMIT} THEN 2 * strlen(body) ELSE 0 END::BIGINT AS bytes_read
       FROM (SELECT doc_id, coalesce(text, '') || chr(10) AS body FROM documents)""",
+    "q94_ordinal_gate": f"""SELECT fixture, branch, shot_no, round(CASE WHEN len(list_distinct(e || r)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(e, r))::DOUBLE / len(list_distinct(e || r)) END, 6) AS similarity FROM (
+      SELECT fixture, branch, shot_no, list_distinct({oracle._gate_tokens("expected")}) AS e, list_distinct({oracle._gate_tokens("recognized")}) AS r FROM (
+        SELECT r.merge_id AS fixture, r.branch, r.branch_index AS shot_no, coalesce(b.text, '') AS expected, r.text AS recognized FROM branch r LEFT JOIN base b ON b.merge_id = r.merge_id AND b.base_index = r.branch_index))""",
+    "q95_category_sums": "SELECT fixture, category, count(*) AS shots FROM (SELECT DISTINCT fixture, branch, shot_no, category FROM missing) GROUP BY ALL",
+    "q96_false_edits": """SELECT merge_id, branch, unchanged, CASE WHEN unchanged THEN coalesce(n, 0) END AS false_edits FROM (SELECT merge_id, branch, bool_and(edit = 'keep') AS unchanged FROM script GROUP BY ALL)
+      LEFT JOIN (SELECT merge_id, branch, count(*) FILTER (operation IN ('delete', 'insert', 'replace')) AS n FROM matches GROUP BY ALL) USING (merge_id, branch)""",
     "q89_cache_rewrite": f"""SELECT fingerprint, count(*) AS n, {_SAID} AS text FROM (
       SELECT fingerprint, "start", "end", CASE WHEN {_D("fingerprint", "'again'")} % 3 = 0 THEN 'again ' || text ELSE text END AS text FROM (SELECT *, video_id::VARCHAR AS fingerprint FROM segs)) GROUP BY fingerprint""",
     "q90_claim_types": f"""SELECT merge_id, claim_id, CASE WHEN d = 7 THEN 'malformed' WHEN d = 6 THEN 'blank claim id' WHEN d IN (0, 1) OR text = '' THEN 'blank meaning' WHEN d = 5 THEN 'importance' WHEN d IN (2, 3) THEN 'evidence' WHEN d = 4 THEN 'equivalents' END AS problem
