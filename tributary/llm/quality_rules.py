@@ -1,20 +1,20 @@
 """Quality rules whose cutoffs carry a guarantee on false rejections.
 
-Each rule rejects a document when a measured ratio exceeds a cutoff.  Cutoffs
-are chosen from a fixed grid on labelled documents: for every stratum, rule and
-grid value the exact binomial (Clopper-Pearson) test asks whether the share of
-good documents rejected is at most ``max_false_rejection / len(RULES)``, so the
-rules of a stratum together reject ``max_false_rejection`` of its good documents
-at most.  The error level is divided by the number of all tests (Bonferroni), so
-with probability ``1 - error`` every stratum's verdict keeps that promise.  The
-strictest cutoff that passes is used; a stratum with too few labels to prove any
-cutoff applies none.  The promise covers the fitted rules; what the fixed base
-rule rejects is reported apart by ``base_rejections``.
+A document is rejected when any of its measured ratios exceeds its stratum's
+cutoff.  Cutoffs form one nested sequence, from loose to strict, and each rejects
+all that the ones before it reject.  On the labelled good documents of a stratum
+the exact binomial (Clopper-Pearson) test asks of one cutoff after the other
+whether the share that it rejects is at most ``max_false_rejection``, and stops
+at the first that isn't proven: within a sequence in a fixed order no further
+correction is due.  The error level is divided by the number of strata
+(Bonferroni), so with probability ``1 - error`` every stratum's verdict keeps the
+promise.  With 2 % and 5 % a stratum needs 203 good documents for a verdict;
+with fewer it rejects nothing.  The promise is about documents that pass the
+fixed base rule; what that rejects is reported apart by ``base_rejections``.
 
 Everything on the main path is DataFrame expressions.  Measures are computed
 once, within the row, so no text is shuffled; strata are a fixed set of
-expressions, so the table of cutoffs has at most ``len(STRATA) * len(RULES)``
-rows.
+expressions, so the table of cutoffs has at most ``len(STRATA)`` rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, cut, let, unused, words
 
 SYMBOLS = "#*$%&|<>"
-#: Rule -> ratio column; grid of cutoffs, strictest first.
+#: Ratio columns; grid of cutoffs, strictest first.
 RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "shout_ratio")
 GRID = tuple(round(0.02 * i, 2) for i in range(1, 36))
 #: Documents are judged within their length class.
@@ -128,22 +128,21 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 
 def cutoffs(table: DataFrame, labels: DataFrame, max_false_rejection: float = 0.02, error: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest proven cutoff of each stratum and rule.
+    """(stratum, cutoff): the strictest cutoff of each stratum that its sequence proves.
 
-    ``table`` has doc_id, stratum and the ratios of every document; ids with
-    good labels teach (see ``good_labels``).
+    ``table`` has doc_id, stratum, base_failed and the ratios of every document;
+    ids with good labels that pass the base rule teach (see ``good_labels``).
     """
-    held = table.join(good_labels(labels), "doc_id", "left_semi")
-    counts = [F.count("*").alias("n")]
-    counts += [F.count_if(F.col(rule) > g).alias(f"{rule}_{i}") for rule in RULES for i, g in enumerate(GRID)]
-    per_stratum = held.groupBy("stratum").agg(*counts)
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(g).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule in RULES for i, g in enumerate(GRID)])
-    level, each_rule = error / (len(STRATA) * len(RULES) * len(GRID)), max_false_rejection / len(RULES)
-    each = per_stratum.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.rule", "t.cutoff", "t.k")
+    held = table.where(~F.col("base_failed")).join(good_labels(labels), "doc_id", "left_semi")
+    worst = F.greatest(*RULES)
+    per_stratum = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(worst > g).alias(f"k_{i}") for i, g in enumerate(GRID)])
+    tests = F.array(*[F.struct(F.lit(g).alias("cutoff"), F.col(f"k_{i}").alias("k")) for i, g in enumerate(GRID)])
+    each = per_stratum.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.cutoff", "t.k")
     # A share above the bound can't be proven below it, so the sum is short.
-    tried = each.where(F.col("k") <= F.col("n") * each_rule)
-    proven = tried.where(binomial_cdf(F.col("k"), F.col("n"), each_rule) <= level)
-    return proven.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    tried = each.where(F.col("k") <= F.col("n") * max_false_rejection)
+    proven = tried.where(binomial_cdf(F.col("k"), F.col("n"), max_false_rejection) <= error / len(STRATA))
+    # A stricter cutoff never rejects fewer, so all looser ones are proven too.
+    return proven.groupBy("stratum").agg(F.min("cutoff").alias("cutoff"))
 
 
 def base_rejections(table: DataFrame, labels: DataFrame) -> DataFrame:
@@ -157,11 +156,10 @@ def base_rejections(table: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rejected(stratum: Column, ratios: dict[str, Column], chosen: list) -> Column:
-    """True where a ratio exceeds its stratum's cutoff (a list of at most a dozen rows)."""
-    tests = [(stratum == r["stratum"]) & (ratios[r["rule"]] > F.lit(r["cutoff"])) for r in chosen]
+    """True where a ratio exceeds its stratum's cutoff (a list of one row a stratum at most)."""
     out = F.lit(False)
-    for test in tests:
-        out = out | test
+    for r in chosen:
+        out = out | ((stratum == r["stratum"]) & (F.greatest(*[ratios[k] for k in RULES]) > F.lit(r["cutoff"])))
     return out
 
 
@@ -213,7 +211,6 @@ _RATIOS = {
     "shout_ratio": "n_capitals::DOUBLE / greatest(word_chars, 1)",
 }
 
-_EACH = 0.02 / len(RULES)
 ORACLE = f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -239,21 +236,20 @@ t AS (
          CASE WHEN n_words < 200 THEN 'short' WHEN n_words < 1000 THEN 'medium' ELSE 'long' END AS stratum
   FROM m),
 r AS (
-  {" UNION ALL ".join(f"SELECT doc_id, stratum, '{k}' AS rule, {v} AS x FROM t" for k, v in _RATIOS.items())}),
+  SELECT doc_id, stratum, base_failed, greatest({", ".join(_RATIOS.values())}) AS x FROM t),
 good AS (
   SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 tried AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k
+  SELECT stratum, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k
   FROM r SEMI JOIN good USING (doc_id), (SELECT unnest([{", ".join(f"{g}::DOUBLE" for g in GRID)}]) AS cutoff)
-  GROUP BY ALL HAVING k <= n * {_EACH!r}::DOUBLE),
+  WHERE NOT base_failed GROUP BY ALL HAVING k <= n * 0.02::DOUBLE),
 tails AS (
-  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_EACH!r}::DOUBLE) + (n - j) * ln({1 - _EACH!r}::DOUBLE))) AS cdf
+  SELECT stratum, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02::DOUBLE) + (n - j) * ln(0.98::DOUBLE))) AS cdf
   FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tried) GROUP BY ALL),
 chosen AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM tails
-  WHERE cdf <= {0.05 / (len(STRATA) * len(RULES) * len(GRID))!r} GROUP BY ALL),
+  SELECT stratum, min(cutoff) AS cutoff FROM tails WHERE cdf <= {0.05 / len(STRATA)!r} GROUP BY ALL),
 bad AS (
-  SELECT DISTINCT doc_id FROM r JOIN chosen USING (stratum, rule) WHERE x > cutoff)
+  SELECT DISTINCT doc_id FROM r JOIN chosen USING (stratum) WHERE x > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND bad.doc_id IS NULL AS kept
 FROM t LEFT JOIN bad USING (doc_id)
