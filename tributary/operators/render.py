@@ -39,6 +39,23 @@ def evaluation_payload(claims: DataFrame, base: DataFrame, views: DataFrame) ->
     return rows.select("merge_id", "claim_id", "view", text.alias("payload"))
 
 
+#: Labels of an explanation request and the columns behind them, and its last line (fixed values).
+EXPLANATION_FIELDS = {
+    "claim_id": "claim_id", "claim_meaning": "meaning", "interaction": "interaction", "derivation_reason": "derivation_reason",
+    "branch_a_status": "a_status", "branch_b_status": "b_status", "combined_status": "c_status",
+}
+EXPLANATION_REQUEST = "Write the 1-3 sentence explanation and the recommended resolution."
+
+
+def explanation_payload(found: DataFrame) -> DataFrame:
+    """(merge_id, claim_id, payload): what a provider reads to explain each interaction; claims that don't interact ask for none.
+
+    ``found`` has the interactions with ``meaning`` and ``derivation_reason``; nulls are empty.
+    """
+    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit("\n")) for label, column in EXPLANATION_FIELDS.items()]
+    return found.where("interaction <> 'none'").select("merge_id", "claim_id", F.concat(*lines, F.lit(f"\n{EXPLANATION_REQUEST}")).alias("payload"))
+
+
 def evidence(rows: DataFrame) -> DataFrame:
     """Why each step got its operation, with its scores to three decimals."""
     three = lambda c: F.format_string("%.3f", F.round(F.col(c), 3))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tributary import config
-from tributary.operators import evaluate, frames, gate, provider, validate
+from tributary.operators import evaluate, frames, gate, provider, render, validate
 from tributary.operators.ordered import scanned
 from tributary.plans import oracle
 from tributary.plans.queries import _flow, gate_lines, r6, segments
@@ -121,7 +121,13 @@ def q96(f):
     return evaluate.false_edits(f.matches, f.script)
 
 
-BUILDERS = {"q88_upload_scan": q88, "q89_cache_rewrite": q89, "q90_claim_types": q90, "q91_reply_policy": q91, "q92_provider_rounds": q92, "q93_frame_features": q93, "q94_ordinal_gate": q94, "q95_category_sums": q95, "q96_false_edits": q96}
+def q97(f):
+    """Requests to explain the claims that the two edits destroy together."""
+    said = f.claims.join(f.base.select("merge_id", "base_index", F.col("text").alias("meaning")), ["merge_id", "base_index"]).select("merge_id", "claim_id", "meaning")
+    return render.explanation_payload(f.interactions.join(said, ["merge_id", "claim_id"]).withColumn("derivation_reason", F.col("rule_id")))
+
+
+BUILDERS = {"q88_upload_scan": q88, "q89_cache_rewrite": q89, "q90_claim_types": q90, "q91_reply_policy": q91, "q92_provider_rounds": q92, "q93_frame_features": q93, "q94_ordinal_gate": q94, "q95_category_sums": q95, "q96_false_edits": q96, "q97_explanation_payload": q97}
 
 QUERIES = {name: _flow(build) for name, build in BUILDERS.items()}
 
@@ -166,6 +172,8 @@ SELECTS = {
     "q94_ordinal_gate": f"""SELECT fixture, branch, shot_no, round(CASE WHEN len(list_distinct(e || r)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(e, r))::DOUBLE / len(list_distinct(e || r)) END, 6) AS similarity FROM (
       SELECT fixture, branch, shot_no, list_distinct({oracle._gate_tokens("expected")}) AS e, list_distinct({oracle._gate_tokens("recognized")}) AS r FROM (
         SELECT r.merge_id AS fixture, r.branch, r.branch_index AS shot_no, coalesce(b.text, '') AS expected, r.text AS recognized FROM branch r LEFT JOIN base b ON b.merge_id = r.merge_id AND b.base_index = r.branch_index))""",
+    "q97_explanation_payload": f"""SELECT i.merge_id, i.claim_id, {" || ".join(f"'{label}: ' || coalesce({column}, '') || chr(10)" for label, column in {**render.EXPLANATION_FIELDS, "claim_id": "i.claim_id", "claim_meaning": "b.text", "derivation_reason": "rule_id"}.items())} || chr(10) || '{render.EXPLANATION_REQUEST}' AS payload
+      FROM interactions i JOIN claims c ON c.merge_id = i.merge_id AND c.claim_id = i.claim_id JOIN base b ON b.merge_id = c.merge_id AND b.base_index = c.base_index WHERE interaction <> 'none'""",
     "q95_category_sums": "SELECT fixture, category, count(*) AS shots FROM (SELECT DISTINCT fixture, branch, shot_no, category FROM missing) GROUP BY ALL",
     "q96_false_edits": """SELECT merge_id, branch, unchanged, CASE WHEN unchanged THEN coalesce(n, 0) END AS false_edits FROM (SELECT merge_id, branch, bool_and(edit = 'keep') AS unchanged FROM script GROUP BY ALL)
       LEFT JOIN (SELECT merge_id, branch, count(*) FILTER (operation IN ('delete', 'insert', 'replace')) AS n FROM matches GROUP BY ALL) USING (merge_id, branch)""",
