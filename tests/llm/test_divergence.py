@@ -77,6 +77,12 @@ def test_odd_rows_and_several_vectorizers(spark, odd, vocabulary):
     assert ("xx", "alone", "pair", "other", 0, 1) in got
 
 
+def test_many_groups_are_keyed_by_their_names(spark, odd, monkeypatch):
+    monkeypatch.setattr(divergence, "GROUPS", 3)
+    df = spark.createDataFrame(odd, "text string, lang string, source string")
+    assert rows(divergence.audit(df)) == dense(odd)
+
+
 def test_empty_table(spark, odd):
     df = spark.createDataFrame(odd, "text string, lang string, source string")
     assert divergence.audit(df.where(F.lit(False))).count() == 0

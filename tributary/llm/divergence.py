@@ -32,6 +32,8 @@ from .common import cut, shared_folder
 
 #: Most terms in one vectorizer's vocabulary.
 VOCABULARY = 1_000_000
+#: Most groups that are broadcast to number the documents' groups; beyond, sums are keyed by the names.
+GROUPS = 100_000
 MIN_DF = 10
 TOP_TERMS = 10
 SALT = 16
@@ -68,6 +70,22 @@ def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
 
 
+def _summed(vectors: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """(lang, source, index, n): the stored entries of the vectors (lang, source, v) added up by group.
+
+    ``groups`` has lang, source, number.  Where they are few, a group's number
+    and an index make one whole number, the cheapest key there is.
+    """
+    entry = F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")
+    n = F.sum(F.col("e.values").cast("long")).alias("n")
+    if not few:
+        return vectors.select("lang", "source", entry).groupBy("lang", "source", F.col("e.indices").alias("index")).agg(n)
+    key = (F.shiftleft("number", 32) + F.col("e.indices")).alias("key")
+    sums = vectors.join(F.broadcast(groups), ["lang", "source"]).select("number", entry).groupBy(key).agg(n)
+    sums = sums.select(F.shiftright("key", 32).alias("number"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int").alias("index"), "n")
+    return sums.join(F.broadcast(groups), "number").select("lang", "source", "index", "n")
+
+
 def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups (lang, source); kept terms (lang, shard, index, term); occurrences (lang, source, shard, index, n).
 
@@ -77,6 +95,10 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABU
     """
     spark, held = docs.sparkSession, bags(docs)
     groups = cut(docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct())
+    numbers, few = None, groups.count() <= GROUPS
+    if few:
+        names = sorted((r.lang, r.source) for r in groups.collect())
+        numbers = spark.createDataFrame([(*k, i) for i, k in enumerate(names)], "lang string, source string, number long")
     frequent = held.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").count().where(F.col("count") >= min_df)
     frequent = cut(frequent.select("lang", "term", F.array("term").alias("terms")))
     # Hashed shards are uneven, so they are made for half the bound.
@@ -90,8 +112,7 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABU
         model = CountVectorizer(inputCol="terms", outputCol="v", minDF=1.0, vocabSize=2**31 - 1).fit(own.select("terms").distinct())
         kept = cut(model.transform(own).select("lang", F.lit(shard).alias("shard"), F.unwrap_udt("v")["indices"][0].alias("index"), "term"))
         vectors = model.transform(bag).select("lang", "source", F.unwrap_udt("v").alias("v"))
-        entries = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-        summed = entries.groupBy("lang", "source", F.lit(shard).alias("shard"), F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
+        summed = _summed(vectors, numbers, few).withColumn("shard", F.lit(shard))
         words.append(kept)
         counts.append(cut(summed.join(kept.select("lang", "shard", "index"), ["lang", "shard", "index"], "left_semi").select("lang", "source", "shard", "index", "n")))
     if not words:
