@@ -53,6 +53,28 @@ def test_runs_as_the_library(text):
 test_runs_as_the_library.pair = (tf.LibraryEncoder(PATH), Tokenizer.from_file(PATH))
 
 
+def test_runs_are_learnt_in_parts_and_forgotten_but_for_the_frequent(library, monkeypatch):
+    monkeypatch.setattr(tf, "LEARNT", 7)
+    own = tf.LibraryEncoder(PATH, limit=60)
+    asked, batch = [], own.library.encode_batch_fast
+
+    class Watched:
+        model = own.library.model
+
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return batch(texts, **options)
+
+    own.library = Watched()
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = ["the é a1 " + " ".join("".join(rng.choices("abcé,;", k=5)) for _ in range(20)) for _ in range(2)]
+        assert [e.tolist() for e in own.encode([t.encode() for t in texts])] == [plain(library, t) for t in texts]
+        assert len(own.codes) <= 60 + 2 * 40
+    assert max(asked) <= 7
+    assert {b"the", "é".encode()} <= set(own.codes)  # met in every call, so never forgotten
+
+
 def stored(doc_ids, documents):
     sink = pa.BufferOutputStream()
     tf.write_file(sink, doc_ids, [np.array(d, np.uint32) for d in documents])

@@ -216,7 +216,9 @@ class _Writer(DataSourceArrowWriter):
             lists = batch.column(batch.schema.get_field_index("ids"))
             lists = lists.fill_null([]) if lists.null_count else lists
             bounds = np.asarray(lists.offsets)
-            values = np.asarray(lists.values.cast(pa.int64())).astype(np.uint32)
+            # Ids of 32 bits are taken as they stand, without copies of the whole batch.
+            short = lists.type.value_type in (pa.int32(), pa.uint32()) and not lists.values.null_count
+            values = np.asarray(lists.values).view(np.uint32) if short else np.asarray(lists.values.cast(pa.int64())).astype(np.uint32)
             for row, doc_id in enumerate(batch.column(batch.schema.get_field_index("doc_id")).to_pylist()):
                 ids.append(doc_id)
                 documents.append(values[bounds[row] : bounds[row + 1]].copy())
@@ -297,6 +299,8 @@ class TokenCodes(DataSource):
 
 # Encoding -------------------------------------------------------------------
 
+#: Most runs that the library is asked for at once.
+LEARNT = 4096
 #: A-Z lower-cased and line breaks and tabs as spaces: nothing else that the library folds is touched.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 13) else b for b in range(256)], np.uint8)
 #: Kind of a folded byte: 1 a-z, 2 digit, 3 ASCII mark but the apostrophe (which may belong to the word beside it), 0 anything else.
@@ -316,7 +320,8 @@ def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Codes(dict):
     """Numbers of white-space free runs; new ones are listed in ``fresh``."""
 
-    def __init__(self):
+    def __init__(self, known=()):
+        super().__init__(known)
         self.fresh = []
 
     def __missing__(self, run: bytes) -> int:
@@ -330,11 +335,11 @@ class LibraryEncoder:
 
     Exact for files whose pipeline folds and drops white space, lower-cases, and
     whose pieces are single digits and runs of letters or of marks; for others
-    whole texts go to the library, as do texts with a special token.  Runs are
-    forgotten beyond ``limit`` of them.
+    whole texts go to the library, as do texts with a special token.  Beyond
+    ``limit`` runs those met in one call alone are forgotten, and half at least.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -351,34 +356,54 @@ class LibraryEncoder:
         self.by_runs = bool(folds and parted and plain)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.limit = limit
-        self._forget()
+        self.codes, self.used = _Codes(), 0
+        self.starts, self.sizes, self.met = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.flat = np.zeros(1 << 18, np.uint32)
 
     def _forget(self) -> None:
-        self.codes, self.used = _Codes(), 0
-        self.starts, self.sizes, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        """Keep the runs met in several calls, those met most where they are many."""
+        n, most = len(self.codes), self.limit // 2
+        kept = np.flatnonzero(self.met[:n] > 1)
+        kept = kept[self.sizes[kept] <= 16]
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[:most]])
+        runs, sizes = list(self.codes), self.sizes[kept]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        self.codes = _Codes((runs[k], code) for code, k in enumerate(kept.tolist()))
+        self.used = int(sizes.sum())
+        flat = self.flat[np.repeat(self.starts[kept] - starts, sizes) + np.arange(self.used)]
+        met = self.met[kept] // 2
+        self.starts, self.sizes, self.met = (np.zeros(max(1 << 16, len(kept)), np.int32) for _ in range(3))
+        self.flat = np.zeros(max(1 << 18, self.used), np.uint32)
+        self.starts[: len(kept)], self.sizes[: len(kept)], self.met[: len(kept)], self.flat[: self.used] = starts, sizes, met, flat
 
     def _learn(self) -> None:
         """Ids of the fresh runs."""
         fresh, first = self.codes.fresh, len(self.codes) - len(self.codes.fresh)
         if not fresh:
             return
+        for at in range(0, len(fresh), LEARNT):
+            self._note(fresh[at : at + LEARNT], first + at)
+        fresh.clear()
+
+    def _note(self, runs: list[bytes], first: int) -> None:
+        """Ids of some runs, numbered from ``first``: few at a time, as the library's answers are large."""
         # A word of a to z is one piece as it stands, so it needs the model alone.
         tokenize = self.library.model.tokenize
-        ids = [[t.id for t in tokenize(run.decode())] if run.isalpha() else None for run in fresh]
+        ids = [[t.id for t in tokenize(run.decode())] if run.isalpha() else None for run in runs]
         rest = [k for k, found in enumerate(ids) if found is None]
-        for k, found in zip(rest, self.library.encode_batch_fast([fresh[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)):
+        for k, found in zip(rest, self.library.encode_batch_fast([runs[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)):
             ids[k] = found.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         while first + len(ids) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.sizes[first : first + len(ids)] = sizes
         self.starts[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.used += total
-        fresh.clear()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text as unsigned 32-bit numbers."""
@@ -403,9 +428,10 @@ class LibraryEncoder:
         raw, places = raw.tobytes(), places.tolist()
         codes = np.fromiter(map(self.codes.__getitem__, [raw[a:b] for a, b in zip(places, places[1:])]), np.int64, len(runs.dictionary))
         self._learn()
+        self.met[codes] += 1
         at, ends = codes[np.asarray(runs.indices)], np.asarray(split.offsets)
         sizes = self.sizes[at]
-        places = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        places = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
         flat = self.flat[np.repeat(self.starts[at] - places[:-1], sizes) + np.arange(places[-1])]
         cuts = places[ends]
         for row in range(len(out)):
@@ -433,7 +459,7 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int | None = 1) ->
         own = _encoder(path)
         close = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 data, offsets = text_bytes(part.column(1))
                 found = own.encode_bytes(data, offsets)
                 bounds = np.cumsum([0] + [len(f) + len(close) for f in found]).astype(np.int32)
