@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -111,3 +112,32 @@ def test_many_spans_in_one_text(spark):
     want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"a\d+@b\.cd", text)] + [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"(?<=cd )[\d.]+", text)]
     assert r.spans.split(",") == want
     assert pii_sanitise.redact(docs).first().text == " ".join(["[EMAIL] [IP] w"] * 3000)
+
+
+def test_mixing_fit_needs_little_memory_and_gives_the_plain_scores():
+    rng = np.random.default_rng(3)
+    n, size, k = 400, 1000, 3
+    domain = rng.integers(0, k, n)
+    raw = [np.sort((rng.zipf(1.3, size) + 40 * d) % mixing.BUCKETS) for d in domain]
+    rows = [np.unique(r, return_counts=True) for r in raw]
+    buckets, times = (np.concatenate([r[i] for r in rows]).astype(np.int32) for i in (0, 1))
+    bounds = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
+    dense = rng.normal(0, 1, (n, mixing.DENSE))
+    # One step of the plain form, over every word of every row.
+    model = mixing.fit(domain, ("a", "b", "c"), buckets, times, bounds, dense, epochs=1)
+    g = (np.full((n, k), 1 / k) - np.eye(k)[domain]) / n
+    plain = np.zeros((mixing.BUCKETS, k))
+    for row, r in enumerate(raw):
+        np.add.at(plain, r, g[row] * size**-mixing.DAMPING)
+    held = np.bincount(buckets, minlength=mixing.BUCKETS)
+    assert not model.words[held < 5].any()
+    clear = (held >= 5)[:, None] & (np.abs(plain) > 1e-5)
+    assert clear.sum() > 100 and (np.sign(model.words[clear]) == -np.sign(plain[clear])).all()
+    tracemalloc.start()
+    model = mixing.fit(domain, ("a", "b", "c"), buckets, times, bounds, dense, epochs=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The parameters of all buckets, and 60 bytes an entry: less than the words of the rows themselves took.
+    assert peak < 14 * 8 * k * len(np.unique(buckets)) + 8 * k * mixing.BUCKETS + 8 * mixing.BUCKETS * 2 + 60 * len(buckets) + (1 << 20)
+    s = mixing.logits(np.concatenate(raw), np.arange(n + 1) * size, dense, model)
+    assert (s.argmax(1) == domain).mean() > 0.9

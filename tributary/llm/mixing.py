@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -114,31 +115,37 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def fit(domain: np.ndarray, domains: tuple[str, ...], buckets, bounds, dense, epochs: int = 150, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 5) -> Classifier:
-    """Softmax regression by Adam with a proximal step that keeps rare words at zero."""
+def fit(domain: np.ndarray, domains: tuple[str, ...], buckets, times, bounds, dense, epochs: int = 150, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 5) -> Classifier:
+    """Softmax regression by Adam with a proximal step that keeps rare words at zero.
+
+    A row has its distinct word buckets and how many ``times`` it holds each.
+    One domain's sums are made at a time, so a step needs little more than the
+    entries themselves.
+    """
     k = len(domains)
     words, wide, bias = np.zeros((BUCKETS, k)), np.zeros((DENSE, k)), np.zeros(k)
     if not len(domain):
         return Classifier(domains, words, wide, bias)
-    row = np.repeat(np.arange(len(domain)), np.diff(bounds))
-    pairs = np.unique(row * BUCKETS + buckets)
-    common = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= min_docs
+    common = np.bincount(buckets, minlength=BUCKETS) >= min_docs
     used = common[buckets]
     # Only the words in use carry weights while training.
     columns = np.flatnonzero(common)
-    place = np.cumsum(common) - 1
-    own, own_row = place[buckets[used]], row[used]
-    scale = np.maximum(np.diff(bounds), 1.0) ** -DAMPING
-    starts = np.searchsorted(own_row, np.arange(len(domain) + 1))
+    own = (np.cumsum(common) - 1)[buckets[used]]
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(used)])[bounds]
+    sizes = np.diff(starts)
+    # Each entry's share in its row's score: its times by the row's damped number of words.
+    share = times[used] * np.repeat(np.maximum(segment_sums(times, bounds), 1.0) ** -DAMPING, sizes)
+    del used
     truth = np.eye(k)[domain]
     params = [np.zeros((len(columns), k)), wide, bias]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, epochs + 1):
-        s = segment_sums(params[0][own], starts) * scale[:, None] + dense @ params[1] + params[2]
+        s = dense @ params[1] + params[2]
+        for c in range(k):
+            s[:, c] += segment_sums(params[0][:, c][own] * share, starts)
         g = (softmax(s) - truth) / len(domain)
-        weighted = (g * scale[:, None])[own_row]
-        gradient = [np.stack([np.bincount(own, weighted[:, c], len(columns)) for c in range(k)], 1), dense.T @ g, g.sum(0)]
-        for i, x in enumerate(gradient):
+        by_word = np.stack([np.bincount(own, np.repeat(g[:, c], sizes) * share, len(columns)) for c in range(k)], 1)
+        for i, x in enumerate([by_word, dense.T @ g, g.sum(0)]):
             first[i] = 0.9 * first[i] + 0.1 * x
             second[i] = 0.98 * second[i] + 0.02 * x * x
             root = np.sqrt(second[i] / (1 - 0.98**step)) + 1e-7
@@ -159,17 +166,21 @@ def train(sample: DataFrame, domains: tuple[str, ...], **options) -> Classifier:
             for part in pieces(batch, "text"):
                 data, offsets = text_bytes(part.column(3))
                 buckets, bounds, dense, _ = measures(data, offsets)
-                lists = [buckets[bounds[i] : bounds[i + 1]] for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lists, pa.list_(pa.int32())), pa.array(list(dense), pa.list_(pa.float64()))], ["draw", "doc_id", "domain", "words", "dense"])
+                row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                entries, times = np.unique(row * BUCKETS + buckets, return_counts=True)
+                ends = pa.array(np.searchsorted(entries, np.arange(part.num_rows + 1) * BUCKETS).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (entries % BUCKETS, times)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists, pa.array(list(dense), pa.list_(pa.float64()))], ["draw", "doc_id", "domain", "words", "times", "dense"])
 
     known = sample.where(F.col("domain").isin(*domains)).select("draw", "doc_id", "domain", F.col("text").cast("string").alias("text"))
-    table = known.mapInArrow(run, "draw long, doc_id long, domain string, words array<int>, dense array<double>").toArrow()
-    table = table.sort_by([("draw", "ascending"), ("doc_id", "ascending")])
+    table = known.mapInArrow(run, "draw long, doc_id long, domain string, words array<int>, times array<int>, dense array<double>").toArrow()
+    table = table.sort_by([("draw", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     domain = np.array([domains.index(x) for x in table.column("domain").to_pylist()], np.int64)
-    words = table.column("words").combine_chunks()
-    lengths = np.array([len(x) for x in words], np.int64)
     dense = np.array(table.column("dense").to_pylist(), np.float64).reshape(-1, DENSE)
-    return fit(domain, domains, words.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), dense, **options)
+    sizes = pc.list_value_length(table.column("words")).to_numpy().astype(np.int64)
+    buckets, times = (pc.list_flatten(table.column(c)).to_numpy() for c in ("words", "times"))
+    del table
+    return fit(domain, domains, buckets, times, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]), dense, **options)
 
 
 def posteriors(docs: DataFrame, model: Classifier, n_tokens: str = "n_tokens", p: str = "p") -> DataFrame:
