@@ -86,3 +86,20 @@ def test_many_groups_are_keyed_by_their_names(spark, odd, monkeypatch):
 def test_empty_table(spark, odd):
     df = spark.createDataFrame(odd, "text string, lang string, source string")
     assert divergence.audit(df.where(F.lit(False))).count() == 0
+
+
+def test_document_counts_are_those_of_the_bags(spark, odd):
+    odd = odd + [("Ééa ABC-İ\u2028x\x7fy\x80z abc", "en", "s0"), ("the é" * 3, None, "s1"), (" ", "de", None)]
+    df = spark.createDataFrame(odd, "text string, lang string, source string").repartition(3)
+    got = df.transform(divergence.document_counts).groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    want = Counter((lang or "", t) for text, lang, _ in odd for t in set(TERM.findall((text or "").translate(UPPER))))
+    assert {(r.lang, r.term): r.n for r in got.collect()} == dict(want)
+    bagged = divergence.bags(df).select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").count()
+    assert {(r.lang, r.term): r["count"] for r in bagged.collect()} == dict(want)
+
+
+def test_all_rows_as_sql_on_a_larger_table(spark):
+    larger = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{larger}/documents.parquet'")
+    assert rows(divergence.op11_source_divergence(spark, larger)) == sorted(con.sql(divergence.ORACLE).fetchall())

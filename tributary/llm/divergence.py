@@ -23,12 +23,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder
+from .common import LETTER, LOWER, cut, pieces, shared_folder, text_bytes
 
 #: Most terms in one vectorizer's vocabulary.
 VOCABULARY = 1_000_000
@@ -39,6 +42,8 @@ TOP_TERMS = 10
 SALT = 16
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A-Z lower-cased, and bytes that end a term as spaces.
+_TERM = np.where(LETTER, LOWER, 32).astype(np.uint8)
 _ENDS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -53,6 +58,28 @@ def bags(docs: DataFrame) -> DataFrame:
     return read.select("lang", "source", F.array_remove(F.split(small, _ENDS), "").alias("terms"))
 
 
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(lang, term, n): documents that hold a term, counted within some of a task's documents; the terms are those of ``bags``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 4 << 20):
+                data, offsets = text_bytes(part.column(1))
+                texts = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(_TERM[data])])
+                split = pc.split_pattern(texts, b" ")
+                found, langs = split.values.dictionary_encode(), part.column(0).dictionary_encode()
+                terms, size = found.dictionary, max(1, len(found.dictionary))
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(split.offsets)))
+                held = np.unique(row * size + np.asarray(found.indices))
+                own, n = np.unique(np.asarray(langs.indices).astype(np.int64)[held // size] * size + held % size, return_counts=True)
+                filled = pc.binary_length(terms).to_numpy()[own % size] > 0
+                own, n = own[filled], n[filled]
+                term = terms.take(pa.array(own % size)).cast(pa.binary()).view(pa.string())
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(own // size)), term, pa.array(n.astype(np.int64))], ["lang", "term", "n"])
+
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "text")]).mapInArrow(run, "lang string, term string, n long")
+
+
 def _dealt(held: DataFrame, shards: int) -> list[DataFrame]:
     """The bags, one table for each vectorizer: a document's terms of each shard, by their hash."""
     if shards == 1:
@@ -99,7 +126,7 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABU
     if few:
         names = sorted((r.lang, r.source) for r in groups.collect())
         numbers = spark.createDataFrame([(*k, i) for i, k in enumerate(names)], "lang string, source string, number long")
-    frequent = held.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").count().where(F.col("count") >= min_df)
+    frequent = document_counts(docs).groupBy("lang", "term").agg(F.sum("n").alias("count")).where(F.col("count") >= min_df)
     frequent = cut(frequent.select("lang", "term", F.array("term").alias("terms")))
     # Hashed shards are uneven, so they are made for half the bound.
     n = frequent.select("term").distinct().count()
