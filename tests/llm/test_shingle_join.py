@@ -1,8 +1,14 @@
 """The pipeline's near-duplicate stage against the Jaccard similarity of all pairs."""
 
 import itertools
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tributary.llm import shingle_join
+from tributary.llm.common import among
 
 SF = "/root/testdata/sf0.01"
 
@@ -53,3 +59,45 @@ def test_stage_at_the_threshold(spark):
     want, near = survivors(rows)
     assert near >= 12 and len(want) < len(rows) - 12
     assert stage(spark, rows) == sorted(want)
+
+
+def test_texts_of_unlike_long_candidates_are_not_read(spark, monkeypatch):
+    """Long texts with half of their shingles in common share rare ones; their parities tell before the texts are fetched."""
+    rng = random.Random(3)
+    words = [[f"{c}{rng.random()}" for _ in range(900)] for c in "abcdefgh"]
+    common = [f"z{rng.random()}" for _ in range(1800)]
+    rows = [(i, " ".join(common + w)) for i, w in enumerate(words)]
+    rows += [(20, " ".join(common + words[0][:-20])), (21, "short"), (22, None)]
+    fetched, cut = [], shingle_join.cut
+
+    def counted(df):
+        out = cut(df)
+        fetched.append(out.count() if "text" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(shingle_join, "cut", counted)
+    want, near = survivors(rows)
+    assert near == 1
+    assert stage(spark, rows) == sorted(want)
+    assert max(fetched) == 2
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    a, b = (np.unique(rng.integers(0, 1 << 56, 3000)) for _ in range(2))
+    b = np.unique(np.concatenate([b[:500], a[:2500]]))
+    row, key = np.repeat([0, 1, 2], [len(a), len(b), 5]), np.concatenate([a, b, a[:5]])
+    n = np.bincount(row)
+    wide = shingle_join.wide_parities(row, key, n).to_pylist()
+    unlike = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(wide[0], wide[1]))
+    assert 500 < unlike <= len(np.setxor1d(a, b)) and wide[2] == []
+
+
+def test_among_keeps_all_wanted_and_few_others(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") * 7).alias("marks"))
+    wanted = spark.range(0, 20_000, 50).select(F.col("id").alias("k"), (F.col("id") * 7).alias("m"))
+    got = {tuple(r) for r in among(rows, ["doc_id", "marks"], wanted, ["k", "m"]).collect()}
+    want = {tuple(r) for r in wanted.collect()}
+    assert want <= got and len(got) < 1000
+    assert among(rows, ["doc_id"], wanted.limit(0), ["k"]).count() == 0
+    assert {i for i, _ in want} <= {r.doc_id for r in among(rows, ["doc_id"], wanted, ["k"], most_bits=1 << 15).collect()}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, cut, discard, pieces, span_hashes, text_bytes
+from .common import LOWER, SPACES, among, cut, discard, pieces, span_hashes, text_bytes
 
 SPACE = np.zeros(256, bool)
 SPACE[list(SPACES.encode())] = True
@@ -141,21 +141,37 @@ def set_prints(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
 
 
 PARITY = ("p0", "p1", "p2", "p3")
+#: Bits of the parities of a set with more than WIDE_FROM keys, for which 256 tell little.
+WIDE_BITS, WIDE_FROM = 2048, 128
 
 
-def set_parities(row: np.ndarray, key: np.ndarray, rows: int) -> list[np.ndarray]:
-    """256 bits of each row's set, each the parity of the keys that fall on it, in four integers.
+def _parities(row: np.ndarray, key: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """``bits`` bits (a power of two) of each row's set, each the parity of the keys that fall on it, as integers.
 
     Two sets differ in at least as many keys as their parities in bits.
     """
-    bit = (_mixed(key.view(np.uint64) & np.uint64((1 << HASH_BITS) - 1)) >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(row * 256 + bit, minlength=rows * 256) & 1).astype(np.uint8).reshape(rows, 256)
-    packed = np.packbits(odd, axis=1).view(np.int64).reshape(rows, 4)
+    bit = (_mixed(key.view(np.uint64) & np.uint64((1 << HASH_BITS) - 1)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    odd = (np.bincount(row * bits + bit, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(odd, axis=1).view(np.int64).reshape(rows, bits // 64)
+
+
+def set_parities(row: np.ndarray, key: np.ndarray, rows: int) -> list[np.ndarray]:
+    """256 bits of each row's set in four integers."""
+    packed = _parities(row, key, rows, 256)
     return [np.ascontiguousarray(packed[:, i]) for i in range(4)]
 
 
+def wide_parities(row: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """More bits of each large set; an empty list for the others."""
+    large = n > WIDE_FROM
+    number, own = np.cumsum(large) - 1, large[row]
+    packed = _parities(number[row[own]], key[own], int(large.sum()), WIDE_BITS)
+    bounds = np.concatenate([[0], np.cumsum(large * packed.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(packed.ravel()))
+
+
 def classes(docs: DataFrame, similarity: float, shingle: int, sample_size: int = 8192) -> DataFrame:
-    """(digest, first, n, fp, prefix, p0 to p3) of each distinct shingle set; ``first`` is its least (doc_id, text_hash)."""
+    """(digest, first, n, fp, prefix, wide, p0 to p3) of each distinct shingle set; ``first`` is its least (doc_id, text_hash)."""
     num, den = _ratio(similarity)
     frequent = frequent_shingles(docs, shingle, sample_size)
 
@@ -168,21 +184,37 @@ def classes(docs: DataFrame, similarity: float, shingle: int, sample_size: int =
                 kept = key[np.arange(len(key)) - first[row] < length[row]]
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prints = set_prints(row, key, part.num_rows).view(np.int64)
-                arrays = [part.column(0), part.column(1), pa.array(digest), pa.array(n.astype(np.int32)), pa.array(prints), pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept))]
+                arrays = [part.column(0), part.column(1), pa.array(digest), pa.array(n.astype(np.int32)), pa.array(prints), pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept)), wide_parities(row, key, n)]
                 arrays += [pa.array(x) for x in set_parities(row, key, part.num_rows)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "digest", "n", "fp", "prefix", *PARITY])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "digest", "n", "fp", "prefix", "wide", *PARITY])
+
+    sets = _rows(docs).mapInArrow(run, "doc_id long, text_hash long, digest long, n int, fp long, prefix array<long>, wide array<long>, p0 long, p1 long, p2 long, p3 long")
+    return sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "wide", *PARITY)])
+
+
+def _near(unlike, both, num: int, den: int):
+    """Whether sets with ``both`` keys in all that differ in ``unlike`` at least can have the similarity."""
+    return (both - unlike) * (num + den) >= 2 * num * both
+
 
-    sets = _rows(docs).mapInArrow(run, "doc_id long, text_hash long, digest long, n int, fp long, prefix array<long>, p0 long, p1 long, p2 long, p3 long")
-    return sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", *PARITY)])
+def likely(classes: DataFrame, listed: DataFrame, similarity: float) -> DataFrame:
+    """The rows (node, root) of ``listed`` that the wide parities leave; no pair with the similarity is left out."""
+    ends = listed.select(F.explode(F.array("node", "root")).alias("end"))
+    sets = among(classes.select("digest", "n", "wide"), ["digest"], ends, ["end"])
+    met = listed.join(sets.toDF("node", "a", "left"), "node").join(sets.toDF("root", "b", "right"), "root")
+    unlike = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = _near(unlike, (F.col("a") + F.col("b")).cast("long"), *_ratio(similarity))
+    return met.where((F.size("left") != F.size("right")) | near).select("node", "root")
 
 
 def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The rows (node, root) of ``candidates`` whose texts have the similarity, by their shingles as text; written once."""
     num, den = _ratio(similarity)
-    wanted = cut(candidates.select("node", "root").distinct())
+    listed = cut(candidates.select("node", "root").distinct())
+    wanted = cut(likely(classes, listed, similarity))
     named = wanted.select(F.explode(F.array("node", "root")).alias("digest")).distinct().join(classes.select("digest", "first"), "digest")
     named = cut(named.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")))
-    rows = _rows(docs)
+    rows = among(_rows(docs), ["doc_id", "text_hash"], named, ["first_id", "first_hash"])
     same = (rows["doc_id"] == named["first_id"]) & (rows["text_hash"] == named["first_hash"])
     texts = cut(rows.join(named, same).select("digest", "text").dropDuplicates(["digest"]))
 
@@ -201,7 +233,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similar
 
     joined = wanted.join(texts.toDF("node", "left_text"), "node").join(texts.toDF("root", "right_text"), "root")
     out = cut(joined.select("node", "root", "left_text", "right_text").mapInArrow(compared, "node long, root long"))
-    discard(wanted, named, texts)
+    discard(listed, wanted, named, texts)
     return out
 
 
@@ -231,7 +263,7 @@ def _may_link(num: int, den: int):
     enough = shared.cast("long") * (num + den) >= (F.col("a.n") + F.col("b.n")).cast("long") * num
     both = (F.col("a.n") + F.col("b.n")).cast("long")
     unlike = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITY), F.lit(0))
-    close = (both - unlike) * (num + den) >= 2 * num * both
+    close = _near(unlike, both, num, den)
     return (F.col("a.comp") != F.col("b.comp")) & least & enough & close
 
 
