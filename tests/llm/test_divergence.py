@@ -103,3 +103,17 @@ def test_all_rows_as_sql_on_a_larger_table(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{larger}/documents.parquet'")
     assert rows(divergence.op11_source_divergence(spark, larger)) == sorted(con.sql(divergence.ORACLE).fetchall())
+
+
+@pytest.mark.parametrize("most", [divergence.GROUPS, 3])
+def test_one_pass_counts_documents_and_occurrences_of_each_group(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(divergence, "GROUPS", most)
+    df = spark.createDataFrame(odd, "text string, lang string, source string").repartition(3)
+    groups = df.selectExpr("coalesce(lang, '') lang", "coalesce(source, '') source").distinct()
+    documents, occurrences = Counter(), Counter()
+    for text, lang, source in odd:
+        found = [(lang or "", source or "", t) for t in TERM.findall((text or "").translate(UPPER))]
+        documents.update(set(found))
+        occurrences.update(found)
+    got = divergence.term_counts(df, groups).collect()
+    assert {tuple(r)[:3]: (r.documents, r.n) for r in got} == {k: (n, occurrences[k]) for k, n in documents.items()} and len(got) == len(documents)

@@ -1,9 +1,9 @@
 """Audit of how far the sources of a language diverge in their words.
 
-Per lang, MLlib's CountVectorizer turns each document into an exact sparse
-vector over all terms in at least minDF of the lang's documents (no vocabSize
-cuts them); the vectors are summed by (lang, source), and the sums feed an exact
-evaluation of all source pairs that touches stored entries alone.
+One pass counts each group's terms, by documents and by occurrences.  Per lang,
+MLlib's CountVectorizer turns each group's bags into exact sparse vectors over all
+terms in at least minDF of the lang's documents (no vocabSize cuts them), which
+feed an exact evaluation of all source pairs that touches stored entries alone.
 
 A vectorizer's vocabulary goes through the driver.  A fit on the texts would
 bring it there whatever its size, so document frequencies are counted first and
@@ -20,7 +20,6 @@ values and how often each occurs.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LETTER, LOWER, cut, pieces, shared_folder, text_bytes
+from .common import LETTER, LOWER, cut, pieces, text_bytes
 
 #: Most terms in one vectorizer's vocabulary.
 VOCABULARY = 1_000_000
@@ -58,59 +57,63 @@ def bags(docs: DataFrame) -> DataFrame:
     return read.select("lang", "source", F.array_remove(F.split(small, _ENDS), "").alias("terms"))
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """(lang, term, n): documents that hold a term, counted within some of a task's documents; the terms are those of ``bags``."""
+def document_counts(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """(*keys, term, n, occurrences): documents that hold a term, and how often they do, within some of a task's documents.
+
+    The terms are those of ``bags``.
+    """
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
-                data, offsets = text_bytes(part.column(1))
+                data, offsets = text_bytes(part.column(len(keys)))
                 texts = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(_TERM[data])])
                 split = pc.split_pattern(texts, b" ")
-                found, langs = split.values.dictionary_encode(), part.column(0).dictionary_encode()
+                found, group = split.values.dictionary_encode(), np.zeros(part.num_rows, np.int64)
+                for column in part.columns[: len(keys)]:
+                    named = column.dictionary_encode()
+                    group = group * len(named.dictionary) + np.asarray(named.indices)
+                _, first, group = np.unique(group, return_index=True, return_inverse=True)
                 terms, size = found.dictionary, max(1, len(found.dictionary))
                 row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(split.offsets)))
-                held = np.unique(row * size + np.asarray(found.indices))
-                own, n = np.unique(np.asarray(langs.indices).astype(np.int64)[held // size] * size + held % size, return_counts=True)
+                held, times = np.unique(row * size + np.asarray(found.indices), return_counts=True)
+                held = group[held // size] * size + held % size
+                order = np.argsort(held, kind="stable")
+                held, times = held[order], times[order]
+                starts = np.flatnonzero(np.diff(held, prepend=-1))
+                own, n = held[starts], np.diff(starts, append=len(held))
+                occurrences = np.add.reduceat(times, starts) if len(starts) else times
                 filled = pc.binary_length(terms).to_numpy()[own % size] > 0
-                own, n = own[filled], n[filled]
+                own, n, occurrences = own[filled], n[filled], occurrences[filled]
+                at = pa.array(first[own // size])
                 term = terms.take(pa.array(own % size)).cast(pa.binary()).view(pa.string())
-                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(own // size)), term, pa.array(n.astype(np.int64))], ["lang", "term", "n"])
-
-    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "text")]).mapInArrow(run, "lang string, term string, n long")
-
+                values = [*[c.take(at) for c in part.columns[: len(keys)]], term, pa.array(n.astype(np.int64)), pa.array(occurrences.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(values, [*keys, "term", "n", "occurrences"])
 
-def _dealt(held: DataFrame, shards: int) -> list[DataFrame]:
-    """The bags, one table for each vectorizer: a document's terms of each shard, by their hash."""
-    if shards == 1:
-        return [held]
-    spark, path = held.sparkSession, f"{shared_folder(held.sparkSession)}/tables/{uuid.uuid4().hex}"
-    # Numbered before the terms are exploded, so that a document keeps one number.
-    term = held.withColumn("row", F.monotonically_increasing_id()).select("row", "lang", "source", F.explode("terms").alias("term"))
-    parts = term.groupBy(_shard(F.col("term"), shards).alias("shard"), "row").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.collect_list("term").alias("terms"))
-    parts.write.partitionBy("shard").parquet(path)
-    schema = "lang string, source string, terms array<string>"
-    return [spark.read.schema(f"{schema}, shard int").parquet(path).where(F.col("shard") == s).drop("shard") for s in range(shards)]
+    kinds = "number long" if keys == ("number",) else ", ".join(f"{k} string" for k in keys)
+    read = [F.col(k) if k == "number" else F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select(*read, text).mapInArrow(run, f"{kinds}, term string, n long, occurrences long")
 
 
 def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
 
 
-def _summed(vectors: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    """(lang, source, index, n): the stored entries of the vectors (lang, source, v) added up by group.
+def term_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, term, documents, n) of each group's terms: documents that hold it and its occurrences, written once.
 
-    ``groups`` has lang, source, number.  Where they are few, a group's number
-    and an index make one whole number, the cheapest key there is.
+    Where the groups are few their numbers are the keys, which are cheaper than names.
     """
-    entry = F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")
-    n = F.sum(F.col("e.values").cast("long")).alias("n")
-    if not few:
-        return vectors.select("lang", "source", entry).groupBy("lang", "source", F.col("e.indices").alias("index")).agg(n)
-    key = (F.shiftleft("number", 32) + F.col("e.indices")).alias("key")
-    sums = vectors.join(F.broadcast(groups), ["lang", "source"]).select("number", entry).groupBy(key).agg(n)
-    sums = sums.select(F.shiftright("key", 32).alias("number"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int").alias("index"), "n")
-    return sums.join(F.broadcast(groups), "number").select("lang", "source", "index", "n")
+    few = groups.count() <= GROUPS
+    keys, read = ("lang", "source"), docs
+    if few:
+        names = sorted((r.lang, r.source) for r in groups.collect())
+        numbers = docs.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(names)], "lang string, source string, number long")
+        named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], "text")
+        keys, read = ("number",), named.join(F.broadcast(numbers), ["lang", "source"]).select("number", "text")
+    counted = cut(document_counts(read, keys).groupBy(*keys, "term").agg(F.sum("n").alias("documents"), F.sum("occurrences").alias("n")))
+    return (counted.join(F.broadcast(numbers), "number") if few else counted).select("lang", "source", "term", "documents", "n")
 
 
 def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -120,28 +123,27 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary: int = VOCABU
     occurring group is returned, with terms or not.  Repeated rows are
     documents of their own.
     """
-    spark, held = docs.sparkSession, bags(docs)
+    spark = docs.sparkSession
     groups = cut(docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct())
-    numbers, few = None, groups.count() <= GROUPS
-    if few:
-        names = sorted((r.lang, r.source) for r in groups.collect())
-        numbers = spark.createDataFrame([(*k, i) for i, k in enumerate(names)], "lang string, source string, number long")
-    frequent = document_counts(docs).groupBy("lang", "term").agg(F.sum("n").alias("count")).where(F.col("count") >= min_df)
+    held = term_counts(docs, groups)
+    frequent = held.groupBy("lang", "term").agg(F.sum("documents").alias("count")).where(F.col("count") >= min_df)
     frequent = cut(frequent.select("lang", "term", F.array("term").alias("terms")))
     # Hashed shards are uneven, so they are made for half the bound.
     n = frequent.select("term").distinct().count()
     shards = 1 if n <= vocabulary else -(-2 * n // vocabulary)
     words, counts = [], []
-    for shard, bag in enumerate(_dealt(held, shards) if n else []):
+    for shard in range(shards if n else 0):
         own = frequent.where(_shard(F.col("term"), shards) == shard)
         if own.isEmpty():
             continue
         model = CountVectorizer(inputCol="terms", outputCol="v", minDF=1.0, vocabSize=2**31 - 1).fit(own.select("terms").distinct())
-        kept = cut(model.transform(own).select("lang", F.lit(shard).alias("shard"), F.unwrap_udt("v")["indices"][0].alias("index"), "term"))
-        vectors = model.transform(bag).select("lang", "source", F.unwrap_udt("v").alias("v"))
-        summed = _summed(vectors, numbers, few).withColumn("shard", F.lit(shard))
-        words.append(kept)
-        counts.append(cut(summed.join(kept.select("lang", "shard", "index"), ["lang", "shard", "index"], "left_semi").select("lang", "source", "shard", "index", "n")))
+        words.append(cut(model.transform(own).select("lang", F.lit(shard).alias("shard"), F.unwrap_udt("v")["indices"][0].alias("index"), "term")))
+        # A group's terms with the same number of occurrences are one bag, which stands for so many equal ones.
+        bag = held.join(own.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("lang", "source", "n").agg(F.collect_list("term").alias("terms"))
+        vectors = model.transform(bag).select("lang", "source", "n", F.unwrap_udt("v").alias("v"))
+        entries = vectors.select("lang", "source", "n", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
+        n_all = (F.col("n") * F.col("e.values").cast("long")).alias("n")
+        counts.append(cut(entries.select("lang", "source", F.lit(shard).alias("shard"), F.col("e.indices").alias("index"), n_all)))
     if not words:
         return groups, spark.createDataFrame([], "lang string, shard int, index int, term string"), spark.createDataFrame([], "lang string, source string, shard int, index int, n long")
     return groups, reduce(DataFrame.unionAll, words), reduce(DataFrame.unionAll, counts)
