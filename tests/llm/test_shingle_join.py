@@ -101,3 +101,26 @@ def test_among_keeps_all_wanted_and_few_others(spark):
     assert want <= got and len(got) < 1000
     assert among(rows, ["doc_id"], wanted.limit(0), ["k"]).count() == 0
     assert {i for i, _ in want} <= {r.doc_id for r in among(rows, ["doc_id"], wanted, ["k"], most_bits=1 << 15).collect()}
+
+
+def test_candidates_of_near_copies_grow_with_the_group(spark, monkeypatch):
+    """Copies with one to four edited words, most of which only the least edited resemble, are few candidates each."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 4)):
+            words[at] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    candidates, verified = [], shingle_join.verified
+
+    def counted(docs, classes, found, *options):
+        candidates.append(found.distinct().count())
+        return verified(docs, classes, found, *options)
+
+    monkeypatch.setattr(shingle_join, "verified", counted)
+    want, near = survivors(rows)
+    assert near > 20 * len(rows)
+    assert stage(spark, rows) == sorted(want)
+    assert sum(candidates) < 3 * len(rows), candidates

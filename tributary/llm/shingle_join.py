@@ -268,8 +268,14 @@ def _may_link(num: int, den: int):
 
 
 def stars(entries: DataFrame, similarity: float, salt: int = 0) -> DataFrame:
-    """Candidates (node, root) of each class with one class of each of its keys, drawn by key: as many as entries at most."""
-    one = entries.groupBy("key").agg(F.min_by(F.struct("digest", "comp", "n", "pos", *PARITY), F.xxhash64("key", "digest", F.lit(salt))).alias("b")).select("key", "b.*")
+    """Candidates (node, root) of each class with one class of each of its keys: as many as entries at most.
+
+    It is the class in which the key stands first, drawn by key among equals:
+    with the fewest rarer shingles of its own it is the least edited of a group
+    of near copies and similar to most of them, so that one round connects them.
+    """
+    order = F.struct("pos", F.xxhash64("key", "digest", F.lit(salt)))
+    one = entries.groupBy("key").agg(F.min_by(F.struct("digest", "comp", "n", "pos", *PARITY), order).alias("b")).select("key", "b.*")
     met = entries.alias("a").join(one.alias("b"), (F.col("a.key") == F.col("b.key")) & _may_link(*_ratio(similarity)))
     return met.select(F.col("a.digest").alias("node"), F.col("b.digest").alias("root")).distinct()
 
