@@ -3,9 +3,11 @@
 import hashlib
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tributary.plans import ingest
 from tributary.sources import files, uploads
 
 MIB = 1 << 20
@@ -52,6 +54,46 @@ def test_many_files_are_dealt_to_tasks(spark, tmp_path):
     assert spark.read.format("uploads").load(str(tmp_path / "none")).count() == 0 if (tmp_path / "none").mkdir() is None else False
 
 
+def entries(path):
+    return [os.path.join(at, x) for at, folders, names in os.walk(path) for x in folders + names]
+
+
+def test_rows_are_stored_as_a_file_each(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = spark.createDataFrame([("a.mp4", "one"), ("a.mp4", "one"), ("a.mp4", "two"), ("b.mp4", ""), ("c.mp4", None), (None, "x")], "name string, content string")
+    uploads.store(rows, path)
+    uploads.store(rows.where("name = 'a.mp4'"), f"file://{path}")
+    got = uploads.uploads(spark, path, MIB, whole=True).collect()
+    one, two = (hashlib.sha256(x).hexdigest()[:16] for x in (b"one", b"two"))
+    assert sorted((r.length, r.reject or "", r.file_hash or "") for r in got) == sorted([(3, "", one)] * 4 + [(3, "", two)] * 2 + [(0, "empty upload", "")] * 2 + [(1, "unsupported media type", "")])
+
+
+def test_a_failed_store_leaves_nothing_and_no_scan_sees_a_staged_file(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = spark.range(100).select(F.concat(F.col("id").cast("string"), F.when(F.col("id") == 70, "/").otherwise(""), F.lit(".mp4")).alias("name"), F.lit("x").alias("content"))
+    with pytest.raises(Exception, match="slash"):
+        uploads.store(rows, path)
+    assert entries(path) == []
+    staged = tmp_path / "in" / f"{uploads.STAGED}0" / "part"
+    staged.mkdir(parents=True)
+    (staged / "1.mp4").write_bytes(b"x")
+    assert uploads.uploads(spark, path, MIB).count() == 0
+
+
+def test_the_upload_query_makes_a_file_a_document_and_nothing_else_of_each(spark, tmp_path, monkeypatch):
+    ids = [*range(-5, 2500), None, None, 7, 7, 7]
+    docs = spark.createDataFrame([(x, None if i % 40 == 0 else f"{i} é\n" * (i % 2000)) for i, x in enumerate(ids)], "doc_id long, text string").repartition(3)
+    docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    monkeypatch.setattr(files, "work_folder", lambda spark: str(tmp_path / "stored"))
+    got = ingest.QUERIES["q88_upload_scan"](spark, str(tmp_path / "sf"))
+    found = entries(tmp_path / "stored")
+    assert sum(map(os.path.isfile, found)) == len(ids) and sum(map(os.path.isdir, found)) <= 30
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/sf/documents.parquet/*.parquet'")
+    want = db.execute(ingest.SELECTS["q88_upload_scan"]).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 KIND = "fingerprint string, start double, end double, text string, confidence double"
 
 

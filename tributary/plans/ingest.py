@@ -19,9 +19,10 @@ UPLOAD_LIMIT = 8_000
 def q88(f):
     """Documents stored as one file each and scanned as uploads: sizes, refusals, hashes by range reads."""
     path = files.work_folder(f.spark)
-    f.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(path)
-    rows = uploads.uploads(f.spark, path, UPLOAD_LIMIT, suffix=".txt", whole=True).where(F.col("path").endswith(".txt"))
-    return rows.select(F.regexp_extract("path", "doc_id=(-?[0-9]+)/", 1).cast("long").alias("doc_id"), "length", "reject", "content_hash", "file_hash", "bytes_read")
+    name = F.concat(F.lit("doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
+    uploads.store(f.table("documents").select(name.alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("content")), path)
+    rows = uploads.uploads(f.spark, path, UPLOAD_LIMIT, suffix=".txt", whole=True)
+    return rows.select(F.regexp_extract("path", "doc_id=(-?[0-9]*)\\.txt$", 1).try_cast("long").alias("doc_id"), "length", "reject", "content_hash", "file_hash", "bytes_read")
 
 
 def q89(f):
